@@ -17,7 +17,7 @@ from avisgrid.functions import text as tt
 from avisgrid.functions import times
 from avisgrid.operators import landing, verdicts
 from avisgrid.plans import activation, marts, quality, star
-from avisgrid.session import prepare, scratch_path
+from avisgrid.session import prepare, scratch_path, spread
 from avisgrid.sources import fixture as fx
 from avisgrid.sources import payloads as pl
 from avisgrid.sources import reference_data, tables
@@ -57,11 +57,13 @@ def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return spread(docs, "doc_id")
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text")
+    said = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text")
+    return spread(said, "conv_id", "turn")
 
 
 # --- sources and landing ----------------------------------------------------

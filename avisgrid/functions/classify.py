@@ -21,7 +21,8 @@ def bound(text: Column, fn: Callable[[Column], Column]) -> Column:
 
 
 def keyword_list(keywords: Iterable[str]) -> Column:
-    return F.array(*[F.lit(k) for k in keywords])
+    """Literal array, folded to a constant by the optimizer."""
+    return F.expr(f"array({', '.join(tt.quoted(k) for k in keywords)})")
 
 
 def hits(text: Column, keywords: Iterable[str]) -> Column:

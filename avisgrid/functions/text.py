@@ -46,6 +46,13 @@ def _folding_table() -> tuple[str, str]:
 FOLD_FROM, FOLD_TO = _folding_table()
 
 
+def quoted(value: str | None) -> str:
+    """A text as SQL literal."""
+    if value is None:
+        return "CAST(NULL AS STRING)"
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def strip(text: Column) -> Column:
     """Unicode-aware trim at both ends."""
     return F.btrim(text, F.lit(STRIP_CHARS))

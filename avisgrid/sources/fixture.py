@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from avisgrid import schemas
+from avisgrid.functions.text import quoted
+from avisgrid.session import spread
 
 BRANDS = ("abritel", "airbnb", "booking")
 SOURCES = ("trustpilot", "google_play", "app_store")
@@ -52,7 +54,8 @@ AS_OF = "2024-02-10 00:00:00"
 
 def pick(values: tuple, index: Column) -> Column:
     """Value number ``index`` (from 0) of a literal list."""
-    return F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), index.cast("int") + 1)
+    options = F.expr(f"array({', '.join(quoted(v) for v in values)})")
+    return F.element_at(options, index.cast("int") + 1)
 
 
 def ts(text: str) -> Column:
@@ -60,7 +63,7 @@ def ts(text: str) -> Column:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_id")
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:

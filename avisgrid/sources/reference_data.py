@@ -21,8 +21,9 @@ def _packaged(name: str) -> pa.Table:
         return pacsv.read_csv(handle, convert_options=pacsv.ConvertOptions(column_types=types))
 
 
+@cache
 def seed(spark: SparkSession, name: str, folder: str | None = None) -> DataFrame:
-    """A reference table; ``folder`` names a shared folder with replacement CSV files.
+    """A reference table (one plan per session); ``folder`` names a shared folder with replacement CSV files.
 
     No broadcast hint is given: the packaged tables (8 rows at most) become local
     relations of known size and replacement files are sized by the scan, so Spark

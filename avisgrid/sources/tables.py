@@ -46,9 +46,9 @@ def null_missing(df: DataFrame) -> DataFrame:
 def raw_columns(df: DataFrame) -> DataFrame:
     """The raw contract: known columns in order and type, missing ones as NULL."""
     present = set(df.columns)
-    return null_missing(df).select(
+    return null_missing(df).selectExpr(
         *[
-            (F.col(f.name) if f.name in present else F.lit(None)).cast(f.dataType).alias(f.name)
+            f"CAST({f.name if f.name in present else 'NULL'} AS {f.dataType.simpleString()}) AS {f.name}"
             for f in schemas.RAW.fields
         ]
     )
