@@ -17,7 +17,7 @@ from avisgrid.functions import text as tt
 from avisgrid.functions import times
 from avisgrid.operators import landing, verdicts
 from avisgrid.plans import activation, marts, quality, star
-from avisgrid.session import prepare, scratch_path, spread
+from avisgrid.session import prepare, scratch_path, spread, written
 from avisgrid.sources import fixture as fx
 from avisgrid.sources import payloads as pl
 from avisgrid.sources import reference_data, tables
@@ -353,7 +353,9 @@ def _stored_verdicts(raw: DataFrame) -> DataFrame:
 
 
 def _latest_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return star.staged(raw_reviews(spark, sf_dir)).select(*schemas.RAW.fieldNames())
+    """The raw table of one run as written, since verdicts are made from it and merged back."""
+    latest = star.staged(raw_reviews(spark, sf_dir)).select(*schemas.RAW.fieldNames())
+    return written(latest, "raw")
 
 
 @query
@@ -369,6 +371,15 @@ def apply_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def reclassify_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scoring and merge in one narrow step."""
+    latest = star.staged(raw_reviews(spark, sf_dir)).select(*schemas.RAW.fieldNames())
+    return verdicts.reclassify(latest, fx.scripted_scorer).select(
+        "source_review_id", "source_code", "category_code", "category_source", "severity_code"
+    )
+
+
 @query
 def verdict_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = _latest_raw(spark, sf_dir)
@@ -460,7 +471,8 @@ def fact_classifications(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def fact_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return star.fact_tickets(numbered(spark, sf_dir), reference_data.seeds(spark))
+    seeds = reference_data.seeds(spark)
+    return star.fact_tickets(star.numbered_tickets(numbered(spark, sf_dir), seeds))
 
 
 # --- marts ------------------------------------------------------------------
@@ -534,8 +546,8 @@ def dm_finance_litiges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def dm_sav_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds = reference_data.seeds(spark)
-    rows = numbered(spark, sf_dir)
-    return marts.support_tickets(rows, star.fact_tickets(rows, seeds), seeds, as_of())
+    rows = star.numbered_tickets(numbered(spark, sf_dir), seeds)
+    return marts.support_tickets(rows, seeds, as_of())
 
 
 @query
@@ -570,7 +582,7 @@ def _ledger(rows: DataFrame) -> DataFrame:
 
 
 def _pushed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ledger(classified(spark, sf_dir).select("review_key", "source_review_id"))
+    return _ledger(fx.reviews(spark, sf_dir).withColumn("review_key", star.review_key()))
 
 
 @query
@@ -668,13 +680,13 @@ def _faulty_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _check_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """All checked tables built from the faulty raw reviews."""
     seeds = reference_data.seeds(spark)
-    raw = _faulty_raw(spark, sf_dir)
+    raw = written(_faulty_raw(spark, sf_dir), "raw")
     rows = star.numbered_reviews(star.classified_reviews(raw, seeds))
     return {
         "raw_reviews": raw,
         "fact_reviews": star.fact_reviews(rows),
         "fact_classifications": star.fact_classifications(rows),
-        "fact_tickets": star.fact_tickets(rows, seeds),
+        "fact_tickets": star.fact_tickets(star.numbered_tickets(rows, seeds)),
         **{n: star.dimension(seeds, n) for n in star.DIMENSIONS},
         "dim_date": star.calendar(spark),
     }

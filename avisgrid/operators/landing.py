@@ -28,7 +28,7 @@ def arrival_order() -> list[Column]:
 def capped(df: DataFrame, n: int = tx.MAX_PER_SOURCE_BRAND) -> DataFrame:
     """First ``n`` reviews per source and brand in order of arrival."""
     order = [*arrival_order(), F.col("source_review_id").asc_nulls_last()]
-    return cap_groups(df, ["source_code", "brand_code"], order, n)
+    return cap_groups(df, ["source_code", "brand_code"], order, n, list(ARRIVAL_COLUMNS))
 
 
 def union_sources(frames: list[DataFrame]) -> DataFrame:

@@ -18,17 +18,19 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFr
     return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
 
 
-def cap_groups(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
+def cap_groups(
+    df: DataFrame, keys: list[str], order: list[Column], n: int, slice_by: list[str]
+) -> DataFrame:
     """First ``n`` rows of every group; 0 switches the cap off.
 
-    Groups are few and large, so they are split first: each of many slices keeps its own
-    first ``n`` rows, and only these candidates meet in the group.  The result is exact.
+    Groups are few and large, so they are split by hash of ``slice_by`` first: each slice
+    keeps its own first ``n`` rows, and only these candidates meet in the group.  The
+    result is exact, and a retried task slices the same way.
     """
     if n == 0:
         return df
     slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # The slice comes from the row itself, so a recomputed task slices the same way.
-    slice_of = F.pmod(F.xxhash64(*df.columns), F.lit(slices))
+    slice_of = F.pmod(F.xxhash64(*slice_by), F.lit(slices))
     sliced = Window.partitionBy(*keys, "_slice").orderBy(*order)
     group = Window.partitionBy(*keys).orderBy(*order)
     return (

@@ -156,3 +156,33 @@ def classify_candidates(raw: DataFrame, scorer: Scorer) -> DataFrame:
     return answered.where(F.col("verdict_category").isNotNull()).select(
         *KEY, "verdict_category", "verdict_confidence"
     )
+
+
+def reclassify(raw: DataFrame, scorer: Scorer) -> DataFrame:
+    """Second pass in place: score the candidates of a run and replace their category.
+
+    Only the prompts travel to Python, the other columns and rows stay in the JVM, and no
+    join or shuffle is needed.  Use it when the rows are being written anyway (a run holds
+    each key once); ``apply_verdicts`` merges verdicts stored earlier.
+    """
+
+    def ask(batch: pd.Series) -> pd.Series:
+        answer = pd.Series([None] * len(batch), index=batch.index, dtype=object)
+        sent = batch.notna()
+        if sent.any():
+            answer[sent] = _ask(batch[sent], scorer)
+        return answer
+
+    asked = F.pandas_udf(ask, "string")(F.when(is_candidate(), prompt(F.col("text"))))
+    scored = parse_replies(raw.withColumn("_reply", asked), "_reply")
+    replaced = F.col("verdict_category") != tx.UNCLASSIFIED
+    return scored.withColumns(
+        {
+            "category_code": F.when(replaced, F.col("verdict_category")).otherwise(
+                F.col("category_code")
+            ),
+            "category_source": F.when(replaced, tx.SOURCE_MODEL).otherwise(
+                F.col("category_source")
+            ),
+        }
+    ).select(*raw.columns)

@@ -43,13 +43,13 @@ def with_ticket_status(
     out = classified.join(critical, "category_id", "left").withColumn(
         "is_ticket", F.col("_critical").isNotNull() & high_severity()
     )
-    if statuses is None:
-        out = out.withColumn("_status_id", F.lit(OPEN_STATUS))
-    else:
+    status_id = F.lit(OPEN_STATUS)
+    if statuses is not None:
         known = statuses.select("review_key", F.col("status_id").alias("_known"))
-        out = out.join(known, "review_key", "left").withColumn(
-            "_status_id", F.coalesce("_known", F.lit(OPEN_STATUS))
-        )
+        out = out.join(known, "review_key", "left")
+        status_id = F.coalesce("_known", status_id)
+    # Only ticket rows carry a status, so the lookup stays an equi-join.
+    out = out.withColumn("_status_id", F.when(F.col("is_ticket"), status_id))
     status = seeds["ticket_statuses"].select(
         F.col("id").alias("_status_id"), F.col("is_terminal").alias("_terminal")
     )
@@ -255,28 +255,22 @@ def finance_disputes(numbered: DataFrame, seeds: dict[str, DataFrame]) -> DataFr
 
 
 def support_tickets(
-    numbered: DataFrame, tickets: DataFrame, seeds: dict[str, DataFrame], as_of: Column
+    ticket_rows: DataFrame, seeds: dict[str, DataFrame], as_of: Column
 ) -> DataFrame:
-    """One row per ticket with its review and the whole days it has been open."""
-    status = _labels(seeds, "ticket_statuses", "status_id", "status_label")
-    review = in_classifications(numbered).select(
-        F.col("id").alias("review_id"), "category_id", "brand_id", "source_id", "text",
-        "vendor_responded",
-    )
+    """One row per ticket with its review and the whole days it has been open.
+
+    ``ticket_rows`` (see ``star.numbered_tickets``) already carries the review columns,
+    so tickets are not joined back to the reviews.
+    """
     open_for = F.extract(F.lit("DAY"), as_of - F.col("created_at"))
     return (
-        tickets.select(
-            F.col("id").alias("ticket_id"), "review_id", "review_key", "severity_id", "status_id",
-            "assignee", "created_at",
-        )
-        .join(review, "review_id")
-        .join(_labels(seeds, "categories", "category_id", "category_label"), "category_id")
+        ticket_rows.join(_labels(seeds, "categories", "category_id", "category_label"), "category_id")
         .join(_labels(seeds, "severities", "severity_id", "severity_label"), "severity_id")
-        .join(status, "status_id")
+        .join(_labels(seeds, "ticket_statuses", "status_id", "status_label"), "status_id")
         .join(_labels(seeds, "brands", "brand_id", "brand_label"), "brand_id")
         .join(_labels(seeds, "sources", "source_id", "source_label"), "source_id")
         .select(
-            "ticket_id",
+            F.col("id").alias("ticket_id"),
             "review_id",
             "review_key",
             "category_label",
@@ -284,7 +278,7 @@ def support_tickets(
             "status_label",
             "assignee",
             open_for.cast("int").alias("days_open"),
-            F.substring("text", 1, tx.EXCERPT_CHARS).alias("review_excerpt"),
+            F.col("excerpt").alias("review_excerpt"),
             "vendor_responded",
             "brand_label",
             "source_label",

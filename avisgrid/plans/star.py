@@ -15,10 +15,14 @@ OPEN_STATUS = 1
 
 
 def newest_first() -> list[Column]:
-    """Newest copy first; the columns after ``collected_at`` only settle ties."""
+    """Newest copy first; the columns after ``collected_at`` only settle ties.
+
+    The text is no tie-breaker: marts that do not show it need not read or shuffle it.
+    A run holds a key once, so copies of one collection time do not occur.
+    """
     return [
         *[F.col(c).desc_nulls_first() for c in ("collected_at", "classified_at", "review_date")],
-        *[F.col(c).asc_nulls_last() for c in ("brand_code", "rating", "category_code", "text")],
+        *[F.col(c).asc_nulls_last() for c in ("brand_code", "rating", "category_code")],
     ]
 
 
@@ -150,8 +154,11 @@ def critical_reviews(df: DataFrame, seeds: dict[str, DataFrame]) -> DataFrame:
     return rows.join(critical_categories(seeds), "category_id", "left_semi")
 
 
-def fact_tickets(numbered: DataFrame, seeds: dict[str, DataFrame]) -> DataFrame:
-    """Open tickets, numbered newest collection first (review id settles ties)."""
+def numbered_tickets(numbered: DataFrame, seeds: dict[str, DataFrame]) -> DataFrame:
+    """Open tickets with the review columns their marts need.
+
+    Numbered newest collection first; the review id settles ties.
+    """
     rows = critical_reviews(numbered, seeds).select(
         F.col("id").alias("review_id"),
         "review_key",
@@ -163,6 +170,14 @@ def fact_tickets(numbered: DataFrame, seeds: dict[str, DataFrame]) -> DataFrame:
         F.col("collected_at").alias("created_at"),
         F.lit(None).cast("timestamp").alias("resolved_at"),
         F.lit(None).cast("string").alias("resolution_notes"),
+        "category_id",
+        "brand_id",
+        "source_id",
+        F.substring("text", 1, tx.EXCERPT_CHARS).alias("excerpt"),
+        "vendor_responded",
     )
-    order = [F.col("created_at").desc_nulls_first(), F.col("review_id").asc()]
-    return dense_id(rows, order).select(*schemas.FACT_TICKETS)
+    return dense_id(rows, [F.col("created_at").desc_nulls_first(), F.col("review_id").asc()])
+
+
+def fact_tickets(ticket_rows: DataFrame) -> DataFrame:
+    return ticket_rows.select(*schemas.FACT_TICKETS)

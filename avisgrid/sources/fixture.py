@@ -58,6 +58,11 @@ def pick(values: tuple, index: Column) -> Column:
     return F.element_at(options, index.cast("int") + 1)
 
 
+def div(number: Column, by: int) -> Column:
+    """Whole-number division."""
+    return F.call_function("div", number, F.lit(by))
+
+
 def ts(text: str) -> Column:
     return F.lit(text).cast("timestamp")
 
@@ -70,12 +75,12 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One review per event, with the ``event_id`` it comes from."""
     eid = F.col("event_id")
     brand = pick(BRANDS, eid % 3)
-    source = pick(SOURCES, F.floor(eid / 9) % 3)
+    source = pick(SOURCES, div(eid, 9) % 3)
     posted = F.col("ts").cast("timestamp") + F.expr("INTERVAL 5 DAYS")
     newest = F.lit(NEWEST_WEEK).cast("date")
-    weeks_back = F.floor(F.date_diff(newest, F.to_date(F.date_trunc("week", posted))) / 7)
-    moved = (eid % 3 == 0) & (F.floor(eid / 72) % 4 != 0) & (weeks_back > 0)
-    shift = F.when(moved, weeks_back.cast("int") * 7).otherwise(0)
+    days_back = F.date_diff(newest, F.to_date(F.date_trunc("week", posted)))
+    moved = (eid % 3 == 0) & (div(eid, 72) % 4 != 0) & (days_back > 0)
+    shift = F.when(moved, days_back).otherwise(0)
     base = events(spark, sf_dir).select(
         "event_id",
         eid.cast("string").alias("source_review_id"),
@@ -87,7 +92,7 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise((eid * 7) % 5 + 1)
         .cast("int")
         .alias("rating"),
-        pick(PHRASES, F.floor(eid / 3) % 24).alias("text"),
+        pick(PHRASES, div(eid, 3) % 24).alias("text"),
         F.concat(F.lit("u"), F.col("user_id")).alias("author_handle"),
         F.when(source != "trustpilot", F.concat(F.lit("1."), eid % 7)).alias("app_version"),
         F.when(eid % 4 == 0, VENDOR_REPLY).alias("vendor_response"),
@@ -129,7 +134,7 @@ def arrived_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
                 "brand_code": F.when(again, pick(BRANDS, (eid + 1) % 3)).otherwise(
                     F.col("brand_code")
                 ),
-                "arrival_page": F.floor(eid / EVENTS_PER_PAGE) + F.col("copy") * 1_000_000_000,
+                "arrival_page": div(eid, EVENTS_PER_PAGE) + F.col("copy") * 1_000_000_000,
                 "arrival_pos": (eid % EVENTS_PER_PAGE).cast("int"),
             }
         )
@@ -148,7 +153,7 @@ EVENTS_PER_PAGE = 450
 def _pages(rows: DataFrame, entry: Column) -> DataFrame:
     """Entries gathered to one list per brand and page, in event order."""
     return (
-        rows.withColumn("arrival_page", F.floor(F.col("event_id") / EVENTS_PER_PAGE))
+        rows.withColumn("arrival_page", div(F.col("event_id"), EVENTS_PER_PAGE))
         .select("brand_code", "arrival_page", F.struct("event_id", entry.alias("e")).alias("x"))
         .groupBy("brand_code", "arrival_page")
         .agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["e"]).alias("entries"))
@@ -305,9 +310,9 @@ REPLIES = (
 
 def model_replies(chosen: DataFrame) -> DataFrame:
     """A stored reply per candidate, chosen by the number in its id."""
-    number = F.floor(F.col("source_review_id").cast("bigint") / 3)
+    number = div(F.col("source_review_id").cast("bigint"), 72)
     return chosen.select(
-        "source_review_id", "source_code", pick(REPLIES, F.floor(number / 24) % len(REPLIES)).alias("reply")
+        "source_review_id", "source_code", pick(REPLIES, number % len(REPLIES)).alias("reply")
     )
 
 

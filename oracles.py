@@ -720,6 +720,18 @@ ORACLES: dict[str, str] = {
            FROM stg WHERE text IN ('oui oui', 'Ce n''est pas une arnaque, j''ai vraiment été content')
         """,
     ),
+    "reclassify_reviews": sql(
+        STAGED,
+        """
+        SELECT source_review_id, source_code,
+               CASE WHEN text = 'oui oui' THEN 'service_client'
+                    WHEN text LIKE '%vraiment été content' THEN 'app_fr'
+                    ELSE category_code END AS category_code,
+               CASE WHEN text = 'oui oui' OR text LIKE '%vraiment été content' THEN 'llm'
+                    ELSE category_source END AS category_source,
+               severity_code
+        FROM stg""",
+    ),
     "parse_verdicts": sql(STAGED + VERDICTS, "SELECT * FROM verdicts"),
     "apply_verdicts": sql(
         STAGED + VERDICTS,
