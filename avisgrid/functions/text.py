@@ -26,21 +26,23 @@ WORD_CLASS = r"\p{L}\p{N}_"
 
 
 def _folding_table() -> tuple[str, str]:
-    """Lower-case precomposed characters and the single base character each folds to.
+    """Characters to replace and their base characters; combining marks have none.
 
     Characters that decompose into several base characters (Hangul syllables, a few
     Indic vowel signs) stay composed; none can occur in a keyword or change a rule.
     """
-    src, dst = [], []
+    composed, bases, marks = [], [], []
     for code in range(0x80, sys.maxunicode + 1):
         char = chr(code)
-        if unicodedata.category(char) in ("Mn", "Cs") or char.lower() != char:
-            continue
-        base = [c for c in unicodedata.normalize("NFD", char) if unicodedata.category(c) != "Mn"]
-        if len(base) == 1 and base[0] != char:
-            src.append(char)
-            dst.append(base[0])
-    return "".join(src), "".join(dst)
+        kind = unicodedata.category(char)
+        if kind == "Mn":
+            marks.append(char)
+        elif kind != "Cs" and char.lower() == char:
+            base = [c for c in unicodedata.normalize("NFD", char) if unicodedata.category(c) != "Mn"]
+            if len(base) == 1 and base[0] != char:
+                composed.append(char)
+                bases.append(base[0])
+    return "".join(composed + marks), "".join(bases)
 
 
 FOLD_FROM, FOLD_TO = _folding_table()
@@ -64,14 +66,14 @@ def is_blank(text: Column) -> Column:
 
 
 def normalize(text: Column) -> Column:
-    """Lower case without accents: precomposed letters fold by table, marks drop.
+    """Lower case without accents: composed letters become their base, marks drop.
 
-    Pure ASCII text (as many bytes as characters) needs neither step.
+    ``translate`` deletes what has no counterpart, so one pass does both.  Pure ASCII
+    text (as many bytes as characters) needs no pass at all.
     """
     low = F.lower(text)
-    folded = F.translate(low, FOLD_FROM, FOLD_TO)
     return F.when(F.octet_length(low) == F.char_length(low), low).otherwise(
-        F.regexp_replace(folded, r"\p{Mn}+", "")
+        F.translate(low, FOLD_FROM, FOLD_TO)
     )
 
 

@@ -75,7 +75,9 @@ def _confidence(reply: Column) -> Column:
     text = F.from_json(reply, "confidence string", STRICT)["confidence"]
     # A JSON true counts as 1, the text "true" does not count.
     flag = F.from_json(reply, "confidence boolean", STRICT)["confidence"]
-    number = F.when(flag.isNull(), F.btrim(text).try_cast("double"))
+    # A bare NaN or Infinity is read as a text with quotes.
+    bare = F.regexp_replace(text, r'^"(NaN|-?Infinity)"$', "$1")
+    number = F.when(flag.isNull(), F.btrim(bare).try_cast("double"))
     value = F.coalesce(F.when(flag, 1.0).when(~flag, 0.0), number, F.lit(tx.DEFAULT_CONFIDENCE))
     return F.when(F.isnan(value), 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))
 
@@ -86,12 +88,13 @@ def parse_replies(df: DataFrame, reply: str = "reply") -> DataFrame:
     The whole reply must be one JSON value; if it is none, the part from the first ``{``
     to the last ``}`` must be.  The category must be one of the known codes.
     """
-    whole = strict_value(F.col(reply))
+    # A reply that is one JSON value of another kind is read, and gives no verdict.
+    is_object = F.col(reply).rlike(r"^[ \t\n\r]*\{")
+    whole = F.when(strict_value(F.col(reply)).isNotNull(), F.when(is_object, F.col(reply)).otherwise(""))
     fragment = strict_value(F.nullif(F.regexp_extract(reply, r"(?s)\{.*\}", 0), F.lit("")))
     parsed = df.withColumn("_json", F.coalesce(whole, fragment))
-    is_object = F.substring("_json", 1, 1) == "{"
     read = F.from_json(F.col("_json"), "category string", STRICT)["category"]
-    category = F.when(is_object & read.isin(*tx.MODEL_CATEGORIES), read)
+    category = F.when(read.isin(*tx.MODEL_CATEGORIES), read)
     return (
         parsed.withColumn("verdict_category", category)
         .withColumn(
