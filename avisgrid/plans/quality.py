@@ -104,16 +104,17 @@ def unique_checks(tables: dict[str, DataFrame], declared: dict[str, tuple]) -> D
                     (F.lit(None).cast("string") if numeric else value).alias("txt"),
                 )
             )
-            # A table without rows still has its line in the report.
-            zeros.append(df.agg(F.lit(0).cast("bigint").alias("failures")).select(*name, "failures"))
+            zeros.append(F.struct(*name, F.lit(0).cast("bigint").alias("failures")))
     counted = reduce(DataFrame.unionByName, values).groupBy(
         "table_name", "column_name", "num", "txt"
     ).agg(F.count("*").alias("n"))
     repeated = counted.groupBy("table_name", "column_name").agg(
         F.count_if(F.col("n") > 1).alias("failures")
     )
+    # A table without rows still has its line in the report.
+    lines = counted.sparkSession.range(1).select(F.inline(F.array(*zeros)))
     return (
-        repeated.unionByName(reduce(DataFrame.unionByName, zeros))
+        repeated.unionByName(lines)
         .groupBy("table_name", "column_name")
         .agg(F.sum("failures").alias("failures"))
         .select("table_name", F.lit("unique").alias("check_name"), "column_name", "failures")
@@ -124,7 +125,9 @@ def report(tables: dict[str, DataFrame]) -> DataFrame:
     """All declared checks of the given tables, one row each."""
     rows = [row_checks(df, name) for name, df in tables.items()]
     parts = [r for r in rows if r is not None]
-    parts.append(unique_checks(tables, {t: c for t, c in UNIQUE.items() if t in tables}))
+    unique = {t: c for t, c in UNIQUE.items() if t in tables}
+    if unique:
+        parts.append(unique_checks(tables, unique))
     return reduce(DataFrame.unionByName, parts).select(*REPORT)
 
 

@@ -24,7 +24,7 @@ def spark(tmp_path_factory):
     for key, value in START_CONF.items():
         builder = builder.config(key, value)
     session = builder.getOrCreate()
-    session.sparkContext.setLogLevel("ERROR")
+    session.sparkContext.setLogLevel("OFF")
     yield session
     session.stop()
 
