@@ -16,7 +16,7 @@ from avisgrid.functions import taxonomy as tx
 from avisgrid.functions import text as tt
 from avisgrid.functions import times
 from avisgrid.operators import landing, verdicts
-from avisgrid.plans import activation, marts, quality, star
+from avisgrid.plans import activation, daily, marts, quality, star
 from avisgrid.session import prepare, scratch_path, spread, written
 from avisgrid.sources import fixture as fx
 from avisgrid.sources import payloads as pl
@@ -658,6 +658,16 @@ def run_recap(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def daily_recap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole day from payloads to recap, every table written; no cap, all reviews."""
+    root = scratch_path(spark, "day")
+    return daily.run_day(
+        spark, fx.payloads(spark, sf_dir), root, "20240210T000000Z", as_of(),
+        fx.scripted_scorer, cap=0,
+    )
+
+
 # --- quality checks ---------------------------------------------------------
 
 
@@ -694,13 +704,13 @@ def _check_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 @query
 def dq_not_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality.row_checks(_faulty_raw(spark, sf_dir), "raw_reviews")
+    found = quality.row_checks({"raw_reviews": _faulty_raw(spark, sf_dir)})
     return found.where(F.col("check_name") == "not_null")
 
 
 @query
 def dq_accepted_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality.row_checks(_faulty_raw(spark, sf_dir), "raw_reviews")
+    found = quality.row_checks({"raw_reviews": _faulty_raw(spark, sf_dir)})
     return found.where(F.col("check_name") == "accepted_values")
 
 

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from avisgrid.session import written
 
 
+SLOT = "_slot"
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per key, the first in ``order`` (which must be a total order in a key).
 
@@ -44,35 +47,47 @@ def cap_groups(
     )
 
 
-def dense_id(df: DataFrame, order: list[Column], name: str = "id") -> DataFrame:
-    """Number all rows 1..n in ``order`` without gathering them in one task.
+def slotted(df: DataFrame, order: list[Column]) -> DataFrame:
+    """Rows in global ``order``: range partitions, sorted inside, with their slot.
 
-    Rows are range-partitioned by the order, sorted inside their partition and written
-    once; the count of the partitions before gives each partition its offset.  ``order``
-    must be a total order, so that a retried task numbers its rows the same way.  The
-    broadcast offsets have one row per shuffle partition, whatever the size of the data.
+    The slot is the partition and the row in it.  It must be written before it is used
+    (see ``numbered``).  ``order`` must be a total order, so that a retried task gives
+    its rows the same slots.
     """
-    slotted = (
+    return (
         df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
-        .withColumn("_slot", F.monotonically_increasing_id())
+        .withColumn(SLOT, F.monotonically_increasing_id())
     )
-    stored = written(slotted, "numbered").withColumns(
+
+
+def numbered(stored: DataFrame, name: str = "id") -> DataFrame:
+    """Slots of a written table as numbers 1..n.
+
+    The rows of the partitions before give each partition its offset.  Counting them
+    reads one column, and the broadcast offsets have one row per partition, whatever the
+    size of the data.
+    """
+    placed = stored.withColumns(
         {
-            "_part": F.shiftrightunsigned("_slot", 33),
-            "_row": F.col("_slot").bitwiseAND((1 << 33) - 1),
+            "_part": F.shiftrightunsigned(SLOT, 33),
+            "_row": F.col(SLOT).bitwiseAND((1 << 33) - 1),
         }
     )
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        stored.groupBy("_part")
+        placed.groupBy("_part")
         .agg(F.count("*").alias("_n"))
         .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     )
-    numbered = stored.join(F.broadcast(offsets), "_part").withColumn(
-        name, F.col("_offset") + F.col("_row") + 1
-    )
-    return numbered.select(name, *df.columns)
+    number = (F.col("_offset") + F.col("_row") + 1).alias(name)
+    columns = [c for c in stored.columns if c != SLOT]
+    return placed.join(F.broadcast(offsets), "_part").select(number, *columns)
+
+
+def dense_id(df: DataFrame, order: list[Column], name: str = "id") -> DataFrame:
+    """Number all rows 1..n in ``order`` without gathering them in one task."""
+    return numbered(written(slotted(df, order), "numbered"), name)
 
 
 def renumber(df: DataFrame, dense: str, name: str, block: int = 1 << 20) -> DataFrame:

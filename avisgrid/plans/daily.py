@@ -15,6 +15,7 @@ from avisgrid import schemas
 from avisgrid.functions import classify as cl
 from avisgrid.functions import taxonomy as tx
 from avisgrid.operators import landing, verdicts
+from avisgrid.operators.ranking import numbered
 from avisgrid.plans import activation, marts, quality, star
 from avisgrid.session import prepare
 from avisgrid.sources import reference_data, tables
@@ -41,6 +42,10 @@ class Warehouse:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
 
+    def reviews(self) -> DataFrame:
+        """Classified reviews with their dense ids."""
+        return numbered(self.read("fact_base"))
+
 
 def land_run(
     house: Warehouse,
@@ -76,14 +81,15 @@ def load_run(
 def build_star(house: Warehouse, seeds: dict[str, DataFrame]) -> None:
     """Dimensions and facts from the raw table.
 
-    ``fact_base`` holds the numbered, classified reviews sorted by date; every fact and
-    mart is a projection or aggregate of it.
+    ``fact_base`` holds the classified reviews sorted by date with their slots; every
+    fact and mart is a projection or aggregate of it.
     """
     raw = house.spark.read.schema(schemas.RAW).parquet(house.path("raw_reviews"))
     for name in star.DIMENSIONS:
         house.write(name, star.dimension(seeds, name))
     house.write("dim_date", star.calendar(house.spark))
-    base = house.write("fact_base", star.numbered_reviews(star.classified_reviews(raw, seeds)))
+    house.write("fact_base", star.dated_reviews(star.classified_reviews(raw, seeds)))
+    base = house.reviews()
     house.write("fact_reviews", star.fact_reviews(base))
     house.write("fact_classifications", star.fact_classifications(base))
     house.write("ticket_base", star.numbered_tickets(base, seeds))
@@ -91,7 +97,7 @@ def build_star(house: Warehouse, seeds: dict[str, DataFrame]) -> None:
 
 
 def build_marts(house: Warehouse, seeds: dict[str, DataFrame], as_of: Column) -> None:
-    base = house.read("fact_base")
+    base = house.reviews()
     house.write("dm_direction_synthese", marts.direction_synthesis(base, seeds))
     house.write("dm_marketing_voc", marts.marketing_voice(base, seeds))
     house.write("dm_finance_litiges", marts.finance_disputes(base, seeds))
@@ -110,7 +116,7 @@ def check(house: Warehouse) -> DataFrame:
 
 
 def find_alerts(house: Warehouse, seeds: dict[str, DataFrame], as_of: Column) -> DataFrame:
-    weekly = activation.weekly_high(house.read("fact_base"), seeds)
+    weekly = activation.weekly_high(house.reviews(), seeds)
     found = activation.spikes(activation.recent_weeks(weekly))
     alerts = house.write("alerts", activation.alert_records(found, as_of))
     tables.write_csv(alerts, house.path("alerts.csv"))
@@ -128,7 +134,7 @@ def read_ledger(house: Warehouse, before_run: str) -> DataFrame:
 
 def route_tickets(house: Warehouse, seeds: dict[str, DataFrame], run_id: str) -> DataFrame:
     """Ticket export, payloads of the new tickets and their ledger entries."""
-    chosen = activation.critical_selection(house.read("fact_base"), seeds)
+    chosen = activation.critical_selection(house.reviews(), seeds)
     tickets = house.write("tickets", activation.tickets(chosen))
     tables.write_csv(tickets.select(*schemas.TICKETS), house.path("tickets.csv"))
     fresh = activation.new_tickets(tickets, read_ledger(house, run_id))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Allowed codes.
@@ -57,32 +57,58 @@ class QualityGateError(RuntimeError):
     """At least one check failed; activation must not run."""
 
 
-def _unpivoted(sums: DataFrame, table: str, names: list[tuple[str, str]]) -> DataFrame:
-    """The one-row aggregate of a table as one report row per check."""
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(table).alias("table_name"),
-                F.lit(check).alias("check_name"),
-                F.lit(column).alias("column_name"),
-                F.col(f"{check}_{column}").alias("failures"),
-            )
-            for check, column in names
-        ]
-    )
-    return sums.select(F.inline(rows))
+def _row_rules(table: str) -> list[tuple[str, str, Column]]:
+    """Check, column and the condition a bad row meets."""
+    rules = [("not_null", c, F.col(c).isNull()) for c in NOT_NULL.get(table, ())]
+    # NULL passes an accepted-values check: the comparison is NULL and not counted.
+    rules += [
+        ("accepted_values", c, ~F.col(c).isin(*allowed))
+        for c, allowed in ACCEPTED.get(table, {}).items()
+    ]
+    return rules
+
 
+def row_checks(tables: dict[str, DataFrame]) -> DataFrame:
+    """NULL and accepted-value violations of all tables in one aggregate.
 
-def row_checks(df: DataFrame, table: str) -> DataFrame | None:
-    """NULL and accepted-value violations of a table, all in one pass."""
-    checks = {("not_null", c): F.col(c).isNull() for c in NOT_NULL.get(table, ())}
-    for column, allowed in ACCEPTED.get(table, {}).items():
-        # NULL passes: the comparison is NULL and not counted.
-        checks[("accepted_values", column)] = ~F.col(column).isin(*allowed)
-    if not checks:
-        return None
-    sums = df.agg(*[F.count_if(bad).alias(f"{k}_{c}") for (k, c), bad in checks.items()])
-    return _unpivoted(sums, table, list(checks))
+    Every table contributes one flag per rule; the flags are summed per table, so a row
+    is read once whatever the number of rules, and one line per table is shuffled.
+    """
+    rules = {t: _row_rules(t) for t in tables if _row_rules(t)}
+    width = max(len(r) for r in rules.values())
+    flags = [f"flag{i}" for i in range(width)]
+
+    def padded(conditions: list[Column]) -> list[Column]:
+        conditions = conditions + [F.lit(False)] * (width - len(conditions))
+        return [c.alias(name) for c, name in zip(conditions, flags)]
+
+    flagged = [
+        tables[t].select(F.lit(t).alias("table_name"), *padded([bad for *_, bad in r]))
+        for t, r in rules.items()
+    ]
+    spark = flagged[0].sparkSession
+    # A line without a flag keeps tables without rows in the report.
+    lines = [F.struct(F.lit(t).alias("table_name"), *padded([])) for t in rules]
+    flagged.append(spark.range(1).select(F.inline(F.array(*lines))))
+    sums = (
+        reduce(DataFrame.unionByName, flagged)
+        .groupBy("table_name")
+        .agg(*[F.count_if(name).alias(name) for name in flags])
+    )
+    report_lines = F.when(F.lit(False), F.lit(None))
+    for t, r in rules.items():
+        found = F.array(
+            *[
+                F.struct(
+                    F.lit(check).alias("check_name"),
+                    F.lit(column).alias("column_name"),
+                    F.col(name).alias("failures"),
+                )
+                for (check, column, _), name in zip(r, flags)
+            ]
+        )
+        report_lines = report_lines.when(F.col("table_name") == t, found)
+    return sums.select("table_name", F.inline(report_lines))
 
 
 def unique_checks(tables: dict[str, DataFrame], declared: dict[str, tuple]) -> DataFrame:
@@ -123,8 +149,7 @@ def unique_checks(tables: dict[str, DataFrame], declared: dict[str, tuple]) -> D
 
 def report(tables: dict[str, DataFrame]) -> DataFrame:
     """All declared checks of the given tables, one row each."""
-    rows = [row_checks(df, name) for name, df in tables.items()]
-    parts = [r for r in rows if r is not None]
+    parts = [row_checks(tables)]
     unique = {t: c for t, c in UNIQUE.items() if t in tables}
     if unique:
         parts.append(unique_checks(tables, unique))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from avisgrid import schemas
 from avisgrid.functions import taxonomy as tx
 from avisgrid.functions import times
-from avisgrid.operators.ranking import dense_id, first_per_key, renumber
+from avisgrid.operators.ranking import dense_id, first_per_key, numbered, renumber, slotted
+from avisgrid.session import written
 
 CALENDAR = ("2024-01-01", "2026-12-31")
 OPEN_STATUS = 1
@@ -111,13 +112,21 @@ def dated_order() -> list[Column]:
     ]
 
 
+def dated_reviews(classified: DataFrame) -> DataFrame:
+    """Classified reviews in the order of their numbers, to be written once.
+
+    No fact holds the text of the vendor's response, so it stays out of the sort.
+    """
+    return slotted(classified.drop("vendor_response"), dated_order())
+
+
 def numbered_reviews(classified: DataFrame) -> DataFrame:
-    """Classified reviews with the dense ``id`` by date; written once, read by all facts."""
-    return dense_id(classified, dated_order())
+    """Classified reviews with the dense ``id`` by date, read by all facts."""
+    return numbered(written(dated_reviews(classified), "reviews"))
 
 
-def fact_reviews(numbered: DataFrame) -> DataFrame:
-    return numbered.withColumn("language", F.lit("fr")).select(*schemas.FACT_REVIEWS)
+def fact_reviews(reviews: DataFrame) -> DataFrame:
+    return reviews.withColumn("language", F.lit("fr")).select(*schemas.FACT_REVIEWS)
 
 
 def in_classifications(df: DataFrame) -> DataFrame:
@@ -125,8 +134,8 @@ def in_classifications(df: DataFrame) -> DataFrame:
     return df.where("source_id IS NOT NULL AND source_review_id IS NOT NULL")
 
 
-def fact_classifications(numbered: DataFrame) -> DataFrame:
-    rows = in_classifications(numbered).select(
+def fact_classifications(reviews: DataFrame) -> DataFrame:
+    rows = in_classifications(reviews).select(
         F.col("id").alias("review_id"),
         "review_key",
         "category_id",
@@ -154,12 +163,12 @@ def critical_reviews(df: DataFrame, seeds: dict[str, DataFrame]) -> DataFrame:
     return rows.join(critical_categories(seeds), "category_id", "left_semi")
 
 
-def numbered_tickets(numbered: DataFrame, seeds: dict[str, DataFrame]) -> DataFrame:
+def numbered_tickets(reviews: DataFrame, seeds: dict[str, DataFrame]) -> DataFrame:
     """Open tickets with the review columns their marts need.
 
     Numbered newest collection first; the review id settles ties.
     """
-    rows = critical_reviews(numbered, seeds).select(
+    rows = critical_reviews(reviews, seeds).select(
         F.col("id").alias("review_id"),
         "review_key",
         F.lit(None).cast("string").alias("external_ticket_id"),

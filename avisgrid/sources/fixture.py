@@ -54,8 +54,7 @@ AS_OF = "2024-02-10 00:00:00"
 
 def pick(values: tuple, index: Column) -> Column:
     """Value number ``index`` (from 0) of a literal list."""
-    options = F.expr(f"array({', '.join(quoted(v) for v in values)})")
-    return F.element_at(options, index.cast("int") + 1)
+    return F.element_at(F.expr(listed(values)), index.cast("int") + 1)
 
 
 def div(number: Column, by: int) -> Column:
@@ -71,51 +70,50 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_id")
 
 
+def listed(values: tuple) -> str:
+    return f"array({', '.join(quoted(v) for v in values)})"
+
+
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One review per event, with the ``event_id`` it comes from."""
-    eid = F.col("event_id")
-    brand = pick(BRANDS, eid % 3)
-    source = pick(SOURCES, div(eid, 9) % 3)
-    posted = F.col("ts").cast("timestamp") + F.expr("INTERVAL 5 DAYS")
-    newest = F.lit(NEWEST_WEEK).cast("date")
-    days_back = F.date_diff(newest, F.to_date(F.date_trunc("week", posted)))
-    moved = (eid % 3 == 0) & (div(eid, 72) % 4 != 0) & (days_back > 0)
-    shift = F.when(moved, days_back).otherwise(0)
-    base = events(spark, sf_dir).select(
+    posted = events(spark, sf_dir).selectExpr(
+        "event_id",
+        "user_id",
+        "CAST(ts AS TIMESTAMP) + INTERVAL 5 DAYS AS posted",
+        f"date_diff(DATE '{NEWEST_WEEK}', to_date(date_trunc('week', posted))) AS days_back",
+    )
+    dated = posted.selectExpr(
         "event_id",
-        eid.cast("string").alias("source_review_id"),
-        brand.alias("brand_code"),
-        source.alias("source_code"),
-        (posted + F.make_dt_interval(days=shift)).alias("review_date"),
-        F.when(eid % 97 == 0, None)
-        .when(eid % 89 == 0, 0)
-        .otherwise((eid * 7) % 5 + 1)
-        .cast("int")
-        .alias("rating"),
-        pick(PHRASES, div(eid, 3) % 24).alias("text"),
-        F.concat(F.lit("u"), F.col("user_id")).alias("author_handle"),
-        F.when(source != "trustpilot", F.concat(F.lit("1."), eid % 7)).alias("app_version"),
-        F.when(eid % 4 == 0, VENDOR_REPLY).alias("vendor_response"),
+        "CAST(event_id AS STRING) AS source_review_id",
+        f"element_at({listed(BRANDS)}, CAST(event_id % 3 AS INT) + 1) AS brand_code",
+        f"element_at({listed(SOURCES)}, CAST(event_id div 9 % 3 AS INT) + 1) AS source_code",
+        """posted + make_dt_interval(CASE WHEN event_id % 3 = 0 AND event_id div 72 % 4 != 0
+               AND days_back > 0 THEN days_back ELSE 0 END) AS review_date""",
+        """CAST(CASE WHEN event_id % 97 = 0 THEN NULL WHEN event_id % 89 = 0 THEN 0
+               ELSE event_id * 7 % 5 + 1 END AS INT) AS rating""",
+        f"element_at({listed(PHRASES)}, CAST(event_id div 3 % 24 AS INT) + 1) AS text",
+        "concat('u', user_id) AS author_handle",
+        "IF(source_code != 'trustpilot', concat('1.', event_id % 7), NULL) AS app_version",
+        f"IF(event_id % 4 = 0, {quoted(VENDOR_REPLY)}, NULL) AS vendor_response",
     )
-    replied = F.col("review_date") + F.make_dt_interval(days=(eid % 9 - 1).cast("int"))
-    return base.withColumn(
-        "vendor_response_at", F.when(F.col("vendor_response").isNotNull(), replied)
+    return dated.selectExpr(
+        "*",
+        """IF(event_id % 4 = 0, review_date + make_dt_interval(CAST(event_id % 9 - 1 AS INT)), NULL)
+               AS vendor_response_at""",
     )
 
 
 def landed_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All reviews as collected, plus an older copy of every tenth one."""
-    copies = F.when(F.col("event_id") % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(
-        F.array(F.lit(0))
-    )
-    older = F.col("copy") == 1
-    return (
-        reviews(spark, sf_dir)
-        .withColumn("copy", F.explode(copies))
-        .withColumn("collected_at", F.when(older, ts(OLDER_COLLECTED_AT)).otherwise(ts(COLLECTED_AT)))
-        .withColumn("rating", F.when(older, 5).otherwise(F.col("rating")))
-        .select(*schemas.LANDED.fieldNames())
+    copies = reviews(spark, sf_dir).selectExpr(
+        "*", "explode(IF(event_id % 10 = 0, array(false, true), array(false))) AS older"
     )
+    collected = {
+        "rating": "IF(older, 5, rating) AS rating",
+        "collected_at": f"""IF(older, TIMESTAMP '{OLDER_COLLECTED_AT}', TIMESTAMP '{COLLECTED_AT}')
+               AS collected_at""",
+    }
+    return copies.selectExpr(*[collected.get(c, c) for c in schemas.LANDED.fieldNames()])
 
 
 def arrived_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -542,6 +542,49 @@ REPORT = "\nUNION ALL ".join(
     + [unique_check(t, s, c) for t, (s, cols) in UNIQUE_TABLES.items() for c in cols]
 )
 
+RECAP = """
+    SELECT csv_tickets, new_tickets, alerts,
+           ':bell: *Avis clients — run terminé*' || chr(10)
+           || '• *' || csv_tickets || '* tickets critiques détectés ce run' || chr(10)
+           || '• *' || new_tickets || '* nouveaux tickets poussés vers Notion' || chr(10)
+           || '• :rotating_light: *' || alerts || '* alertes spike (7j vs baseline 4 sem)'
+               AS message
+    FROM (SELECT (SELECT count(*) FROM tickets) AS csv_tickets,
+                 (SELECT count(*) FROM tickets
+                  WHERE review_key NOT IN (SELECT review_key FROM known)) AS new_tickets,
+                 (SELECT count(*) FROM spikes) AS alerts)"""
+
+# The day of the daily run: all payloads in the window, unclassified texts scored.
+DAY = (
+    FIXTURE
+    + APP_STORE
+    + TRUSTPILOT
+    + GOOGLE_PLAY
+    + f""",
+day AS (
+    SELECT * EXCLUDE (eid), TIMESTAMP '2024-02-10 00:00:00' AS collected_at
+    FROM (SELECT * FROM app UNION ALL SELECT * FROM trust UNION ALL SELECT * FROM play)
+    WHERE {IN_WINDOW}
+)"""
+    + refined_ctes("day", "refined")
+    + """,
+raw AS (
+    SELECT * REPLACE (
+        CASE WHEN is_exploitable AND category_code = 'non_classe' AND contains(text, 'oui oui')
+             THEN 'service_client'
+             WHEN is_exploitable AND category_code = 'non_classe'
+                  AND contains(text, 'vraiment été content') THEN 'app_fr'
+             ELSE category_code END AS category_code),
+        'heuristic' AS category_source, collected_at AS classified_at
+    FROM refined
+)"""
+    + star_ctes("raw")
+    + TICKETS
+    + WEEKLY
+    + """,
+known AS (SELECT review_key FROM fact WHERE false)"""
+)
+
 REVIEW_COLUMNS = (
     "source_review_id, brand_code, source_code, review_date, rating, text, author_handle, "
     "app_version, vendor_response, vendor_response_at"
@@ -914,20 +957,8 @@ ORACLES: dict[str, str] = {
                   count(*) FILTER (k.review_key IS NOT NULL) AS skipped
            FROM tickets t LEFT JOIN known k USING (review_key)""",
     ),
-    "run_recap": sql(
-        STAR + TICKETS + KNOWN + WEEKLY,
-        """
-        SELECT csv_tickets, new_tickets, alerts,
-               ':bell: *Avis clients — run terminé*' || chr(10)
-               || '• *' || csv_tickets || '* tickets critiques détectés ce run' || chr(10)
-               || '• *' || new_tickets || '* nouveaux tickets poussés vers Notion' || chr(10)
-               || '• :rotating_light: *' || alerts || '* alertes spike (7j vs baseline 4 sem)'
-                   AS message
-        FROM (SELECT (SELECT count(*) FROM tickets) AS csv_tickets,
-                     (SELECT count(*) FROM tickets
-                      WHERE review_key NOT IN (SELECT review_key FROM known)) AS new_tickets,
-                     (SELECT count(*) FROM spikes) AS alerts)""",
-    ),
+    "run_recap": sql(STAR + TICKETS + KNOWN + WEEKLY, RECAP),
+    "daily_recap": sql(DAY, RECAP),
     # quality checks
     "dq_not_null": sql(
         FAULTY,
