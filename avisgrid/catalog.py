@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from avisgrid import schemas
 from avisgrid.functions import classify as cl
-from avisgrid.functions import taxonomy as tx
 from avisgrid.functions import text as tt
 from avisgrid.functions import times
 from avisgrid.operators import landing, verdicts
