@@ -33,7 +33,7 @@ HEADLINE = (
     "new_tickets",
     "dq_report",
 )
-RUNS = int(os.environ.get("BENCH_RUNS", "3"))
+RUNS = int(os.environ.get("BENCH_RUNS", "2"))
 
 
 def session(cpus: str) -> SparkSession:
