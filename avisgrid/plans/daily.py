@@ -54,9 +54,11 @@ def land_run(
     as_of: Column,
     days: int = tx.WINDOW_DAYS,
     cap: int = tx.MAX_PER_SOURCE_BRAND,
+    seeds_folder: str | None = None,
 ) -> str:
     """Payloads to one bronze run; returns its path."""
-    brands = [r.code for r in reference_data.seed(house.spark, "brands").orderBy("id").collect()]
+    known = reference_data.seed(house.spark, "brands", seeds_folder)
+    brands = [r.code for r in known.orderBy("id").collect()]
     return tables.write_run(
         landing.land(payloads, as_of, brands, days, cap), house.bronze, run_id
     )
@@ -156,7 +158,7 @@ def run_day(
     """A whole day.  Failed checks stop alerts and tickets; the recap is written anyway."""
     house = Warehouse(prepare(spark), root)
     seeds = reference_data.seeds(spark, seeds_folder)
-    land_run(house, payloads, run_id, as_of, cap=cap)
+    land_run(house, payloads, run_id, as_of, cap=cap, seeds_folder=seeds_folder)
     load_run(house, as_of, run_id, scorer)
     build_star(house, seeds)
     build_marts(house, seeds, as_of)
