@@ -6,7 +6,9 @@ a triple whose sum is the gap, each combination as often as its lengths are avai
 finds no exact filling goes by best fit, longest first, into the fullest sequence that
 still holds it. The plan (which lengths share a sequence, how many times) is a few thousand
 rows at any input size. Every piece then finds its place from its rank among the pieces of
-its length.
+its length. Filling gaps by pairs and triples early can use up the short lengths that
+later gaps need, so the plan is made with combinations of up to one, two and three lengths
+(and none), and the one with the fewest sequences is taken.
 
 Null text counts as empty: one piece, the end id. Longer documents are cut into pieces of
 ``SEQUENCE``, a shorter one first. Repeated rows are packed each. An empty table gives no
@@ -73,15 +75,16 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, end_id: int =
 class Plan:
     """Which lengths share a sequence: ``patterns`` holds (lengths, sequences)."""
 
-    def __init__(self, counts: dict[int, int], size: int = SEQUENCE) -> None:
-        self.size = size
+    def __init__(self, counts: dict[int, int], size: int = SEQUENCE, most: int = 3) -> None:
+        """``most``: lengths in a combination that fills a gap."""
+        self.size, self.most = size, most
         self.left = np.zeros(size + 1, np.int64)
         for length, n in counts.items():
             self.left[length] = n
         self.patterns: list[tuple[tuple[int, ...], int]] = []
         self._use((size,), int(self.left[size]))
         for length in range(size - 1, 0, -1):
-            while self.left[length] and (lengths := self._exact(length)):
+            while most and self.left[length] and (lengths := self._exact(length)):
                 self._use(lengths, self._times(lengths))
         self._best_fit()
 
@@ -100,9 +103,13 @@ class Plan:
         if self._times((length, gap)) if gap else False:
             return (length, gap)
         have = self.left > 0
+        if self.most < 2:
+            return None
         for a in self._pairs(have, gap):
             if self._times((length, a, gap - a)):
                 return (length, a, gap - a)
+        if self.most < 3:
+            return None
         here = have.astype(np.float32)
         sums = np.convolve(here[: gap + 1], here[: gap + 1])[: gap + 1] > 0.5
         firsts = np.flatnonzero(have[1:gap] & sums[gap - 1 : 0 : -1]) + 1
@@ -149,6 +156,11 @@ class Plan:
         for found in open_.values():
             self.patterns += found
 
+    @classmethod
+    def fewest(cls, counts: dict[int, int], size: int = SEQUENCE) -> Plan:
+        plans = [cls(counts, size, most) for most in (3, 2, 1, 0)]
+        return min(plans, key=lambda p: sum(n for _, n in p.patterns))
+
     def places(self) -> dict[str, np.ndarray]:
         """Runs of places by length: ranks from ``low`` on go to sequences from ``first`` on."""
         runs, sequence = [], 0
@@ -174,7 +186,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None, size: int = SEQUENCE)
     earlier = W.partitionBy("length").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     starts = by_part.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
     counts = cut.groupBy("length").count().collect()  # at most ``size`` rows
-    places = Plan({r["length"]: r["count"] for r in counts}, size).places()
+    places = Plan.fewest({r["length"]: r["count"] for r in counts}, size).places()
     own = W.partitionBy("_part", "length").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = (
         cut.withColumn("_rank", F.row_number().over(own) - 1)
