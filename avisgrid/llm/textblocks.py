@@ -113,3 +113,35 @@ def gathered(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
     total = int(length.sum())
     ends = np.cumsum(length)
     return np.arange(total) + np.repeat(begin - (ends - length), length)
+
+
+class Folder:
+    """Kept characters in lower case, others as 0; one code point stays one code point."""
+
+    def __init__(self, keep) -> None:
+        self.keep = keep
+        self.table = np.full(0x110000, -1, np.int32)
+        self._fill(range(128))
+
+    def _fill(self, points) -> None:
+        for p in points:
+            c = chr(p)
+            low = c.lower()
+            self.table[p] = 0 if not self.keep(c) else ord(low) if len(low) == 1 else p
+
+    def fold(self, points: np.ndarray) -> np.ndarray:
+        folded = self.table[points]
+        if len(folded) and folded.min() < 0:
+            self._fill(np.unique(points[folded < 0]).tolist())
+            folded = self.table[points]
+        return folded
+
+
+def word_hashes(
+    folder: Folder, raw: bytes, offsets: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the folded words of all texts; starts, stops (code points) and text of each."""
+    _, points, offsets = code_points(raw, offsets)
+    folded = folder.fold(points)
+    starts, stops, row = words(folded > 0, offsets)
+    return span_hashes(folded, starts, stops), starts, stops, row
