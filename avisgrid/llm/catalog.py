@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from avisgrid.llm import language, packing, sharding, winnowing
+from avisgrid.llm import decontamination, language, packing, sharding, winnowing
 from avisgrid.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,11 +28,16 @@ def op2_hyperdimensional(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(table(spark, sf_dir, "documents"))
 
 
+def op3_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_winnowing": op1_winnowing,
     "op4_feistel": op4_feistel,
     "op9_exact_complement": op9_exact_complement,
     "op2_hyperdimensional": op2_hyperdimensional,
+    "op3_block_max_wand": op3_block_max_wand,
 }
 
 ORACLES: dict[str, str] = {}
