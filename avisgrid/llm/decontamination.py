@@ -3,9 +3,9 @@
 Test items are the indexed side. Impacts are BM25 weights divided by the item's score
 against itself, so 1 means that a passage holds all of an item's words. Documents are cut
 into passages that overlap by the longest item, so an item of the document lies whole in
-one of them; every passage queries the index for all items above ``THRESHOLD``. A vectorized
-sum of the largest impacts finds the passages that can reach it at all, WAND with
-block maxima walks the posting lists for those. A retrieved item counts as leaked when
+one of them; every passage queries the index for all items above ``THRESHOLD``. Summed maxima
+of the passage's terms find the blocks of items that can reach it at all; WAND, bounded by
+the same maxima, walks the posting lists in those. A retrieved item counts as leaked when
 both its question (the words before the last quarter) and its answer (the last quarter) share
 at least ``OVERLAP`` of their five-word runs with the document.
 
@@ -33,7 +33,7 @@ THRESHOLD = 0.5
 OVERLAP = 0.5
 RUN = 5
 ITEMS = 20_000
-POSTINGS = 64  # in a block with one maximum
+BLOCK = 4  # items that share one maximum for each term
 K1, B = 1.2, 0.75
 
 Hit = tuple[int, float]
@@ -67,10 +67,19 @@ class Index:
         self.terms = np.array(sorted(postings), np.uint64)
         self.items = [[i for i, _ in postings[t]] for t in self.terms.tolist()]
         self.impacts = [[w for _, w in postings[t]] for t in self.terms.tolist()]
-        self.maxima = [
-            [max(w[k : k + POSTINGS]) for k in range(0, len(w), POSTINGS)] for w in self.impacts
-        ]
         self.largest = np.array([max(w) for w in self.impacts] + [0.0])
+        # Largest impact of every term in every block of items that holds it.
+        self.n_blocks = -(-len(items) // BLOCK)
+        self.maxima: list[dict[int, float]] = []
+        for found, weights in zip(self.items, self.impacts):
+            most: dict[int, float] = {}
+            for i, w in zip(found, weights):
+                most[i // BLOCK] = max(w, most.get(i // BLOCK, 0.0))
+            self.maxima.append(most)
+        self.length = np.array([len(m) for m in self.maxima], np.int64)
+        self.begin = np.cumsum(self.length) - self.length
+        self.block = np.array([k for m in self.maxima for k in m], np.int64)
+        self.block_max = np.array([w for m in self.maxima for w in m.values()])
 
     @staticmethod
     def _parts(words: list[int]) -> tuple[set[tuple], set[tuple], int, int]:
@@ -92,51 +101,50 @@ class Index:
         found[inside] = self.terms[at[inside]] == hashes[inside]
         return np.where(found, at, len(self.terms))
 
+    def live_blocks(self, terms: list[int], threshold: float = THRESHOLD) -> list[int]:
+        """Blocks whose summed maxima over distinct ``terms`` reach the threshold."""
+        chosen = np.array(terms, np.int64)
+        entries = tb.gathered(self.begin[chosen], self.length[chosen])
+        bound = np.bincount(self.block[entries], self.block_max[entries], self.n_blocks)
+        return np.flatnonzero(bound >= threshold - 1e-9).tolist()
+
     def search(self, terms: list[int], threshold: float = THRESHOLD) -> list[Hit]:
         """All items whose summed impacts over distinct ``terms`` reach the threshold."""
-        slack = threshold - 1e-9
-        cursors = [[self.items[t][0], t, 0] for t in terms]  # item, term, position
+        return [h for k in self.live_blocks(terms, threshold) for h in self._wand(terms, k, threshold)]
+
+    def _wand(self, terms: list[int], block: int, threshold: float) -> list[Hit]:
+        """Walk the posting lists of one block, skipping to the first item that can reach it."""
+        slack, end = threshold - 1e-9, (block + 1) * BLOCK
+        cursors = []  # item, bound, term, position
+        for t in terms:
+            if block in self.maxima[t]:
+                p = bisect.bisect_left(self.items[t], block * BLOCK)
+                cursors.append([self.items[t][p], self.maxima[t][block], t, p])
         hits: list[Hit] = []
         while cursors:
             cursors.sort()
             bound, pivot = 0.0, -1
-            for k, (_, t, _) in enumerate(cursors):
-                bound += self.largest[t]
+            for k, c in enumerate(cursors):
+                bound += c[1]
                 if bound >= slack:
                     pivot = k
                     break
             if pivot < 0:
-                return hits
-            item = cursors[pivot][0]
-            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
-                pivot += 1
-            front = cursors[: pivot + 1]
-            block = 0.0
-            for _, t, p in front:
-                p = bisect.bisect_left(self.items[t], item, p) // POSTINGS
-                block += self.maxima[t][p] if p < len(self.maxima[t]) else 0.0
-            if block < slack:
-                # No item before the next block border, or the next list's item, can reach it.
-                target = cursors[pivot + 1][0] if pivot + 1 < len(cursors) else None
-                for _, t, p in front:
-                    p = (bisect.bisect_left(self.items[t], item, p) // POSTINGS + 1) * POSTINGS
-                    if p < len(self.items[t]):
-                        border = self.items[t][p]
-                        target = border if target is None else min(target, border)
-                if target is None:
-                    return hits
-                target = max(target, item + 1)
-            elif front[0][0] == item:
-                score = sum(self.impacts[t][p] for _, t, p in front)
+                break
+            target = cursors[pivot][0]
+            if cursors[0][0] == target:
+                here = [c for c in cursors if c[0] == target]
+                score = sum(self.impacts[c[2]][c[3]] for c in here)
                 if score >= slack:
-                    hits.append((item, score))
-                target = item + 1
-            else:
-                target = item
-            for c in front:
-                c[2] = bisect.bisect_left(self.items[c[1]], target, c[2])
-                c[0] = self.items[c[1]][c[2]] if c[2] < len(self.items[c[1]]) else -1
-            cursors = [c for c in cursors if c[0] >= 0]
+                    hits.append((target, score))
+                target += 1
+            for c in cursors:
+                if c[0] >= target:
+                    break
+                postings = self.items[c[2]]
+                c[3] = bisect.bisect_left(postings, target, c[3])
+                c[0] = postings[c[3]] if c[3] < len(postings) else end
+            cursors = [c for c in cursors if c[0] < end]
         return hits
 
     def verify(self, item: int, words: list[int]) -> tuple[float, float]:
@@ -158,10 +166,8 @@ class Index:
         for a, b in zip(begin, end):
             if known[b] - known[a] < THRESHOLD - 1e-9:
                 continue
-            distinct = np.unique(terms[a:b])
-            if self.largest[distinct].sum() < THRESHOLD - 1e-9:
-                continue
-            for item, score in self.search([t for t in distinct.tolist() if t < len(self.terms)]):
+            distinct = [t for t in set(terms[a:b].tolist()) if t < len(self.terms)]
+            for item, score in self.search(distinct):
                 question, answer = self.verify(item, hashes[a:b].tolist())
                 if min(question, answer) >= OVERLAP and score > found.get(item, (0.0,))[0]:
                     found[item] = (score, question, answer)
