@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from avisgrid.llm import decontamination, language, packing, sharding, winnowing
+from avisgrid.llm import decontamination, language, packing, quality, sharding, winnowing
 from avisgrid.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,12 +32,17 @@ def op3_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_winnowing": op1_winnowing,
     "op4_feistel": op4_feistel,
     "op9_exact_complement": op9_exact_complement,
     "op2_hyperdimensional": op2_hyperdimensional,
     "op3_block_max_wand": op3_block_max_wand,
+    "op8_cotraining": op8_cotraining,
 }
 
 ORACLES: dict[str, str] = {}
