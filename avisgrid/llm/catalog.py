@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from avisgrid.llm import decontamination, language, packing, quality, sharding, winnowing
+from avisgrid.llm import decontamination, language, neardup, packing, quality, sharding, winnowing
 from avisgrid.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op8_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_winnowing": op1_winnowing,
     "op4_feistel": op4_feistel,
@@ -43,6 +47,7 @@ QUERIES: dict[str, Query] = {
     "op2_hyperdimensional": op2_hyperdimensional,
     "op3_block_max_wand": op3_block_max_wand,
     "op8_cotraining": op8_cotraining,
+    "op6_order_minhash": op6_order_minhash,
 }
 
 ORACLES: dict[str, str] = {}
