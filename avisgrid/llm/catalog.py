@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from avisgrid.llm import decontamination, language, neardup, packing, quality, sharding, winnowing
+from avisgrid.llm import decontamination, language, neardup, packing, pii, quality, sharding, winnowing
 from avisgrid.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,10 @@ def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_semi_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_winnowing": op1_winnowing,
     "op4_feistel": op4_feistel,
@@ -48,6 +52,7 @@ QUERIES: dict[str, Query] = {
     "op3_block_max_wand": op3_block_max_wand,
     "op8_cotraining": op8_cotraining,
     "op6_order_minhash": op6_order_minhash,
+    "op10_semi_markov": op10_semi_markov,
 }
 
 ORACLES: dict[str, str] = {}
