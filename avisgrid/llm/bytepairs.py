@@ -18,6 +18,24 @@ CACHED_PIECES = 500_000
 _TAILS = ("s", "t", "re", "ve", "m", "ll", "d")  # after an apostrophe, a piece of their own
 
 
+def split_contractions(
+    text: str, points: np.ndarray, letter: np.ndarray, start: np.ndarray, edge: np.ndarray
+) -> None:
+    """Make pieces of an apostrophe that opens one and the tail after it; changes ``start``."""
+    n = len(points)
+    if n < 2:
+        return
+    opens = (points[:-1] == 39) & start[:-1] & letter[1:] & ~edge[1:n]
+    for i in np.flatnonzero(opens).tolist():
+        for tail in _TAILS:
+            end = i + 1 + len(tail)
+            if text.startswith(tail, i + 1) and not edge[i + 1 : end].any():
+                start[i + 1] = False
+                if end < n:
+                    start[end] = True
+                break
+
+
 class PieceIds:
     """Ids of texts under a byte-level BPE file of the tokenizers library."""
 
@@ -90,15 +108,7 @@ class PieceIds:
         start[at] = True
         start[at + 1] = points[at] != 32
         start |= edge[:n]
-        quote = np.flatnonzero((points[:-1] == 39) & start[:-1] & (kind[1:] == LETTER) & ~edge[1:n])
-        for i in quote.tolist():
-            for tail in _TAILS:
-                end = i + 1 + len(tail)
-                if text.startswith(tail, i + 1) and not edge[i + 1 : end].any():
-                    start[i + 1] = False
-                    if end < n:
-                        start[end] = True
-                    break
+        split_contractions(text, points, kind == LETTER, start, edge)
         for a, b in inside:
             start[a + 1 : b] = False
         return np.flatnonzero(start)
