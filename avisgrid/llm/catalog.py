@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from avisgrid.llm import decontamination, language, neardup, packing, pii, quality, sharding, transducer, winnowing
+from avisgrid.llm import decontamination, language, maxent, neardup, packing, pii, quality, sharding, transducer, winnowing
 from avisgrid.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,10 @@ def op5_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op7_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_winnowing": op1_winnowing,
     "op4_feistel": op4_feistel,
@@ -58,6 +62,7 @@ QUERIES: dict[str, Query] = {
     "op6_order_minhash": op6_order_minhash,
     "op10_semi_markov": op10_semi_markov,
     "op5_transducer": op5_transducer,
+    "op7_maxent": op7_maxent,
 }
 
 ORACLES: dict[str, str] = {}
