@@ -35,3 +35,16 @@ def held_out(doc_id: Column, remainder: int) -> Column:
 
 def n_code_points(text: Column) -> Column:
     return F.char_length(text).cast("long")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the frame does not have, in any spelling."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    """The frame's columns, whatever their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from avisgrid.llm import textblocks as tb
+from avisgrid.llm.common import free_name, own_columns
 
 LABELLED = 6000
 POOL = 6000
@@ -280,7 +281,7 @@ def scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 def kept(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score ``threshold`` or more, all columns kept."""
     model = train(docs, labels)
-    inner = [c.alias(f"_q{i}") for i, c in enumerate(_inputs(docs))]
+    inner = [c.alias(free_name(docs, f"_q{i}")) for i, c in enumerate(_inputs(docs))]
     names = [n.split()[0] for n in _INPUT]
     n = len(docs.columns)
 
@@ -290,4 +291,4 @@ def kept(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> Da
             rows = pa.array(_scored(view, model)[2] >= threshold)
             yield pa.RecordBatch.from_arrays(batch.columns[:n], batch.schema.names[:n]).filter(rows)
 
-    return docs.select(*docs.columns, *inner).mapInArrow(keep, docs.schema)
+    return docs.select(*own_columns(docs), *inner).mapInArrow(keep, docs.schema)

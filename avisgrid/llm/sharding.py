@@ -32,42 +32,55 @@ def domain(n_rows: int) -> tuple[int, int]:
     return a, max(1, -(-n_rows // a))
 
 
-def permute_once(df: DataFrame, column: str, n_rows: int, seed: int, when: Column) -> DataFrame:
-    """One pass through the network for the rows that meet ``when``."""
+def permuted(value: Column, n_rows: int, seed: int = SEED, walks: int = 0) -> Column:
+    """The network applied once, then up to ``walks`` times more while beyond the rows.
+
+    Rounds are a fold over their numbers, so the expression stays small however often an
+    optimizer copies it.
+    """
     a, b = domain(n_rows)
-    df = df.withColumns(
-        {"_l": F.expr(f"{column} div {b}"), "_r": F.expr(f"{column} % {b}"), "_go": when}
+
+    def turn(state: Column, r: Column) -> Column:
+        left, right = state["l"], state["r"]
+        key = r.cast("long") + F.lit(seed).cast("long")
+        new_left = F.pmod(left + F.pmod(F.xxhash64(key, right), F.lit(a)), F.lit(a))
+        new_right = F.pmod(right + F.pmod(F.xxhash64(key, left), F.lit(b)), F.lit(b))
+        even = r % 2 == 0
+        return F.struct(
+            F.when(even, new_left).otherwise(left).alias("l"),
+            F.when(even, right).otherwise(new_right).alias("r"),
+        )
+
+    def once(v: Column) -> Column:
+        start = F.struct(F.call_function("div", v, F.lit(b).cast("long")).alias("l"), (v % F.lit(b).cast("long")).alias("r"))
+        rounds = F.sequence(F.lit(0), F.lit(ROUNDS - 1))
+        return F.aggregate(rounds, start, turn, lambda s: s["l"] * F.lit(b).cast("long") + s["r"])
+
+    return F.aggregate(
+        F.sequence(F.lit(0), F.lit(walks)),
+        value.cast("long"),
+        lambda v, i: F.when((i == 0) | (v >= n_rows), once(v)).otherwise(v),
     )
-    for r in range(ROUNDS):
-        own, other, side = ("_l", "_r", a) if r % 2 == 0 else ("_r", "_l", b)
-        mixed = F.pmod(F.xxhash64(F.lit(seed + r).cast("long"), F.col(other)), F.lit(side))
-        df = df.withColumn(own, F.pmod(F.col(own) + mixed, F.lit(side)))
-    moved = F.when(F.col("_go"), F.col("_l") * b + F.col("_r")).otherwise(F.col(column))
-    return df.withColumn(column, moved).drop("_l", "_r", "_go")
 
 
-def longest_walk(spark: SparkSession, n_rows: int, seed: int) -> int:
-    """Passes after which every number beyond the rows is back among them.
+def longest_walk(spark: SparkSession, n_rows: int, seed: int = SEED) -> int:
+    """Passes after which every row's number is back among the rows.
 
-    There are fewer such numbers than the square root of the rows.
+    Numbers beyond the rows are fewer than the square root of the rows. Some may lie on
+    cycles of their own, which no row enters: the walks start where rows land.
     """
     a, b = domain(n_rows)
-    beyond, steps = spark.range(n_rows, a * b).toDF("_p"), 0
+    beyond = spark.range(n_rows, a * b).toDF("p")
+    inner = beyond.select(permuted(F.col("p"), n_rows, seed).alias("p"))
+    beyond, steps = beyond.join(inner, "p", "left_anti"), 0
     while not beyond.isEmpty():
         steps += 1
-        beyond = permute_once(beyond, "_p", n_rows, seed, F.lit(True))
-        beyond = beyond.filter(F.col("_p") >= n_rows)
+        beyond = checkpointed(
+            beyond.select(permuted(F.col("p"), n_rows, seed).alias("p")).filter(F.col("p") >= n_rows)
+        )
     return steps
 
 
-def permuted(df: DataFrame, column: str, n_rows: int, seed: int = SEED) -> DataFrame:
-    """The column's row numbers under the permutation of [0, n_rows)."""
-    df = permute_once(df, column, n_rows, seed, F.lit(True))
-    for _ in range(longest_walk(df.sparkSession, n_rows, seed)):
-        df = permute_once(df, column, n_rows, seed, F.col(column) >= n_rows)
-    return df
-
-
 def _mixed(key: int, half: int) -> int:
     """Spark's xxhash64 of two longs."""
     value = 42
@@ -128,7 +141,8 @@ def shards(docs: DataFrame, n_shards: int = SHARDS, seed: int = SEED) -> DataFra
         F.crc32(data.cast("binary")).alias("text_crc32"),
     )
     rows, n_rows = row_numbers(narrow, "doc_id", "text_crc32", "size", out="row")
-    placed = permuted(rows.withColumn("place", F.col("row")), "place", n_rows, seed)
+    walks = longest_walk(docs.sparkSession, n_rows, seed)
+    placed = rows.withColumn("place", permuted(F.col("row"), n_rows, seed, walks))
     return placed.select(
         "doc_id",
         "size",
