@@ -9,8 +9,9 @@ same order; there are ``SKETCHES`` of them. At a similarity of 0.8 a sketch agre
 Exact copies are one class from the start. Classes that agree in a sketch meet in a bucket:
 each is compared with the bucket's hub, and hubs differ by bucket. After the components of
 those links are known, only classes of a bucket that still lie in different components
-are compared, all of them; a bucket of thousands of copies of one text costs a comparison for each,
-not for each pair, and no link between components is lost.
+are compared, all of them: in small buckets pair by pair, in large ones (thousands of copies of one
+text with similarities around the threshold) block by block, with one array operation for all pairs
+of two blocks. No link between components is lost, and no bucket's pairs become rows.
 
 Comparison is an alignment of the labelled runs inside the band that a similarity of
 ``SIMILARITY`` allows: the longest common chain in text order. Similarity is the share of aligned runs
@@ -32,13 +33,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from avisgrid.llm import textblocks as tb
-from avisgrid.llm.common import checkpointed, sized
+from avisgrid.llm.common import checkpointed, free_name, own_columns, sized
 from avisgrid.llm.components import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
 KEPT = 5
 SKETCHES = 36
+CROWD = 16  # classes of a bucket that are still compared pair by pair
+BLOCK = 256
 _AT_ONCE = 1 << 21  # hashes held for one text
 
 
@@ -225,34 +228,109 @@ def linked_classes(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFra
     placed = shared.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select(
         "key", "cid", F.coalesce("label", "cid").alias("label")
     )
-    mixed = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-    mixed = mixed.filter("lo <> hi").select("key")
-    placed = checkpointed(placed.join(mixed, "key"))
-    most = (
-        placed.groupBy("key", "label")
-        .count()
-        .groupBy("key")
-        .agg(F.max(F.struct("count", "label")).alias("m"))
-        .select("key", F.col("m.label").alias("major"))
-    )
-    minor = placed.join(most, "key").filter("label <> major")
-    other = placed.join(most, "key").select(
-        "key", F.col("cid").alias("cid2"), F.col("label").alias("label2"), (F.col("label") == F.col("major")).alias("is_major")
+    mixed = placed.groupBy("key").agg(
+        F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")
     )
+    mixed = mixed.filter("lo <> hi").select("key", "n")
+    placed = checkpointed(placed.join(mixed, "key"))
+    few = placed.filter(F.col("n") <= CROWD)
+    other = few.select("key", F.col("cid").alias("cid2"), F.col("label").alias("label2"))
     rest = (
-        minor.join(other, "key")
-        .filter("label <> label2 AND (is_major OR cid < cid2)")
-        .select(*_pair("cid", "cid2"))
+        few.join(other, "key")
+        .filter("label <> label2 AND cid < cid2")
+        .select(F.col("cid").alias("a"), F.col("cid2").alias("b"))
         .distinct()
         .join(pairs, ["a", "b"], "left_anti")
     )
-    more = _verified(checkpointed(rest), words)
+    more = _verified(checkpointed(rest), words).select("a", "b")
+    more = more.union(_crowd_links(placed.filter(F.col("n") > CROWD), words))
     if not more.isEmpty():
-        links = links.union(more)
+        links = links.select("a", "b").union(more)
         labels = components(links)
     return links, labels
 
 
+def _crowd_links(placed: DataFrame, words: DataFrame) -> DataFrame:
+    """Links between components inside large buckets, without a row for each pair.
+
+    Large buckets that share members form a crowd. Its members outside the largest component
+    meet all members, block by block: every task gets two blocks of ``BLOCK`` texts at most.
+    """
+    hub = placed.groupBy("key").agg(F.min("cid").alias("hub"))
+    spokes = placed.join(hub, "key").filter("cid <> hub")
+    crowd = components(spokes.select(F.col("cid").alias("a"), F.col("hub").alias("b")))
+    crowd = crowd.select(F.col("node").alias("cid"), F.col("label").alias("crowd"))
+    members = checkpointed(placed.select("cid", "label").distinct().join(crowd, "cid"))
+    sizes = members.groupBy("crowd", "label").count().groupBy("crowd")
+    sizes = sizes.agg(F.max(F.struct("count", "label")).alias("m"), F.sum("count").alias("n"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = sizes.select(
+        "crowd",
+        F.col("m.label").alias("major"),
+        blocks(F.col("n")).alias("n_all"),
+        blocks(F.col("n") - F.col("m.count")).alias("n_minor"),
+    )
+    dealt = members.join(sizes, "crowd").join(words, "cid")
+    place = lambda n: F.pmod(F.xxhash64("cid"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    minor = dealt.filter("label <> major").withColumn("i", place(F.col("n_minor")))
+    minor = minor.withColumn("j", each("n_all")).select("crowd", "i", "j", "cid", "label", "words")
+    all_ = dealt.withColumn("j", place(F.col("n_all"))).withColumn("i", each("n_minor"))
+    all_ = all_.select("crowd", "i", "j", "cid", "label", "words")
+    keys = ("crowd", "i", "j")
+    met = minor.groupBy(*keys).cogroup(all_.groupBy(*keys))
+    return checkpointed(met.applyInArrow(_block_links, "a binary, b binary"))
+
+
+def _block_links(left: pa.Table, right: pa.Table) -> pa.Table:
+    """One link for every two components that a pair of the blocks links."""
+    sides = []
+    for side in (left, right):
+        words = [np.frombuffer(w, np.uint64) for w in side.column("words").to_pylist()]
+        row = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        run, row = _shingles(np.concatenate([*words, np.zeros(0, np.uint64)]), row, len(words))
+        sides.append((words, side.column("cid").to_pylist(), side.column("label").to_pylist(), run, row))
+    found: dict[tuple, tuple] = {}
+    (xs, x_ids, x_labels, x_run, x_row), (ys, y_ids, y_labels, y_run, y_row) = sides
+    shape = (len(xs), len(ys))
+    if 0 not in shape:
+        near = np.zeros(shape, bool)
+        for labelled in (True, False):
+            kinds = []
+            for run, row in ((x_run, x_row), (y_run, y_row)):
+                if labelled:
+                    run = _labelled(run, row)
+                else:
+                    order = np.lexsort((run, row))
+                    run, row = run[order], row[order]
+                    new = np.append(True, (run[1:] != run[:-1]) | (row[1:] != row[:-1]))[: len(run)]
+                    run, row = run[new], row[new]
+                kinds.append((run, row))
+            near |= _overlap(*kinds, shape) >= SIMILARITY - 1e-9
+        for i, j in np.argwhere(near).tolist():
+            pair = (x_labels[i], y_labels[j])
+            if pair[0] != pair[1] and pair not in found and aligned(xs[i], ys[j]) >= SIMILARITY:
+                found[pair] = (x_ids[i], y_ids[j])
+    a, b = zip(*found.values()) if found else ((), ())
+    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+
+def _overlap(x: tuple, y: tuple, shape: tuple[int, int]) -> np.ndarray:
+    """Jaccard similarities of all pairs, from runs that occur once in their text."""
+    (x_run, x_row), (y_run, y_row) = x, y
+    order = np.argsort(x_run, kind="stable")
+    lo, hi = (np.searchsorted(x_run[order], y_run, side) for side in ("left", "right"))
+    common = np.zeros(shape[0] * shape[1], np.int64)
+    step = max(1, _AT_ONCE // max(1, shape[0]))
+    for k in range(0, len(y_run), step):
+        n = hi[k : k + step] - lo[k : k + step]
+        at = x_row[order[tb.gathered(lo[k : k + step], n)]] * shape[1] + np.repeat(y_row[k : k + step], n)
+        common += np.bincount(at, minlength=len(common))
+    common = common.reshape(shape)
+    total = np.bincount(x_row, minlength=shape[0])[:, None] + np.bincount(y_row, minlength=shape[1])
+    return common / np.maximum(total - common, 1)
+
+
 def grouped(docs: DataFrame) -> DataFrame:
     """Every row with its group: ``doc_id, cid, row, label`` (label is null for a lone class)."""
     rows = checkpointed(sketched(docs).withColumn("row", F.monotonically_increasing_id()))
@@ -298,13 +376,17 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     twice = checkpointed(
         members.filter(same).groupBy("doc_id", "cid").count().filter("count > 1").select("doc_id", "cid")
     )
-    keyed = docs.withColumns({"_near_cid": text_class(), "_near_id": F.col("doc_id").cast("long")})
-    key = lambda f: f.select(F.col("doc_id").alias("_d"), F.col("cid").alias("_c"))
-    on = F.col("_near_id").eqNullSafe(F.col("_d")) & (F.col("_near_cid") == F.col("_c"))
-    kept = keyed.join(sized(key(gone), gone.count()), on, "left_anti")
+    d, c, own_d, own_c = (free_name(docs, n) for n in ("_d", "_c", "_own_d", "_own_c"))
+    keyed = docs.withColumns({own_c: text_class(), own_d: F.col("doc_id").cast("long")})
+    on = F.col(own_d).eqNullSafe(F.col(d)) & (F.col(own_c) == F.col(c))
+
+    def listed(keys: DataFrame, n: int) -> DataFrame:
+        return sized(keys.select(F.col("doc_id").alias(d), F.col("cid").alias(c)), n)
+
+    kept = keyed.join(listed(gone, gone.count()), on, "left_anti")
     n_twice = twice.count()
     if n_twice:
-        single = kept.join(sized(key(twice), n_twice), on, "left_anti")
-        repeated = kept.join(sized(key(twice), n_twice), on, "left_semi")
-        kept = single.union(repeated.dropDuplicates(["_near_id", "_near_cid"]))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+        single = kept.join(listed(twice, n_twice), on, "left_anti")
+        repeated = kept.join(listed(twice, n_twice), on, "left_semi")
+        kept = single.union(repeated.dropDuplicates([own_d, own_c]))
+    return kept.select(*own_columns(docs))
