@@ -274,10 +274,10 @@ def _crowd_links(placed: DataFrame, words: DataFrame) -> DataFrame:
     place = lambda n: F.pmod(F.xxhash64("cid"), n).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     minor = dealt.filter("label <> major").withColumn("i", place(F.col("n_minor")))
-    minor = minor.withColumn("j", each("n_all")).select("crowd", "i", "j", "cid", "label", "words")
-    all_ = dealt.withColumn("j", place(F.col("n_all"))).withColumn("i", each("n_minor"))
-    all_ = all_.select("crowd", "i", "j", "cid", "label", "words")
     keys = ("crowd", "i", "j")
+    fresh = [F.col(c).alias(c) for c in (*keys, "cid", "label", "words")]  # both sides have the same source
+    minor = minor.withColumn("j", each("n_all")).select(*fresh)
+    all_ = dealt.withColumn("j", place(F.col("n_all"))).withColumn("i", each("n_minor")).select(*fresh)
     met = minor.groupBy(*keys).cogroup(all_.groupBy(*keys))
     return checkpointed(met.applyInArrow(_block_links, "a binary, b binary"))
 
