@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from avisgrid.session import work_dir
 
@@ -48,3 +52,16 @@ def free_name(df: DataFrame, name: str) -> str:
 def own_columns(df: DataFrame) -> list[Column]:
     """The frame's columns, whatever their names hold."""
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def map_rows(df: DataFrame, change: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``mapInArrow`` from the frame's columns to the same columns, whatever their names hold."""
+    names, inner = df.columns, [f"c{i}" for i in range(len(df.columns))]
+    schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(inner, df.schema.fields)])
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        named = (pa.RecordBatch.from_arrays(b.columns, names) for b in batches)
+        for batch in change(named):
+            yield pa.RecordBatch.from_arrays(batch.columns, inner)
+
+    return df.toDF(*inner).mapInArrow(renamed, schema).toDF(*names)

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from avisgrid.llm import textblocks as tb
+from avisgrid.llm.common import map_rows
 
 THRESHOLD = 0.5
 OVERLAP = 0.5
@@ -234,5 +235,5 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
                 clean_rows[[k for k, _ in _scan(batch, index, folder)]] = False
                 yield batch.filter(pa.array(clean_rows))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = map_rows(docs, keep)
     return docs

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from avisgrid.llm import textblocks as tb
+from avisgrid.llm.common import map_rows
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 24
@@ -372,12 +373,10 @@ def redacted(docs: DataFrame) -> DataFrame:
                 column = pa.compute.replace_with_mask(
                     column, pa.array(rows), pa.array([changed[r] for r in sorted(changed)], column.type)
                 )
-                columns = list(batch.columns)
-                columns[at] = column
-                batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+                batch = batch.set_column(at, "text", column)
             yield batch
 
-    out = docs.mapInArrow(mask, docs.schema)
+    out = map_rows(docs, mask)
     if "n_chars" in names:
         n = F.char_length("text").cast(docs.schema["n_chars"].dataType)
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), n).otherwise(F.col("n_chars")))

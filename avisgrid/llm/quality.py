@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from avisgrid.llm import textblocks as tb
-from avisgrid.llm.common import free_name, own_columns
+from avisgrid.llm.common import map_rows
 
 LABELLED = 6000
 POOL = 6000
@@ -281,14 +281,16 @@ def scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 def kept(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score ``threshold`` or more, all columns kept."""
     model = train(docs, labels)
-    inner = [c.alias(free_name(docs, f"_q{i}")) for i, c in enumerate(_inputs(docs))]
-    names = [n.split()[0] for n in _INPUT]
-    n = len(docs.columns)
+    given = set(docs.columns)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"text": pa.string(), "lang": pa.string(), "source": pa.string(), "n_chars": pa.int64()}
         for batch in batches:
-            view = pa.RecordBatch.from_arrays(batch.columns[n:], names)
-            rows = pa.array(_scored(view, model)[2] >= threshold)
-            yield pa.RecordBatch.from_arrays(batch.columns[:n], batch.schema.names[:n]).filter(rows)
-
-    return docs.select(*own_columns(docs), *inner).mapInArrow(keep, docs.schema)
+            view = [
+                batch.column(batch.schema.get_field_index(n)).cast(t) if n in given else pa.nulls(batch.num_rows, t)
+                for n, t in kinds.items()
+            ]
+            view = pa.RecordBatch.from_arrays(view, list(kinds))
+            yield batch.filter(pa.array(_scored(view, model)[2] >= threshold))
+
+    return map_rows(docs, keep)
