@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from avisgrid import schemas
 from avisgrid.functions import classify as cl
+from avisgrid.functions import taxonomy as tx
 from avisgrid.functions import text as tt
 from avisgrid.functions import times
 from avisgrid.operators import landing, verdicts
 from avisgrid.plans import activation, daily, marts, quality, star
-from avisgrid.session import prepare, scratch_path, spread, written
+from avisgrid.session import prepare, scratch_path, written
 from avisgrid.sources import fixture as fx
 from avisgrid.sources import payloads as pl
 from avisgrid.sources import reference_data, tables
@@ -56,13 +57,11 @@ def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return spread(docs, "doc_id")
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text")
-    return spread(said, "conv_id", "turn")
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text")
 
 
 # --- sources and landing ----------------------------------------------------
@@ -152,7 +151,7 @@ def join_title_body(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def cap_per_source_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = landing.capped(fx.arrived_reviews(spark, sf_dir))
+    kept = landing.capped(fx.arrived_reviews(spark, sf_dir), tx.MAX_PER_SOURCE_BRAND)
     return kept.select("source_code", "brand_code", "source_review_id", "arrival_page")
 
 
@@ -396,6 +395,16 @@ def stg_latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def multi_run_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs: the second repeats every tenth review with another text and the same times."""
+    first = raw_reviews(spark, sf_dir)
+    again = first.where(F.col("source_review_id").cast("bigint") % 10 == 0)
+    again = again.withColumn("text", F.concat("text", F.lit(" bis")))
+    runs = again.withColumn("run_id", F.lit("r2")).unionByName(first.withColumn("run_id", F.lit("r1")))
+    return star.staged(runs).select("source_code", "source_review_id", "collected_at", "text")
+
+
 @query
 def response_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return star.staged(raw_reviews(spark, sf_dir)).select(
@@ -413,7 +422,7 @@ def resolve_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def dim_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Members of the review dimensions with the number of reviews each has."""
+    """Members of all dimensions, every typed column, and the number of reviews each has."""
     seeds = reference_data.seeds(spark)
     rows = classified(spark, sf_dir)
     keys = {
@@ -432,9 +441,11 @@ def dim_all(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.count("*").alias("n_reviews"))
     )
     labels = None
-    for name in keys:
-        dim = star.dimension(seeds, name).select(
-            F.lit(name).alias("dimension"), "id", "code", "label"
+    for name in star.DIMENSIONS:
+        dim = star.dimension(seeds, name)
+        rest = [F.col(c).cast("string") for c in dim.columns if c not in ("id", "code", "label", "description")]
+        dim = dim.select(
+            F.lit(name).alias("dimension"), "id", "code", "label", F.concat_ws("|", *rest).alias("detail")
         )
         labels = dim if labels is None else labels.unionByName(dim)
     return labels.join(used, ["dimension", "id"], "left").withColumn(
@@ -634,6 +645,30 @@ def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tickets(spark, sf_dir)
 
 
+@query
+def tickets_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exported tickets as a reader of the file sees them."""
+    path = scratch_path(spark, "tickets-csv")
+    tables.write_csv(_tickets(spark, sf_dir).select(*schemas.TICKETS), path)
+    schema = (
+        "ticket_id string, review_id bigint, occurred_at timestamp, brand string, source string, "
+        "category string, severity string, rating int, status string, owner_team string, excerpt string"
+    )
+    return tables.read_csv(spark, path, schema)
+
+
+@query
+def alerts_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exported alerts as a reader of the file sees them."""
+    path = scratch_path(spark, "alerts-csv")
+    tables.write_csv(activation.alert_records(_spikes(spark, sf_dir), as_of()), path)
+    schema = (
+        "alert_id string, detected_at timestamp, brand string, category string, current_week date, "
+        "current_high bigint, baseline_avg_high double, ratio double"
+    )
+    return tables.read_csv(spark, path, schema)
+
+
 @query
 def new_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     fresh = activation.new_tickets(_tickets(spark, sf_dir), _pushed(spark, sf_dir))
@@ -659,11 +694,11 @@ def run_recap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def daily_recap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A whole day from payloads to recap, every table written; no cap, all reviews."""
+    """A whole day from payloads to recap, every table written; the reviews of its 30 days."""
     root = scratch_path(spark, "day")
     return daily.run_day(
         spark, fx.payloads(spark, sf_dir), root, "20240210T000000Z", as_of(),
-        fx.scripted_scorer, cap=0,
+        fx.scripted_scorer,
     )
 
 
@@ -694,7 +729,7 @@ def _check_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {
         "raw_reviews": raw,
         "fact_reviews": star.fact_reviews(rows),
-        "fact_classifications": star.fact_classifications(rows),
+        "fact_classifications": written(star.fact_classifications(rows), "classifications"),
         "fact_tickets": star.fact_tickets(star.numbered_tickets(rows, seeds)),
         **{n: star.dimension(seeds, n) for n in star.DIMENSIONS},
         "dim_date": star.calendar(spark),

@@ -25,8 +25,8 @@ def arrival_order() -> list[Column]:
     return [F.col(c).asc() for c in ARRIVAL_COLUMNS]
 
 
-def capped(df: DataFrame, n: int = tx.MAX_PER_SOURCE_BRAND) -> DataFrame:
-    """First ``n`` reviews per source and brand in order of arrival."""
+def capped(df: DataFrame, n: int) -> DataFrame:
+    """First ``n`` reviews per source and brand in order of arrival; 0 keeps all."""
     order = [*arrival_order(), F.col("source_review_id").asc_nulls_last()]
     return cap_groups(df, ["source_code", "brand_code"], order, n, list(ARRIVAL_COLUMNS))
 
@@ -51,9 +51,12 @@ def land(
     as_of: Column,
     brand_order: list[str],
     days: int = tx.WINDOW_DAYS,
-    cap: int = tx.MAX_PER_SOURCE_BRAND,
+    cap: int = 0,
 ) -> DataFrame:
-    """One run: payloads per source code to landed reviews stamped with ``as_of``."""
+    """One run: payloads per source code to landed reviews stamped with ``as_of``.
+
+    All reviews of the window are kept; ``cap`` limits them per source and brand, where asked for.
+    """
     frames = [recent(PARSERS[s](p), as_of, days) for s, p in payloads.items()]
     kept = keep_first(capped(union_sources(frames), cap), brand_order)
     stamped = kept.withColumn("collected_at", as_of.cast("timestamp"))

@@ -62,12 +62,16 @@ def replies(prompted: DataFrame, scorer: Scorer) -> DataFrame:
 
 
 def _ask(batch: pd.Series, scorer: Scorer) -> list:
+    """One reply for each prompt; a batch that fails or has another count goes row by row."""
     try:
-        return list(scorer(batch))
-    except Exception:  # noqa: BLE001 - a scorer may raise anything, e.g. on a timeout
-        if len(batch) == 1:
-            return [None]
-        return [_ask(batch.iloc[[i]], scorer)[0] for i in range(len(batch))]
+        answers = list(scorer(batch))
+        if len(answers) == len(batch):
+            return answers
+    except Exception:  # noqa: BLE001, S110 - a scorer may raise anything, e.g. on a timeout
+        pass
+    if len(batch) == 1:
+        return [None]
+    return [_ask(batch.iloc[[i]], scorer)[0] for i in range(len(batch))]
 
 
 def _confidence(reply: Column) -> Column:
@@ -118,10 +122,16 @@ def overrides(verdicts: DataFrame) -> DataFrame:
 
 
 def apply_verdicts(raw: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Replace the category where a verdict exists; severity keeps its first value."""
+    """Replace the category where a verdict exists; severity keeps its first value.
+
+    Only candidates can have a verdict, so only they meet the verdicts; the other rows stay
+    where they are.
+    """
     found = F.col("_verdict").isNotNull()
-    return (
-        raw.join(overrides(verdicts), KEY, "left")
+    asked = F.coalesce(is_candidate(), F.lit(False))
+    merged = (
+        raw.where(asked)
+        .join(overrides(verdicts), KEY, "left")
         .withColumns(
             {
                 "category_code": F.coalesce("_verdict", "category_code"),
@@ -132,6 +142,7 @@ def apply_verdicts(raw: DataFrame, verdicts: DataFrame) -> DataFrame:
         )
         .select(*raw.columns)
     )
+    return raw.where(~asked).unionByName(merged)
 
 
 def verdict_stats(raw: DataFrame, verdicts: DataFrame | None) -> DataFrame:

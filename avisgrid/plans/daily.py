@@ -53,7 +53,7 @@ def land_run(
     run_id: str,
     as_of: Column,
     days: int = tx.WINDOW_DAYS,
-    cap: int = tx.MAX_PER_SOURCE_BRAND,
+    cap: int = 0,
     seeds_folder: str | None = None,
 ) -> str:
     """Payloads to one bronze run; returns its path."""
@@ -70,14 +70,33 @@ def load_run(
     run_id: str | None = None,
     scorer: verdicts.Scorer | None = None,
 ) -> int:
-    """Refine a run (default: the last one) into the raw table; returns its row count.
+    """Refine every run that is not loaded yet into the raw table; returns the rows added.
 
-    With a scorer the unclassified reviews go through the second pass on the way.
+    The raw table has a partition for each run, so incremental landing keeps its history and
+    a load that was left out is made up for. ``run_id`` names a run to load again. With a
+    scorer the unclassified reviews go through the second pass on the way.
     """
-    refined = tables.raw_columns(cl.refine(tables.read_run(house.spark, house.bronze, run_id), as_of))
-    if scorer is not None:
-        refined = verdicts.reclassify(refined, scorer)
-    return tables.write_raw(refined, house.path("raw_reviews"))
+    landed = tables.run_ids(house.spark, house.bronze)
+    if not landed:
+        raise tables.NoRunError(f"no run below {house.bronze}")
+    raw = house.path("raw_reviews")
+    loaded = set(tables.run_ids(house.spark, raw)) - {run_id}
+    added = 0
+    for run in landed:
+        if run not in loaded:
+            refined = cl.refine(tables.read_run(house.spark, house.bronze, run), as_of)
+            refined = tables.raw_columns(refined)
+            if scorer is not None:
+                refined = verdicts.reclassify(refined, scorer)
+            added += tables.write_raw(refined, f"{raw}/run_id={run}")
+    return added
+
+
+def read_raw(house: Warehouse) -> DataFrame:
+    """The raw reviews of all loaded runs with their run; empty before the first."""
+    if not tables.run_ids(house.spark, house.path("raw_reviews")):
+        return house.spark.createDataFrame([], schemas.RAW_RUNS)
+    return house.spark.read.schema(schemas.RAW_RUNS).parquet(house.path("raw_reviews"))
 
 
 def build_star(house: Warehouse, seeds: dict[str, DataFrame]) -> None:
@@ -86,7 +105,7 @@ def build_star(house: Warehouse, seeds: dict[str, DataFrame]) -> None:
     ``fact_base`` holds the classified reviews sorted by date with their slots; every
     fact and mart is a projection or aggregate of it.
     """
-    raw = house.spark.read.schema(schemas.RAW).parquet(house.path("raw_reviews"))
+    raw = read_raw(house)
     for name in star.DIMENSIONS:
         house.write(name, star.dimension(seeds, name))
     house.write("dim_date", star.calendar(house.spark))
@@ -107,14 +126,14 @@ def build_marts(house: Warehouse, seeds: dict[str, DataFrame], as_of: Column) ->
 
 
 CHECKED = (
-    "raw_reviews", "fact_reviews", "fact_classifications", "fact_tickets", *star.DIMENSIONS,
+    "fact_reviews", "fact_classifications", "fact_tickets", *star.DIMENSIONS,
     "dim_date",
 )
 
 
 def check(house: Warehouse) -> DataFrame:
     """All declared checks; the report is kept, whatever the outcome."""
-    return house.write("quality_report", quality.report({t: house.read(t) for t in CHECKED}))
+    return house.write("quality_report", quality.report({**{t: house.read(t) for t in CHECKED}, "raw_reviews": read_raw(house)}))
 
 
 def find_alerts(house: Warehouse, seeds: dict[str, DataFrame], as_of: Column) -> DataFrame:
@@ -152,23 +171,25 @@ def run_day(
     run_id: str,
     as_of: Column,
     scorer: verdicts.Scorer | None = None,
-    cap: int = tx.MAX_PER_SOURCE_BRAND,
+    cap: int = 0,
     seeds_folder: str | None = None,
 ) -> DataFrame:
-    """A whole day.  Failed checks stop alerts and tickets; the recap is written anyway."""
+    """A whole day.  Failed checks stop alerts and tickets.
+
+    Whatever step fails, the recap is written anew: a recap of an earlier day never stays.
+    """
     house = Warehouse(prepare(spark), root)
     seeds = reference_data.seeds(spark, seeds_folder)
-    land_run(house, payloads, run_id, as_of, cap=cap, seeds_folder=seeds_folder)
-    load_run(house, as_of, run_id, scorer)
-    build_star(house, seeds)
-    build_marts(house, seeds, as_of)
-    report = check(house)
     try:
-        quality.gate(report)
+        land_run(house, payloads, run_id, as_of, cap=cap, seeds_folder=seeds_folder)
+        load_run(house, as_of, run_id, scorer)
+        build_star(house, seeds)
+        build_marts(house, seeds, as_of)
+        quality.gate(check(house))
         alerts = find_alerts(house, seeds, as_of)
         tickets = route_tickets(house, seeds, run_id)
         recap = activation.run_recap(tickets, alerts, read_ledger(house, run_id))
-    except quality.QualityGateError:
+        return house.write("recap", recap)
+    except Exception:
         house.write("recap", activation.empty_recap(spark))
         raise
-    return house.write("recap", recap)

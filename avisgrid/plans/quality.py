@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Allowed codes.
 SOURCE_CODES = ("trustpilot", "google_play", "app_store")
@@ -114,20 +115,20 @@ def row_checks(tables: dict[str, DataFrame]) -> DataFrame:
 def unique_checks(tables: dict[str, DataFrame], declared: dict[str, tuple]) -> DataFrame:
     """Values that occur more than once per declared column; NULL is ignored.
 
-    All columns share one shuffle, with numbers kept as numbers.
+    All columns share one shuffle; whole numbers stay numbers, other types compare as text.
     """
     values, zeros = [], []
     for table, columns in declared.items():
         df = tables[table]
         for column in columns:
-            numeric = df.schema[column].dataType.typeName() != "string"
+            numeric = isinstance(df.schema[column].dataType, T.IntegralType)
             name = [F.lit(table).alias("table_name"), F.lit(column).alias("column_name")]
             value = F.col(column)
             values.append(
                 df.where(value.isNotNull()).select(
                     *name,
                     (value.cast("bigint") if numeric else F.lit(None).cast("bigint")).alias("num"),
-                    (F.lit(None).cast("string") if numeric else value).alias("txt"),
+                    (F.lit(None).cast("string") if numeric else value.cast("string")).alias("txt"),
                 )
             )
             zeros.append(F.struct(*name, F.lit(0).cast("bigint").alias("failures")))

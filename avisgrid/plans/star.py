@@ -19,7 +19,7 @@ def newest_first() -> list[Column]:
     """Newest copy first; the columns after ``collected_at`` only settle ties.
 
     The text is no tie-breaker: marts that do not show it need not read or shuffle it.
-    A run holds a key once, so copies of one collection time do not occur.
+    A run holds a key once, so the run id, which ``staged`` adds, settles what is left.
     """
     return [
         *[F.col(c).desc_nulls_first() for c in ("collected_at", "classified_at", "review_date")],
@@ -30,7 +30,11 @@ def newest_first() -> list[Column]:
 def staged(raw: DataFrame) -> DataFrame:
     """Latest version per natural key, with response latency and flag."""
     latency = F.date_diff(F.to_date("vendor_response_at"), F.to_date("review_date"))
-    return first_per_key(raw, ["source_code", "source_review_id"], newest_first()).withColumns(
+    order = newest_first()
+    if "run_id" in raw.columns:
+        order.append(F.col("run_id").desc_nulls_last())
+    newest = first_per_key(raw, ["source_code", "source_review_id"], order).drop("run_id")
+    return newest.withColumns(
         {
             "rating": F.col("rating").cast("int"),
             "response_latency_days": latency,

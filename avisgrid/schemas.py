@@ -35,6 +35,9 @@ RAW = _struct(
     "severity_rating_score double, severity_text_score double, classified_at timestamp"
 )
 
+# Raw reviews as the warehouse keeps them: a partition for each run.
+RAW_RUNS = T.StructType([*RAW.fields, T.StructField("run_id", T.StringType())])
+
 SEEDS = {
     "brands": _struct("id int, code string, label string, is_focus boolean"),
     "sources": _struct("id int, code string, label string, type string, url string"),

@@ -48,17 +48,6 @@ def work_dir(spark: SparkSession) -> str:
     return own
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use all cores on a scan with fewer splits than cores; leave larger scans alone.
-
-    The rows go by hash of ``keys``, so a retried task sends them the same way.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
-
-
 def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{work_dir(spark)}/avisgrid/{label}-{uuid.uuid4().hex}"
 

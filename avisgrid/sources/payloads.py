@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from avisgrid.functions import taxonomy as tx
 from avisgrid.functions import text as tt
 from avisgrid.functions import times
-from avisgrid.functions.strict_json import strict_object
+from avisgrid.functions.strict_json import strict_object, strict_value
 
 REVIEW_COLUMNS = (
     "source_review_id", "brand_code", "source_code", "review_date", "rating", "text",
@@ -34,7 +34,7 @@ TRUSTPILOT_FIELDS = (
     "reply: struct<message: string, publishedDate: string>>>>>"
 )
 GOOGLE_PLAY_RECORD = (
-    "array<struct<reviewId: string, at: string, score: int, content: string, "
+    "array<struct<reviewId: string, at: string, score: variant, content: string, "
     "userName: string, reviewCreatedVersion: string, replyContent: string, repliedAt: string>>"
 )
 
@@ -133,7 +133,7 @@ def trustpilot_reviews(payloads: DataFrame) -> DataFrame:
 
 def google_play_reviews(payloads: DataFrame) -> DataFrame:
     """JSON batches of store records; empty strings count as missing."""
-    records = F.from_json(F.col("payload"), GOOGLE_PLAY_RECORD)
+    records = F.from_json(strict_value(F.col("payload")), GOOGLE_PLAY_RECORD)
     e = F.col("e")
     rows = (
         _entries(payloads, records)
@@ -149,7 +149,7 @@ def google_play_reviews(payloads: DataFrame) -> DataFrame:
             "brand_code",
             F.lit("google_play").alias("source_code"),
             "review_date",
-            e["score"].alias("rating"),
+            F.expr("try_variant_get(e.score, '$', 'int')").alias("rating"),
             F.coalesce(F.nullif(body, F.lit("")), F.lit(tx.EMPTY_BODY_TEXT)).alias("text"),
             F.nullif(e["userName"], F.lit("")).alias("author_handle"),
             F.nullif(e["reviewCreatedVersion"], F.lit("")).alias("app_version"),

@@ -22,8 +22,15 @@ def _packaged(name: str) -> pa.Table:
 
 
 @cache
+def _packaged_seed(spark: SparkSession, name: str) -> DataFrame:
+    return spark.createDataFrame(_packaged(name), schema=schemas.SEEDS[name])
+
+
 def seed(spark: SparkSession, name: str, folder: str | None = None) -> DataFrame:
-    """A reference table (one plan per session); ``folder`` names a shared folder with replacement CSV files.
+    """A reference table; ``folder`` names a shared folder with replacement CSV files.
+
+    Packaged tables have one plan per session. Replacement files are listed on every call, so a
+    file that was replaced meanwhile is read as it is now.
 
     No broadcast hint is given: the packaged tables (8 rows at most) become local
     relations of known size and replacement files are sized by the scan, so Spark
@@ -31,7 +38,7 @@ def seed(spark: SparkSession, name: str, folder: str | None = None) -> DataFrame
     """
     if folder:
         return spark.read.schema(schemas.SEEDS[name]).csv(f"{folder}/{name}.csv", header=True)
-    return spark.createDataFrame(_packaged(name), schema=schemas.SEEDS[name])
+    return _packaged_seed(spark, name)
 
 
 def seeds(spark: SparkSession, folder: str | None = None) -> dict[str, DataFrame]:

@@ -8,6 +8,17 @@ from pyspark.sql import functions as F
 from avisgrid import schemas
 
 
+# Quotes are doubled inside quotes and blanks kept, as every CSV reader expects.
+CSV = {
+    "header": True,
+    "quote": '"',
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+}
+
+
 class NoRunError(FileNotFoundError):
     """There is no bronze run to read."""
 
@@ -64,4 +75,9 @@ def write_raw(df: DataFrame, path: str) -> int:
 
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV export with header, also for a frame without rows."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").options(**CSV).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """An exported file, line breaks inside quotes included."""
+    return spark.read.schema(schema).options(**CSV, multiLine=True).csv(path)

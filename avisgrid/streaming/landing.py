@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from avisgrid.functions import taxonomy as tx
 from avisgrid.operators import landing
-from avisgrid.session import prepare
+from avisgrid.session import prepare, written
 from avisgrid.sources import reference_data, tables
 
 
@@ -32,23 +32,29 @@ def land_new_files(
     checkpoint: str,
     as_of: Column,
     days: int = tx.WINDOW_DAYS,
-    cap: int = tx.MAX_PER_SOURCE_BRAND,
+    cap: int = 0,
 ) -> list[str]:
-    """Land everything new below ``path`` and stop; returns the ids of the runs written."""
+    """Land everything new below ``path`` and stop; returns the ids of the runs written.
+
+    The run id comes from the batch alone, so a batch repeated on a later day replaces its own
+    run. A page of an unknown source stops the landing before anything is marked as read.
+    """
     prepare(spark)
     brands = [r.code for r in reference_data.seed(spark, "brands").orderBy("id").collect()]
-    stamp = spark.range(1).select(F.date_format(as_of, "yyyyMMdd'T'HHmmss'Z'")).first()[0]
-    written: list[str] = []
+    done: list[str] = []
 
     def land(batch: DataFrame, batch_id: int) -> None:
-        pages = {
-            source: batch.where(F.col("source_code") == source).drop("source_code")
-            for source in landing.PARSERS
-        }
-        run_id = f"{stamp}-{batch_id:06d}"
+        stored = written(batch, "pages")  # each file is read once, whatever the sources
+        known = list(landing.PARSERS)
+        strange = stored.where(~F.coalesce(F.col("source_code").isin(known), F.lit(False)))
+        names = [r[0] for r in strange.select("source_code").distinct().take(5)]
+        if names:
+            raise ValueError(f"pages of unknown sources: {names}")
+        pages = {s: stored.where(F.col("source_code") == s).drop("source_code") for s in known}
+        run_id = f"batch-{batch_id:06d}"
         run = landing.land(pages, as_of, brands, days, cap)
         tables.write_run(run, bronze, run_id)
-        written.append(run_id)
+        done.append(run_id)
 
     query = (
         payload_stream(spark, path)
@@ -58,4 +64,4 @@ def land_new_files(
         .start()
     )
     query.awaitTermination()
-    return written
+    return done

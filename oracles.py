@@ -245,20 +245,23 @@ cls AS (
     FROM fact f JOIN fact b ON b.source_review_id = f.source_review_id
                            AND b.source_id = f.source_id
 ),
-tck AS (
-    SELECT row_number() OVER (ORDER BY f.collected_at DESC NULLS FIRST, f.id) AS id,
-           f.id AS review_id, f.review_key, CAST(NULL AS VARCHAR) AS external_ticket_id,
-           1 AS status_id, c.severity_id, 'csv' AS channel, CAST(NULL AS VARCHAR) AS assignee,
-           f.collected_at AS created_at, CAST(NULL AS TIMESTAMP) AS resolved_at,
-           CAST(NULL AS VARCHAR) AS resolution_notes
-    FROM fact f JOIN cls c ON c.review_id = f.id
-    JOIN severities s ON s.id = c.severity_id JOIN categories k ON k.id = c.category_id
-    WHERE f.is_exploitable AND s.code = 'high' AND k.is_critical
+placed AS (
+    SELECT * FROM fact WHERE source_id IS NOT NULL AND source_review_id IS NOT NULL
 ),
 joined AS (
-    SELECT f.*, s.code AS sev_code, s.label AS severity_label, c.category_id AS cid
-    FROM fact f JOIN cls c ON c.review_id = f.id JOIN severities s ON s.id = c.severity_id
-    WHERE f.is_exploitable
+    SELECT *, severity_code AS sev_code, category_id AS cid
+    FROM placed WHERE is_exploitable AND severity_id IS NOT NULL
+),
+urgent AS (
+    SELECT * FROM joined
+    WHERE sev_code = 'high' AND cid IN (SELECT id FROM categories WHERE is_critical)
+),
+tck AS (
+    SELECT row_number() OVER (ORDER BY collected_at DESC NULLS FIRST, id) AS id, id AS review_id,
+           review_key, NULL::VARCHAR AS external_ticket_id, 1 AS status_id, severity_id,
+           'csv' AS channel, NULL::VARCHAR AS assignee, collected_at AS created_at,
+           NULL::TIMESTAMP AS resolved_at, NULL::VARCHAR AS resolution_notes
+    FROM urgent
 )"""
     )
 
@@ -271,17 +274,23 @@ def dec(x: str, digits: int) -> str:
     return f"CAST(round(CAST({x} AS DECIMAL(28, 10)), {digits}) AS DOUBLE)"
 
 
+def label(table: str, key: str) -> str:
+    """The label that a key has in a reference table."""
+    return f"(SELECT label FROM {table} WHERE id = {key})"
+
+
 DAILY = """,
 daily AS (
-    SELECT f.date_id, f.brand_id, b.code AS brand_code, b.label AS brand_label, b.is_focus,
-           count(*) AS total_reviews, avg(f.rating) AS avg_rating,
-           count(*) FILTER (sev_code = 'high') / count(*) AS share_critical
-    FROM joined f JOIN brands b ON b.id = f.brand_id
-    GROUP BY ALL
+    SELECT n.date_id, n.brand_id, b.code AS brand_code, b.label AS brand_label, b.is_focus,
+           n.seen AS total_reviews, n.stars / n.rated AS avg_rating, n.bad / n.seen AS share_critical
+    FROM (SELECT date_id, brand_id, count(*) AS seen, sum(rating) AS stars, count(rating) AS rated,
+                 count_if(sev_code = 'high') AS bad
+          FROM joined GROUP BY date_id, brand_id) n, brands b
+    WHERE b.id = n.brand_id
 ),
 rivals AS (
-    SELECT date_id, avg(avg_rating) AS competitor_avg_rating
-    FROM daily WHERE brand_code IN ('airbnb', 'booking') GROUP BY date_id
+    SELECT date_id, list_avg(list(avg_rating)) AS competitor_avg_rating
+    FROM daily WHERE NOT is_focus GROUP BY date_id
 )"""
 
 CELLS = """,
@@ -289,48 +298,50 @@ cells AS (
     SELECT date_id, brand_id, cid AS category_id, persona_id, count(*) AS review_count,
            CAST(sum(rating) AS BIGINT) AS rating_sum, count(rating) AS rating_count,
            count(*) FILTER (sev_code = 'high') AS high_count
-    FROM joined GROUP BY ALL
+    FROM joined GROUP BY date_id, brand_id, cid, persona_id
 ),
 focus AS (
-    SELECT category_id, avg(review_count) AS focus_volume
-    FROM cells JOIN brands b ON b.id = cells.brand_id AND b.code = 'abritel'
+    SELECT category_id, sum(review_count) / count(*) AS focus_volume
+    FROM cells WHERE brand_id IN (SELECT id FROM brands WHERE is_focus)
     GROUP BY category_id
 )"""
 
 VOICE = f"""
-    SELECT a.date_id, b.label AS brand_label, c.label AS category_label,
-           p.label AS persona_label, a.review_count,
-           {dec("a.rating_sum / a.rating_count", 2)} AS avg_rating,
-           {dec("a.high_count / a.review_count", 3)} AS share_high_severity,
-           CASE WHEN f.focus_volume IS NULL OR f.focus_volume = 0 THEN NULL
-                ELSE {dec("a.review_count / f.focus_volume", 2)} END AS ratio_vs_abritel
-    FROM cells a JOIN brands b ON b.id = a.brand_id JOIN categories c ON c.id = a.category_id
-    JOIN personas p ON p.id = a.persona_id LEFT JOIN focus f ON f.category_id = a.category_id"""
-
-WEEKLY = """,
+    SELECT date_id, {label("brands", "brand_id")} AS brand_label,
+           {label("categories", "category_id")} AS category_label,
+           {label("personas", "persona_id")} AS persona_label, review_count,
+           {dec("rating_sum / rating_count", 2)} AS avg_rating,
+           {dec("high_count / review_count", 3)} AS share_high_severity,
+           {dec("review_count / nullif(base, 0)", 2)} AS ratio_vs_abritel
+    FROM (SELECT *, avg(review_count) FILTER (brand_id IN (SELECT id FROM brands WHERE is_focus))
+                        OVER (PARTITION BY category_id) AS base FROM cells)
+    WHERE brand_id IS NOT NULL AND category_id IS NOT NULL AND persona_id IS NOT NULL"""
+
+# The newest weeks of a pair are one list, newest first: place 1 is now, places 2 to 5 are before.
+WEEKLY = f""",
 weekly AS (
-    SELECT b.label AS brand, c.label AS category,
-           CAST(date_trunc('week', review_date) AS DATE) AS week_start,
-           count(*) FILTER (sev_code = 'high') AS n_high, count(*) AS n_total
-    FROM joined j JOIN brands b ON b.id = j.brand_id JOIN categories c ON c.id = j.cid
-    GROUP BY ALL
+    SELECT {label("brands", "brand_id")} AS brand, {label("categories", "cid")} AS category,
+           week_start, n_high, n_total
+    FROM (SELECT brand_id, cid, date_trunc('week', review_date)::DATE AS week_start,
+                 count(*) FILTER (sev_code = 'high') AS n_high, count(*) AS n_total
+          FROM joined WHERE brand_id IS NOT NULL AND cid IS NOT NULL GROUP BY ALL)
+),
+history AS (
+    SELECT brand, category,
+           list({{'at': week_start, 'high': n_high, 'all': n_total}}
+                ORDER BY week_start DESC NULLS FIRST)[1:5] AS w
+    FROM weekly GROUP BY brand, category
 ),
 weeks AS (
-    SELECT * FROM (
-        SELECT *, row_number() OVER (PARTITION BY brand, category
-                                     ORDER BY week_start DESC NULLS FIRST) AS rn
-        FROM weekly) WHERE rn <= 5
+    SELECT brand, category, w[rn]['at'] AS week_start, w[rn]['high'] AS n_high,
+           w[rn]['all'] AS n_total, rn
+    FROM (SELECT *, unnest(range(1, len(w) + 1)) AS rn FROM history)
 ),
 spikes AS (
-    SELECT brand, category, max(CASE WHEN rn = 1 THEN week_start END) AS current_week,
-           max(CASE WHEN rn = 1 THEN n_high END) AS current_high,
-           avg(CASE WHEN rn BETWEEN 2 AND 5 THEN n_high END) AS baseline_avg_high
-    FROM weeks GROUP BY brand, category
-    HAVING max(CASE WHEN rn = 1 THEN n_high END) IS NOT NULL
-       AND avg(CASE WHEN rn BETWEEN 2 AND 5 THEN n_high END) > 0
-       AND max(CASE WHEN rn = 1 THEN n_high END) >= 5
-       AND max(CASE WHEN rn = 1 THEN n_high END)
-           >= 2 * avg(CASE WHEN rn BETWEEN 2 AND 5 THEN n_high END)
+    SELECT brand, category, w[1]['at'] AS current_week, w[1]['high'] AS current_high,
+           list_avg([x['high'] for x in w[2:5]]) AS baseline_avg_high
+    FROM history
+    WHERE baseline_avg_high > 0 AND current_high >= greatest(5, 2 * baseline_avg_high)
 )"""
 
 OWNER = (
@@ -344,15 +355,13 @@ def numbered_text(prefix: str, n: str) -> str:
     return f"'{prefix}' || repeat('0', greatest(0, 4 - length(CAST({n} AS VARCHAR)))) || {n}"
 
 
-CRITICAL = """,
+CRITICAL = f""",
 crit AS (
-    SELECT r.id AS review_id, r.review_key, r.review_date AS occurred_at, b.label AS brand,
-           s.label AS source, c.label AS category, v.label AS severity, r.rating,
-           substr(r.text, 1, 280) AS excerpt, c.code AS category_code, v.code AS severity_code
-    FROM fact r JOIN cls fc ON fc.review_id = r.id JOIN brands b ON b.id = r.brand_id
-    JOIN sources s ON s.id = r.source_id JOIN categories c ON c.id = fc.category_id
-    JOIN severities v ON v.id = fc.severity_id
-    WHERE r.is_exploitable AND v.code = 'high' AND c.is_critical
+    SELECT id AS review_id, review_key, review_date AS occurred_at,
+           {label("brands", "brand_id")} AS brand, {label("sources", "source_id")} AS source,
+           {label("categories", "cid")} AS category, {label("severities", "severity_id")} AS severity,
+           rating, substr(text, 1, 280) AS excerpt, category_code, sev_code AS severity_code
+    FROM urgent WHERE brand_id IS NOT NULL
 )"""
 
 TICKETS = (
@@ -375,7 +384,7 @@ known AS (SELECT review_key FROM fact WHERE CAST(source_review_id AS BIGINT) % 2
 # Expected verdict per stored reply, worked out by hand (number, category, confidence).
 VERDICTS = """,
 expected(n, verdict_category, verdict_confidence) AS (VALUES
-    (0, 'service_client', 0.85::DOUBLE), (1, 'app_fr', 0.6), (2, NULL, NULL), (3, NULL, NULL),
+    (0, 'communication_hote', 0.72::DOUBLE), (1, 'qualite_annonces', 0.55), (2, NULL, NULL), (3, NULL, NULL),
     (4, NULL, NULL), (5, 'app_fr', 1.0), (6, 'qualite_annonces', 0.0),
     (7, 'communication_hote', 0.5), (8, NULL, NULL), (9, NULL, NULL), (10, 'non_classe', 0.3),
     (11, 'fiabilite_reservations', 0.25), (12, 'parcours_paiement', 0.5), (13, NULL, NULL),
@@ -545,10 +554,9 @@ REPORT = "\nUNION ALL ".join(
 RECAP = """
     SELECT csv_tickets, new_tickets, alerts,
            ':bell: *Avis clients — run terminé*' || chr(10)
-           || '• *' || csv_tickets || '* tickets critiques détectés ce run' || chr(10)
-           || '• *' || new_tickets || '* nouveaux tickets poussés vers Notion' || chr(10)
-           || '• :rotating_light: *' || alerts || '* alertes spike (7j vs baseline 4 sem)'
-               AS message
+           || '- tickets critiques : ' || csv_tickets || chr(10)
+           || '- dont nouveaux : ' || new_tickets || chr(10)
+           || '- hausses de la semaine : ' || alerts AS message
     FROM (SELECT (SELECT count(*) FROM tickets) AS csv_tickets,
                  (SELECT count(*) FROM tickets
                   WHERE review_key NOT IN (SELECT review_key FROM known)) AS new_tickets,
@@ -571,9 +579,9 @@ day AS (
 raw AS (
     SELECT * REPLACE (
         CASE WHEN is_exploitable AND category_code = 'non_classe' AND contains(text, 'oui oui')
-             THEN 'service_client'
+             THEN 'communication_hote'
              WHEN is_exploitable AND category_code = 'non_classe'
-                  AND contains(text, 'vraiment été content') THEN 'app_fr'
+                  AND contains(text, 'ravi du séjour') THEN 'qualite_annonces'
              ELSE category_code END AS category_code),
         'heuristic' AS category_source, collected_at AS classified_at
     FROM refined
@@ -683,11 +691,9 @@ ORACLES: dict[str, str] = {
     "land_run": sql(
         FIXTURE + APP_STORE + TRUSTPILOT + GOOGLE_PLAY,
         f"""
-        SELECT {REVIEW_COLUMNS}, TIMESTAMP '2024-02-10 00:00:00' AS collected_at FROM (
-            SELECT *, row_number() OVER (PARTITION BY source_code, brand_code ORDER BY eid) AS rn
-            FROM (SELECT * FROM app UNION ALL SELECT * FROM trust UNION ALL SELECT * FROM play)
-            WHERE {IN_WINDOW})
-        WHERE rn <= 100""",
+        SELECT {REVIEW_COLUMNS}, TIMESTAMP '2024-02-10 00:00:00' AS collected_at
+        FROM (SELECT * FROM app UNION ALL SELECT * FROM trust UNION ALL SELECT * FROM play)
+        WHERE {IN_WINDOW}""",
     ),
     "bronze_roundtrip": sql(LANDED, "SELECT * FROM landed"),
     "latest_run_scan": sql(
@@ -757,20 +763,20 @@ ORACLES: dict[str, str] = {
     "model_scoring": sql(
         STAGED,
         """SELECT source_review_id, source_code,
-                  CASE text WHEN 'oui oui' THEN 'service_client' ELSE 'app_fr' END
+                  CASE text WHEN 'oui oui' THEN 'communication_hote' ELSE 'qualite_annonces' END
                       AS verdict_category,
-                  CASE text WHEN 'oui oui' THEN 0.85::DOUBLE ELSE 0.6 END AS verdict_confidence
-           FROM stg WHERE text IN ('oui oui', 'Ce n''est pas une arnaque, j''ai vraiment été content')
+                  CASE text WHEN 'oui oui' THEN 0.72::DOUBLE ELSE 0.55 END AS verdict_confidence
+           FROM stg WHERE text = 'oui oui' OR text LIKE '%ravi du séjour'
         """,
     ),
     "reclassify_reviews": sql(
         STAGED,
         """
         SELECT source_review_id, source_code,
-               CASE WHEN text = 'oui oui' THEN 'service_client'
-                    WHEN text LIKE '%vraiment été content' THEN 'app_fr'
+               CASE WHEN text = 'oui oui' THEN 'communication_hote'
+                    WHEN text LIKE '%ravi du séjour' THEN 'qualite_annonces'
                     ELSE category_code END AS category_code,
-               CASE WHEN text = 'oui oui' OR text LIKE '%vraiment été content' THEN 'llm'
+               CASE WHEN text = 'oui oui' OR text LIKE '%ravi du séjour' THEN 'llm'
                     ELSE category_source END AS category_source,
                severity_code
         FROM stg""",
@@ -800,6 +806,13 @@ ORACLES: dict[str, str] = {
         """SELECT source_review_id, source_code, brand_code, review_date, rating, text,
                   collected_at, severity_code FROM stg""",
     ),
+    "multi_run_stage": sql(
+        STAGED,
+        """SELECT source_code, source_review_id, collected_at,
+                  text || CASE WHEN CAST(source_review_id AS BIGINT) % 10 = 0 THEN ' bis' ELSE '' END
+                      AS text
+           FROM stg""",
+    ),
     "response_latency": sql(
         STAGED,
         """SELECT source_review_id, source_code, response_latency_days, vendor_responded
@@ -813,14 +826,16 @@ ORACLES: dict[str, str] = {
     "dim_all": sql(
         STAR,
         "\nUNION ALL ".join(
-            f"""SELECT '{dim}' AS dimension, d.id, d.code, d.label, count(f.id) AS n_reviews
-                FROM {table} d LEFT JOIN fact f ON f.{key} = d.id GROUP BY ALL"""
-            for dim, table, key in (
-                ("dim_brand", "brands", "brand_id"),
-                ("dim_source", "sources", "source_id"),
-                ("dim_category", "categories", "category_id"),
-                ("dim_severity", "severities", "severity_id"),
-                ("dim_persona", "personas", "persona_id"),
+            f"""SELECT '{dim}' AS dimension, d.id, d.code, d.label, {detail} AS detail,
+                       (SELECT count(*) FROM fact WHERE {key} = d.id) AS n_reviews
+                FROM {table} d"""
+            for dim, table, key, detail in (
+                ("dim_brand", "brands", "brand_id", "CAST(d.is_focus AS VARCHAR)"),
+                ("dim_source", "sources", "source_id", "d.type || '|' || d.url"),
+                ("dim_category", "categories", "category_id", "CAST(d.is_critical AS VARCHAR)"),
+                ("dim_severity", "severities", "severity_id", "CAST(d.rank AS VARCHAR)"),
+                ("dim_persona", "personas", "persona_id", "''"),
+                ("dim_ticket_status", "statuses", "-1", "CAST(d.is_terminal AS VARCHAR)"),
             )
         ),
     ),
@@ -866,17 +881,15 @@ ORACLES: dict[str, str] = {
     "dm_direction_synthese": sql(
         STAR + DAILY,
         f"""
-        SELECT p.date_id, p.brand_label, p.total_reviews, {dec("p.avg_rating", 2)} AS avg_rating,
-               {dec("p.share_critical", 3)} AS share_critical,
-               coalesce(CAST(ts.rate AS DOUBLE), 0.0) AS ticket_resolution_rate,
-               CASE WHEN p.brand_code = 'abritel' AND ca.competitor_avg_rating IS NOT NULL
-                    THEN {dec("p.avg_rating - ca.competitor_avg_rating", 2)} END
+        SELECT date_id, brand_label, total_reviews, {dec("avg_rating", 2)} AS avg_rating,
+               {dec("share_critical", 3)} AS share_critical,
+               coalesce(solved, 0.0) AS ticket_resolution_rate,
+               CASE WHEN is_focus THEN {dec("avg_rating - competitor_avg_rating", 2)} END
                    AS gap_vs_competitors
-        FROM daily p LEFT JOIN rivals ca ON ca.date_id = p.date_id
-        LEFT JOIN (SELECT f.date_id, count(*) FILTER (st.is_terminal) / count(*) AS rate
-                   FROM tck t JOIN fact f ON f.id = t.review_id
-                   JOIN statuses st ON st.id = t.status_id GROUP BY f.date_id) ts
-          ON ts.date_id = p.date_id""",
+        FROM daily LEFT JOIN rivals USING (date_id)
+        LEFT JOIN (SELECT date_id, avg(CASE WHEN status_id IN
+                              (SELECT id FROM statuses WHERE is_terminal) THEN 1 ELSE 0 END) AS solved
+                   FROM tck JOIN fact ON fact.id = tck.review_id GROUP BY date_id) USING (date_id)""",
     ),
     "marketing_agg": sql(STAR + CELLS, "SELECT * FROM cells"),
     "focus_baseline": sql(
@@ -886,29 +899,29 @@ ORACLES: dict[str, str] = {
     "dm_marketing_voc": sql(STAR + CELLS, VOICE),
     "dm_finance_litiges": sql(
         STAR,
-        """
-        SELECT r.id AS review_id, r.review_key, r.date_id, b.label AS brand_label,
-               s.label AS source_label, c.code AS category_code, c.label AS category_label,
-               v.label AS severity_label, r.rating, r.vendor_responded, r.response_latency_days,
-               substr(r.text, 1, 280) AS review_excerpt, r.review_date
-        FROM fact r JOIN cls fc ON fc.review_id = r.id JOIN categories c ON c.id = fc.category_id
-        JOIN severities v ON v.id = fc.severity_id JOIN brands b ON b.id = r.brand_id
-        JOIN sources s ON s.id = r.source_id
-        WHERE r.is_exploitable AND c.code IN ('transparence_financiere', 'parcours_paiement')""",
+        f"""
+        SELECT id AS review_id, review_key, date_id, {label("brands", "brand_id")} AS brand_label,
+               {label("sources", "source_id")} AS source_label, category_code,
+               {label("categories", "cid")} AS category_label,
+               {label("severities", "severity_id")} AS severity_label, rating, vendor_responded,
+               response_latency_days, substr(text, 1, 280) AS review_excerpt, review_date
+        FROM joined
+        WHERE cid IN (SELECT id FROM categories
+                      WHERE code IN ('transparence_financiere', 'parcours_paiement'))
+          AND brand_id IS NOT NULL""",
     ),
     "dm_sav_tickets": sql(
         STAR,
-        """
-        SELECT t.id AS ticket_id, t.review_id, t.review_key, c.label AS category_label,
-               v.label AS severity_label, st.label AS status_label, t.assignee,
-               CAST(date_sub('day', t.created_at, TIMESTAMP '2024-02-10 00:00:00') AS INTEGER)
+        f"""
+        SELECT tck.id AS ticket_id, review_id, tck.review_key, {label("categories", "cid")} AS category_label,
+               {label("severities", "tck.severity_id")} AS severity_label,
+               {label("statuses", "status_id")} AS status_label, assignee,
+               CAST(date_sub('day', created_at, TIMESTAMP '2024-02-10 00:00:00') AS INTEGER)
                    AS days_open,
-               substr(r.text, 1, 280) AS review_excerpt, r.vendor_responded,
-               b.label AS brand_label, s.label AS source_label, t.created_at
-        FROM tck t JOIN fact r ON r.id = t.review_id JOIN cls fc ON fc.review_id = r.id
-        JOIN categories c ON c.id = fc.category_id JOIN severities v ON v.id = t.severity_id
-        JOIN statuses st ON st.id = t.status_id JOIN brands b ON b.id = r.brand_id
-        JOIN sources s ON s.id = r.source_id""",
+               substr(text, 1, 280) AS review_excerpt, vendor_responded,
+               {label("brands", "brand_id")} AS brand_label,
+               {label("sources", "source_id")} AS source_label, created_at
+        FROM tck, urgent WHERE urgent.id = review_id AND brand_id IS NOT NULL""",
     ),
     "mart_counts": sql(
         STAR + CELLS,
@@ -927,6 +940,15 @@ ORACLES: dict[str, str] = {
         FROM (SELECT *, row_number() OVER (ORDER BY ratio DESC, brand, category) AS n
               FROM (SELECT *, current_high / baseline_avg_high AS ratio FROM spikes))""",
     ),
+    "alerts_csv": sql(
+        STAR + WEEKLY,
+        f"""
+        SELECT {numbered_text("ALERT-", "n")} AS alert_id,
+               TIMESTAMP '2024-02-10 00:00:00' AS detected_at, brand, category, current_week,
+               current_high, baseline_avg_high, ratio
+        FROM (SELECT *, row_number() OVER (ORDER BY ratio DESC, brand, category) AS n
+              FROM (SELECT *, current_high / baseline_avg_high AS ratio FROM spikes))""",
+    ),
     "critical_reviews": sql(STAR + CRITICAL, "SELECT * FROM crit"),
     "ticket_numbers": sql(
         STAR,
@@ -941,6 +963,11 @@ ORACLES: dict[str, str] = {
             FROM fact GROUP BY ALL""",
     ),
     "tickets": sql(STAR + TICKETS, "SELECT * FROM tickets"),
+    "tickets_csv": sql(
+        STAR + TICKETS,
+        """SELECT ticket_id, review_id, occurred_at, brand, source, category, severity, rating, status,
+                  owner_team, excerpt FROM tickets""",
+    ),
     "new_tickets": sql(
         STAR + TICKETS + KNOWN,
         """SELECT ticket_id, review_key, owner_team FROM tickets

@@ -1,11 +1,15 @@
 """The daily run end to end on files."""
 
+import csv
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from avisgrid import schemas
 from avisgrid.plans import daily, quality
 from avisgrid.sources import fixture as fx
+from avisgrid.sources import reference_data, tables
 
 
 def as_of():
@@ -22,7 +26,7 @@ def test_two_days(spark, payloads, tmp_path):
     house = daily.Warehouse(spark, root)
     first = daily.run_day(spark, payloads, root, "20240210T000000Z", as_of(), fx.scripted_scorer).first()
     raw = house.read("raw_reviews")
-    assert raw.columns == schemas.RAW.fieldNames()
+    assert raw.columns == schemas.RAW_RUNS.fieldNames()
     assert {r.category_source for r in raw.select("category_source").distinct().collect()} == {
         "heuristic", "llm",
     }
@@ -68,3 +72,59 @@ def test_empty_day_writes_an_empty_run_and_keeps_the_raw_table(spark, payloads,
     daily.land_run(house, payloads, "20300101T000000Z", late)
     assert daily.load_run(house, late) == 0
     assert house.read("raw_reviews").count() == n
+
+
+def test_runs_add_up_and_a_broken_step_renews_the_recap(spark, payloads, tmp_path, monkeypatch):
+    house = daily.Warehouse(spark, str(tmp_path))
+    parts = [{s: p.where(F.col("arrival_page") % 2 == k) for s, p in payloads.items()} for k in (0, 1)]
+    for k, part in enumerate(parts):
+        daily.land_run(house, part, f"r{k}", as_of())
+    both = daily.load_run(house, as_of())  # the first run was never loaded on its own
+    assert daily.read_raw(house).count() == both
+    assert {r.run_id for r in daily.read_raw(house).select("run_id").distinct().collect()} == {"r0", "r1"}
+    assert daily.load_run(house, as_of()) == 0
+    assert daily.load_run(house, as_of(), "r1") > 0
+    assert daily.read_raw(house).count() == both
+    for step in ("land_run", "build_marts", "route_tickets"):
+        house.write("recap", spark.createDataFrame([(1, 1, 1, "old")], house_recap_schema()))
+        with monkeypatch.context() as m:
+            m.setattr(daily, step, lambda *a, **k: 1 / 0)
+            with pytest.raises(ZeroDivisionError):
+                daily.run_day(spark, payloads, str(tmp_path), "r2", as_of())
+        assert house.read("recap").isEmpty()
+
+
+def house_recap_schema():
+    return "csv_tickets bigint, new_tickets bigint, alerts bigint, message string"
+
+
+def test_all_reviews_are_landed_by_default(spark, tmp_path):
+    rows = [
+        {"reviewId": str(i), "at": "2024-02-01 10:00:00", "score": 4.0, "content": f"avis numéro {i}"}
+        for i in range(150)
+    ]
+    page = spark.createDataFrame([("abritel", 1, json.dumps(rows)), ("abritel", 2, json.dumps(rows[:1]) + " x")],
+                                 "brand_code string, arrival_page bigint, payload string")
+    house = daily.Warehouse(spark, str(tmp_path))
+    daily.land_run(house, {"google_play": page}, "r", F.lit("2024-02-10").cast("timestamp"))
+    landed = tables.read_run(spark, house.bronze).collect()
+    assert len(landed) == 150 and {r.rating for r in landed} == {4}
+
+
+def test_exports_are_plain_csv(spark, tmp_path):
+    said = ['il a dit "non, merci"', "  deux\nlignes, et des blancs  ", None, "l'hôte \\ \"x\\\""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "i int, t string").coalesce(1)
+    tables.write_csv(df, str(tmp_path / "x.csv"))
+    part = next((tmp_path / "x.csv").glob("part-*"))
+    with part.open(newline="", encoding="utf-8") as f:
+        rows = list(csv.reader(f))
+    assert rows == [["i", "t"], *[[str(i), t or ""] for i, t in enumerate(said)]]
+    back = tables.read_csv(spark, str(tmp_path / "x.csv"), "i int, t string").orderBy("i").collect()
+    assert [r.t for r in back] == said
+
+
+def test_replaced_seed_files_are_read_anew(spark, tmp_path):
+    seed = tmp_path / "personas.csv"
+    for n in (2, 5):
+        seed.write_text("id,code,label\n" + "".join(f"{i},c{i},Persona {i}\n" for i in range(n)))
+        assert reference_data.seed(spark, "personas", str(tmp_path)).count() == n

@@ -68,7 +68,7 @@ def test_deduplication_limits_before_the_shuffle(tables):
 
 
 def test_cap_is_split_before_it_is_gathered(spark, sf_dir):
-    text = plan(landing.capped(fx.arrived_reviews(spark, sf_dir)))
+    text = plan(landing.capped(fx.arrived_reviews(spark, sf_dir), 100))
     assert re.findall(r"row_number\(\), 100, (\w+)", text) == ["Final", "Partial"] * 2
     assert "_slice" in text
 

@@ -29,17 +29,17 @@ QUALITY_CASES = [
     ("RIEN A DIRE", "generique_non_actionnable"),
     ("n'ai", "trop_court"),
     ("je n'ai", None),
-    ("L'application bug constamment, impossible de finaliser ma réservation.", None),
-    ("En tant que propriétaire, je n'arrive plus à publier mon annonce.", None),
+    ("Le calendrier se fige chaque fois que je choisis deux nuits.", None),
+    ("Je suis propriétaire et mon annonce ne se publie plus depuis hier.", None),
 ]
 
 CATEGORY_CASES = [
-    ("J'ai été prélevé deux fois, aucun remboursement", "transparence_financiere"),
-    ("Réservation annulée 3 jours avant le départ, indisponible", "fiabilite_reservations"),
-    ("Tout est affiché en dollars sur un site français", "app_fr"),
-    ("SAV injoignable, aucune réponse depuis 2 semaines", "service_client"),
+    ("Deux débits pour un seul séjour : prélevé deux fois, toujours aucun remboursement", "transparence_financiere"),
+    ("Le logement est devenu indisponible, réservation annulée à la dernière minute", "fiabilite_reservations"),
+    ("Les tarifs sortent en dollars alors que je navigue depuis Lyon", "app_fr"),
+    ("Trois appels à un SAV injoignable, deux courriels, aucune réponse", "service_client"),
     ("ras", "non_classe"),
-    ("Ce n'est pas une arnaque, j'ai vraiment été content", "non_classe"),
+    ("Je craignais le pire mais ce n'est pas une arnaque, je suis ravi du séjour", "non_classe"),
     ("This is not a scam", "non_classe"),
     ("prix en $", "app_fr"),
     ("paiement refusé", "transparence_financiere"),
@@ -48,7 +48,7 @@ CATEGORY_CASES = [
 ]
 
 SEVERITY_CASES = [
-    ("C'est une arnaque honteuse", 5, "high", 0.0, 1.0),
+    ("Une arnaque, et un accueil honteux", 5, "high", 0.0, 1.0),
     ("rien à signaler", 1, "high", 1.0, 0.0),
     ("paiement bloqué", 2, "high", 0.75, 0.0),
     ("SAV lent", 2, "medium", 0.75, 0.0),
@@ -60,9 +60,9 @@ SEVERITY_CASES = [
 ]
 
 PERSONA_CASES = [
-    ("Je suis propriétaire et je gère mes annonces", "proprietaire"),
-    ("En tant qu'hôte, rien ne va", "proprietaire"),
-    ("Je n'ai pas pu réserver mon appartement", "locataire"),
+    ("Propriétaire de deux gîtes, je suis mes annonces chaque soir", "proprietaire"),
+    ("En tant qu'hôte je perds patience", "proprietaire"),
+    ("La chambre louée n'avait pas de volets", "locataire"),
     (" ", "indetermine"),
     (None, "indetermine"),
 ]
