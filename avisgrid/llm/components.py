@@ -8,19 +8,24 @@ from pyspark.sql import functions as F
 from avisgrid.llm.common import checkpointed
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+# Edges in a partition at most; short lists take few partitions, whatever the session's number is.
+EDGES = 100_000
+PARTITIONS = 8
+
+
+def _large_star(edges: DataFrame, parts: int) -> DataFrame:
     """Hang the larger neighbours of every node on its smallest one."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
     hung = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return hung.distinct()
+    return hung.coalesce(parts).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, parts: int) -> DataFrame:
     """Hang every node and its smaller neighbours on the smallest of them."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
     hung = edges.join(least, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return hung.union(least.select("a", F.col("m").alias("b"))).distinct()
+    return hung.union(least.select("a", F.col("m").alias("b"))).coalesce(parts).distinct()
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -33,7 +38,9 @@ def components(links: DataFrame) -> DataFrame:
     edges = checkpointed(edges.filter("a > b"))
     state = _state(edges)
     while state[0]:
-        edges = checkpointed(_small_star(_large_star(edges)))
+        parts = max(PARTITIONS, state[0] // EDGES)
+        edges = edges.coalesce(parts)
+        edges = checkpointed(_small_star(_large_star(edges, parts), parts).coalesce(parts))
         before, state = state, _state(edges)
         if state == before:
             break

@@ -162,7 +162,7 @@ def aligned(x: np.ndarray, y: np.ndarray) -> float:
 
 
 def _word_lists(docs: DataFrame, needed: DataFrame, n_needed: int) -> DataFrame:
-    """``cid, words`` (64-bit hashes) of the needed classes, once each."""
+    """``cid, words`` (32-bit hashes) of the needed classes, once each."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folder = _folder()
@@ -173,7 +173,7 @@ def _word_lists(docs: DataFrame, needed: DataFrame, n_needed: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, hi - lo),
-                        pa.array([h[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary()),
+                        pa.array([h[a:b].astype(np.uint32).tobytes() for a, b in zip(at, at[1:])], pa.binary()),
                     ],
                     ["cid", "words"],
                 )
@@ -184,13 +184,17 @@ def _word_lists(docs: DataFrame, needed: DataFrame, n_needed: int) -> DataFrame:
     return checkpointed(lists.groupBy("cid").agg(F.first("words").alias("words")))
 
 
+def _words(stored: bytes) -> np.ndarray:
+    return np.frombuffer(stored, np.uint32).astype(np.uint64)
+
+
 def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
     """The pairs of classes that are similar enough."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (batch.column(k).to_pylist() for k in (2, 3))
-            alike = [aligned(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(x, y)]
+            alike = [aligned(_words(p), _words(q)) for p, q in zip(x, y)]
             rows = batch.select([0, 1]).append_column("similarity", pa.array(alike, pa.float64()))
             yield rows.filter(pa.array([s >= SIMILARITY for s in alike]))
 
@@ -286,7 +290,7 @@ def _block_links(left: pa.Table, right: pa.Table) -> pa.Table:
     """One link for every two components that a pair of the blocks links."""
     sides = []
     for side in (left, right):
-        words = [np.frombuffer(w, np.uint64) for w in side.column("words").to_pylist()]
+        words = [_words(w) for w in side.column("words").to_pylist()]
         row = np.repeat(np.arange(len(words)), [len(w) for w in words])
         run, row = _shingles(np.concatenate([*words, np.zeros(0, np.uint64)]), row, len(words))
         sides.append((words, side.column("cid").to_pylist(), side.column("label").to_pylist(), run, row))
