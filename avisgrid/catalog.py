@@ -692,14 +692,29 @@ def run_recap(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query
-def daily_recap(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _day(spark: SparkSession, sf_dir: str) -> daily.Warehouse:
     """A whole day from payloads to recap, every table written; the reviews of its 30 days."""
     root = scratch_path(spark, "day")
-    return daily.run_day(
-        spark, fx.payloads(spark, sf_dir), root, "20240210T000000Z", as_of(),
-        fx.scripted_scorer,
-    )
+    payloads = fx.payloads(spark, sf_dir)
+    daily.run_day(spark, payloads, root, "20240210T000000Z", as_of(), fx.scripted_scorer)
+    return daily.Warehouse(spark, root)
+
+
+@query
+def daily_recap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _day(spark, sf_dir).read("recap")
+
+
+@query
+def daily_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The review facts that the daily run wrote."""
+    return _day(spark, sf_dir).read("fact_reviews")
+
+
+@query
+def daily_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The synthesis that the daily run wrote, after the second pass."""
+    return _day(spark, sf_dir).read("dm_direction_synthese")
 
 
 # --- quality checks ---------------------------------------------------------
