@@ -107,7 +107,7 @@ def sketched(docs: DataFrame) -> DataFrame:
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folder = _folder()
         for batch in batches:
-            for lo, hi, raw, offsets in tb.blocks(batch, "text"):
+            for lo, hi, raw, offsets in tb.blocks(batch, "text", tb.BLOCK_BYTES // 2):
                 h, _, _, row = tb.word_hashes(folder, raw, offsets)
                 run, row = _shingles(h, row, hi - lo)
                 x = _labelled(run, row)
@@ -167,7 +167,7 @@ def _word_lists(docs: DataFrame, needed: DataFrame, n_needed: int) -> DataFrame:
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folder = _folder()
         for batch in batches:
-            for lo, hi, raw, offsets in tb.blocks(batch, "text"):
+            for lo, hi, raw, offsets in tb.blocks(batch, "text", tb.BLOCK_BYTES // 2):
                 h, _, _, row = tb.word_hashes(folder, raw, offsets)
                 at = np.searchsorted(row, np.arange(hi - lo + 1))
                 yield pa.RecordBatch.from_arrays(
