@@ -36,7 +36,7 @@ class Warehouse:
         return self.path("bronze")
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+        tables.replace(df, self.path(name))
         return self.read(name)
 
     def read(self, name: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,10 +25,29 @@ class NoRunError(FileNotFoundError):
     """There is no bronze run to read."""
 
 
+def replace(df: DataFrame, path: str, kind: str = "parquet", **options) -> None:
+    """Write a table beside ``path`` and put it in the old one's place when it is complete.
+
+    A failed job leaves the old table as it was, and a frame may read the table it replaces.
+    Names with an underscore are invisible to Spark's readers.
+    """
+    spark = df.sparkSession
+    parent, own = path.rstrip("/").rsplit("/", 1)
+    fresh, old = (f"{parent}/_{part}-{uuid.uuid4().hex}" for part in ("new", "old"))
+    df.write.format(kind).options(**options).save(fresh)
+    at, fresh, old = map(spark._jvm.org.apache.hadoop.fs.Path, (f"{parent}/{own}", fresh, old))
+    fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if fs.exists(at):
+        fs.rename(at, old)
+    if not fs.rename(fresh, at):
+        raise OSError(f"cannot move the new table to {path}")
+    fs.delete(old, True)
+
+
 def write_run(df: DataFrame, bronze: str, run_id: str) -> str:
     """Write one run as its own partition folder; an empty run keeps its schema."""
     path = f"{bronze}/run_id={run_id}"
-    df.write.mode("overwrite").parquet(path)
+    replace(df, path)
     return path
 
 
@@ -69,13 +90,13 @@ def write_raw(df: DataFrame, path: str) -> int:
     """Replace the raw table and return its row count; an empty batch changes nothing."""
     if df.isEmpty():
         return 0
-    raw_columns(df).write.mode("overwrite").parquet(path)
+    replace(raw_columns(df), path)
     return df.sparkSession.read.schema(schemas.RAW).parquet(path).count()
 
 
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV export with header, also for a frame without rows."""
-    df.write.mode("overwrite").options(**CSV).csv(path)
+    replace(df, path, "csv", **CSV)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:

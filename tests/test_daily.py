@@ -128,3 +128,18 @@ def test_replaced_seed_files_are_read_anew(spark, tmp_path):
     for n in (2, 5):
         seed.write_text("id,code,label\n" + "".join(f"{i},c{i},Persona {i}\n" for i in range(n)))
         assert reference_data.seed(spark, "personas", str(tmp_path)).count() == n
+
+
+def test_a_failed_write_leaves_the_old_table(spark, tmp_path):
+    house = daily.Warehouse(spark, str(tmp_path))
+    house.write("part=1/t", spark.range(5))
+    broken = spark.range(3).select(F.raise_error(F.lit("broken")).cast("bigint").alias("id"))
+    for write in (lambda: house.write("part=1/t", broken), lambda: tables.write_csv(broken, str(tmp_path / "part=1" / "t"))):
+        with pytest.raises(Exception, match="broken"):
+            write()
+    assert house.read("part=1/t").count() == 5
+    house.write("part=1/t", house.read("part=1/t").filter("id > 1"))  # reads what it replaces
+    assert house.read("part=1/t").count() == 3
+    tables.write_csv(spark.range(2), str(tmp_path / "x.csv"))
+    tables.write_csv(spark.range(4), str(tmp_path / "x.csv"))
+    assert tables.read_csv(spark, str(tmp_path / "x.csv"), "id bigint").count() == 4
