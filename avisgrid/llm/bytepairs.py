@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 from avisgrid.llm import textblocks as tb
 
 LETTER, NUMBER, OTHER, SPACE = 1, 2, 3, 4
-CACHED_PIECES = 500_000
+CACHED_PIECES = 300_000
 _TAILS = ("s", "t", "re", "ve", "m", "ll", "d")  # after an apostrophe, a piece of their own
 
 

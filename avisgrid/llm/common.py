@@ -15,13 +15,24 @@ from avisgrid.session import work_dir
 BROADCAST_ROWS = 100_000
 
 
+# Arrow batches of texts: a worker holds a few of them at once, whatever the texts' lengths.
+ARROW_BYTES = "4m"
+
+
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """Bound what crosses between executors and their Python workers at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder all executors reach."""
-    context = df.sparkSession.sparkContext
+    context = bounded_batches(df.sparkSession).sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(work_dir(df.sparkSession))
     return df.checkpoint()
@@ -56,6 +67,7 @@ def own_columns(df: DataFrame) -> list[Column]:
 
 def map_rows(df: DataFrame, change: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
     """``mapInArrow`` from the frame's columns to the same columns, whatever their names hold."""
+    bounded_batches(df.sparkSession)
     names, inner = df.columns, [f"c{i}" for i in range(len(df.columns))]
     schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(inner, df.schema.fields)])
 

@@ -92,7 +92,7 @@ def _units(encoder: Encoder, batch: pa.RecordBatch) -> Iterator[tuple[int, int,
     """Unit bundles of a batch in parts of bounded size."""
     for part in range(0, batch.num_rows, ROWS):
         rows = batch.slice(part, ROWS)
-        for lo, hi, raw, offsets in tb.blocks(rows, "text", tb.BLOCK_BYTES // 2):
+        for lo, hi, raw, offsets in tb.blocks(rows, "text"):
             bundle = encoder.bundles(raw, offsets)
             norm = np.linalg.norm(bundle, axis=1, keepdims=True)
             yield part + lo, part + hi, bundle / np.where(norm > 0, norm, 1)

@@ -37,7 +37,7 @@ CONFIDENT = 0.95
 THRESHOLD = 0.3  # below one half: short documents give little evidence, and clean ones stay
 TRIGRAMS = 1024
 SOURCES, LANGS = 32, 16
-ROWS = 2048
+ROWS = 1024
 _SHARES = 1 << 20
 _KINDS = 7  # lower case, upper case, digit, blank, line break, other ASCII, beyond ASCII
 PAGE = _KINDS + 6 + SOURCES + LANGS
@@ -80,7 +80,7 @@ def features(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.n
     langs, sources = (_slots(batch.column(names.index(c)), s) for c, s in (("lang", LANGS), ("source", SOURCES)))
     stated = pa.compute.fill_null(batch.column(names.index("n_chars")), 0).to_numpy(zero_copy_only=False)
     for part in range(0, batch.num_rows, ROWS):
-        for lo, hi, raw, offsets in tb.blocks(batch.slice(part, ROWS), "text", tb.BLOCK_BYTES // 2):
+        for lo, hi, raw, offsets in tb.blocks(batch.slice(part, ROWS), "text"):
             n = hi - lo
             lo, hi = part + lo, part + hi
             _, points, offsets = tb.code_points(raw, offsets)
