@@ -3,8 +3,10 @@
 Texts become runs of ``SHINGLE`` folded words (letters and digits in lower case), each labelled with
 its occurrence in the text. A sketch takes the ``KEPT`` smallest labelled runs under one hash
 and keeps their text order, so two texts agree in it only if they share these runs in the
-same order; there are ``SKETCHES`` of them. At a similarity of 0.8 a sketch agrees with probability
-0.8 ** KEPT, and the chance that none does is below one in a million.
+same order; there are ``SKETCHES`` of them. Where s of u runs are shared in order, a sketch agrees with
+probability C(s, KEPT) / C(u, KEPT); that none does at a similarity of 0.8 has a chance below five in a million
+at 21 runs and below one in a million from 100 runs.
+Texts of up to ``FEW`` runs, and those that can be similar to them, have keys that meet for certain.
 
 Exact copies are one class from the start. Classes that agree in a sketch meet in a bucket:
 each is compared with the bucket's hub, and hubs differ by bucket. After the components of
@@ -40,6 +42,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 KEPT = 5
 SKETCHES = 36
+FEW = 20  # runs of a text that is found for certain
+FULL = 3  # runs of a part that are a key by themselves
 CROWD = 16  # classes of a bucket that are still compared pair by pair
 BLOCK = 256
 _AT_ONCE = 1 << 21  # hashes held for one text
@@ -73,23 +77,59 @@ def _labelled(run: np.ndarray, row: np.ndarray) -> np.ndarray:
 
 
 _FACTORS = np.random.default_rng(4321).integers(1, 1 << 63, SKETCHES, np.uint64) * np.uint64(2) + np.uint64(1)
+_FOLD = np.uint64(0x9FB21C651E98DF25)
 
 
-def _sketches(x: np.ndarray) -> np.ndarray:
-    """Bucket keys of one text's labelled runs."""
-    keys = np.empty(SKETCHES, np.uint64)
+def _minima(x: np.ndarray) -> np.ndarray:
+    """Places of the ``KEPT`` smallest runs under every hash, in text order."""
+    at = np.empty((SKETCHES, KEPT), np.int64)
     step = max(1, _AT_ONCE // len(x))
     for lo in range(0, SKETCHES, step):
         values = x * _FACTORS[lo : lo + step, None]
-        if len(x) > KEPT:
-            at = np.sort(np.argpartition(values, KEPT - 1, axis=1)[:, :KEPT], axis=1)
-        else:
-            at = np.broadcast_to(np.arange(len(x)), (len(values), len(x)))
-        key = np.arange(lo, lo + len(values), dtype=np.uint64)
-        for k in range(at.shape[1]):
-            key = tb.mixed(key * np.uint64(0x9FB21C651E98DF25) + x[at[:, k]])
-        keys[lo : lo + len(values)] = key
-    return keys.view(np.int64)
+        at[lo : lo + step] = np.sort(np.argpartition(values, KEPT - 1, axis=1)[:, :KEPT], axis=1)
+    return at
+
+
+def _sketches(chosen: np.ndarray, first: int) -> np.ndarray:
+    """Bucket keys of the chosen runs of every hash, numbered from ``first``."""
+    key = np.arange(first, first + len(chosen), dtype=np.uint64)
+    for k in range(chosen.shape[1]):
+        key = tb.mixed(key * _FOLD + chosen[:, k])
+    return key
+
+
+def _exact_keys(x: np.ndarray) -> np.ndarray:
+    """Bucket keys of a small set of runs; any two sets at ``SIMILARITY`` have one in common.
+
+    Sets of a and b runs differ in k runs at most, so of k + 1 parts by hash one is the same in both:
+    its runs are the key. Parts of less than ``FULL`` runs say little; they are joined with
+    each of the first runs outside of them, so many that a common one is among those.
+    """
+    x = np.sort(x)
+    n, least = len(x), int(np.ceil(SIMILARITY * len(x) - 1e-9))
+    most = int(n / SIMILARITY + 1e-9) if n <= FEW else FEW
+    share = (1 - SIMILARITY) / (1 + SIMILARITY)
+    spread, keys = tb.mixed(x * _FOLD), []
+    for m in sorted({int(share * (n + other) + 1e-9) + 1 for other in range(least, most + 1)}):
+        part = (x % np.uint64(m)).astype(np.int64)
+        whole = np.arange(m, dtype=np.uint64) + np.uint64(m << 32)
+        np.add.at(whole, part, spread)
+        whole = tb.mixed(whole)
+        full = (np.bincount(part, minlength=m) >= FULL) | (m == 1)
+        keys.append(whole[full])
+        for i in np.flatnonzero(~full).tolist():
+            keys.append(tb.mixed(whole[i : i + 1] * _FOLD + x[part != i][: n - least + 1]))
+    return np.concatenate(keys)
+
+
+def _keys(x: np.ndarray) -> np.ndarray:
+    """Bucket keys of one text's labelled runs."""
+    found = []
+    if len(x) > FEW:
+        found.append(_sketches(x[_minima(x)], 0))
+    if len(x) <= FEW / SIMILARITY:
+        found.append(_exact_keys(x))
+    return np.unique(np.concatenate(found)).view(np.int64)
 
 
 def _folder() -> tb.Folder:
@@ -112,9 +152,9 @@ def sketched(docs: DataFrame) -> DataFrame:
                 run, row = _shingles(h, row, hi - lo)
                 x = _labelled(run, row)
                 at = np.searchsorted(row, np.arange(hi - lo + 1))
-                keys = [_sketches(x[a:b]) for a, b in zip(at, at[1:]) if b > a]
-                sizes = np.where(np.diff(at) > 0, SKETCHES, 0)
-                flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+                keys = [_keys(x[a:b]) if b > a else np.zeros(0, np.int64) for a, b in zip(at, at[1:])]
+                sizes = [len(k) for k in keys]
+                flat = np.concatenate(keys)
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat)
                 )
