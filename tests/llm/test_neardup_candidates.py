@@ -38,3 +38,20 @@ def test_short_copies(spark):
             for copy in (text, text[:-1], text[1:], text + words(rng, 1), [*text[:-1], *words(rng, 1)]):
                 rows.append((len(rows), " ".join(copy)))
     check(frame(spark, rows), rows)
+
+
+def test_moved_and_repeated_blocks(spark):
+    rng = random.Random(13)
+    rows = []
+    for _ in range(12):
+        base = words(rng, 99)
+        sentence = words(rng, rng.choice((9, 40)))
+        copies = [
+            base,
+            base[50:] + base[:50],
+            base[66:] + base[33:66] + base[:33],
+            sentence * 3,
+            sentence * 10,
+        ]
+        rows += [(len(rows) + k, " ".join(c)) for k, c in enumerate(copies)]
+    check(frame(spark, rows), rows)
