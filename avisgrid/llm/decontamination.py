@@ -7,7 +7,9 @@ one of them; every passage queries the index for all items above ``THRESHOLD``.
 of the passage's terms find the blocks of items that can reach it at all; WAND, bounded by
 the same maxima, walks the posting lists in those. A retrieved item counts as leaked when
 both its question (the words before the last quarter) and its answer (the last quarter) share
-at least ``OVERLAP`` of their five-word runs with the document.
+at least ``OVERLAP`` of their five-word runs with the document, or of their words when aligned with it: one less
+the edits of words (substitution, gap, insertion) from the nearest part of the passage, by word of the part. Parts of
+less than ``ALIGNED`` words are compared whole, since one common word would be half of them.
 
 Items come in index blocks of ``ITEMS`` at most, each broadcast with the task; more items mean
 more passes over the documents, never a larger index. Words are runs of letters and
@@ -33,6 +35,7 @@ from avisgrid.llm.common import map_rows
 THRESHOLD = 0.5
 OVERLAP = 0.5
 RUN = 5
+ALIGNED = 3  # words of the shortest part that is aligned
 ITEMS = 20_000
 BLOCK = 4  # items that share one maximum for each term
 K1, B = 1.2, 0.75
@@ -40,6 +43,16 @@ K1, B = 1.2, 0.75
 Hit = tuple[int, float]
 
 
+def _aligned(part: np.ndarray, words: np.ndarray) -> float:
+    """One less the edits between the part and the nearest stretch of the words, by word of the part."""
+    at = np.arange(len(words) + 1)
+    edits = np.zeros(len(words) + 1, np.int64)
+    for n, word in enumerate(part, 1):
+        either = np.minimum(edits[:-1] + (words != word), edits[1:] + 1)
+        edits = np.minimum.accumulate(np.append(n, either) - at) + at
+    return 1 - int(edits.min()) / len(part)
+
+
 class Index:
     """Posting lists with impacts and block maxima, and the runs of every item."""
 
@@ -52,6 +65,7 @@ class Index:
         words = [hashes[row == i].tolist() for i in range(len(items))]
         self.span = max(map(len, words), default=0)
         self.runs = [self._parts(w) for w in words]
+        self.parts = [tuple(np.array(p, np.uint64) for p in self._halves(w)) for w in words]
         counts = [Counter(w) for w in words]
         df = Counter(t for c in counts for t in c)
         mean = max(1.0, sum(map(len, words)) / max(1, len(items)))
@@ -83,10 +97,15 @@ class Index:
         self.block_max = np.array([w for m in self.maxima for w in m.values()])
 
     @staticmethod
-    def _parts(words: list[int]) -> tuple[set[tuple], set[tuple], int, int]:
-        """Runs of question and answer, and their lengths; short parts are one run."""
+    def _halves(words: list[int]) -> tuple[list[int], list[int]]:
+        """Question and answer."""
         cut = len(words) - max(1, len(words) // 4) if len(words) > 1 else 0
-        question, answer = words[:cut], words[cut:]
+        return words[:cut], words[cut:]
+
+    @classmethod
+    def _parts(cls, words: list[int]) -> tuple[set[tuple], set[tuple], int, int]:
+        """Runs of question and answer, and their lengths; short parts are one run."""
+        question, answer = cls._halves(words)
         kq, ka = min(RUN, len(question)), min(RUN, len(answer))
 
         def runs(w: list[int], k: int) -> set[tuple]:
@@ -149,12 +168,15 @@ class Index:
         return hits
 
     def verify(self, item: int, words: list[int]) -> tuple[float, float]:
-        """Shares of the question's and the answer's runs that the words hold."""
+        """Shares of the question and the answer that the words hold: of runs or of aligned words."""
         question, answer, kq, ka = self.runs[item]
         shares = []
-        for runs, k in ((question, kq), (answer, ka)):
+        for runs, k, part in zip((question, answer), (kq, ka), self.parts[item]):
             here = {tuple(words[j : j + k]) for j in range(len(words) - k + 1)} if k else set()
-            shares.append(len(runs & here) / len(runs) if runs else 1.0)
+            share = len(runs & here) / len(runs) if runs else 1.0
+            if share < 1 and len(part) >= ALIGNED:
+                share = max(share, _aligned(part, np.array(words, np.uint64)))
+            shares.append(share)
         return shares[0], shares[1]
 
     def leaks(self, terms: np.ndarray, hashes: np.ndarray) -> list[tuple[int, float, float, float]]:
