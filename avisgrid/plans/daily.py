@@ -70,7 +70,7 @@ def load_run(
     run_id: str | None = None,
     scorer: verdicts.Scorer | None = None,
 ) -> int:
-    """Refine every run that is not loaded yet into the raw table; returns the rows added.
+    """Refine every run that is not loaded yet, or landed anew since, into the raw table; returns the rows added.
 
     The raw table has a partition for each run, so incremental landing keeps its history and
     a load that was left out is made up for. ``run_id`` names a run to load again. With a
@@ -83,12 +83,16 @@ def load_run(
     loaded = set(tables.run_ids(house.spark, raw)) - {run_id}
     added = 0
     for run in landed:
-        if run not in loaded:
+        at = f"run_id={run}"
+        if run in loaded:
+            landed_at = tables.written_at(house.spark, f"{house.bronze}/{at}")
+            loaded_at = tables.written_at(house.spark, f"{raw}/{at}")
+        if run not in loaded or landed_at >= loaded_at:
             refined = cl.refine(tables.read_run(house.spark, house.bronze, run), as_of)
             refined = tables.raw_columns(refined)
             if scorer is not None:
                 refined = verdicts.reclassify(refined, scorer)
-            added += tables.write_raw(refined, f"{raw}/run_id={run}")
+            added += tables.write_raw(refined, f"{raw}/{at}")
     return added
 
 

@@ -59,6 +59,13 @@ def run_ids(spark: SparkSession, bronze: str) -> list[str]:
     return sorted(status.getPath().getName().split("=", 1)[1] for status in found)
 
 
+def written_at(spark: SparkSession, path: str) -> int:
+    """Latest change of a table's files, in milliseconds."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return max((f.getModificationTime() for f in fs.listStatus(at) if f.isFile()), default=0)
+
+
 def read_run(spark: SparkSession, bronze: str, run_id: str | None = None) -> DataFrame:
     """A run, by default the last one by name; only its own files are listed and read."""
     if run_id is None:

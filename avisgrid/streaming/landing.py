@@ -2,6 +2,8 @@
 
 The file source remembers in its checkpoint which files it has read, so a daily call
 reads new pages only, and a call repeated after a failure writes the same run again.
+Every run carries the stream that wrote it: another feed's batch of the same number, or that of a stream whose
+checkpoint was lost, replaces a run only if it holds all of its reviews.
 """
 
 from __future__ import annotations
@@ -25,6 +27,22 @@ def payload_stream(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _run_id(run: DataFrame, bronze: str, batch_id: int, stream: str) -> str:
+    """The batch's run id, with the stream's id where another stream's reviews have the plain one."""
+    spark = run.sparkSession
+    plain, own = f"batch-{batch_id:06d}", f"batch-{batch_id:06d}-{stream}"
+    there = tables.run_ids(spark, bronze)
+    if own in there:
+        return own
+    if plain not in there:
+        return plain
+    stored = spark.read.parquet(f"{bronze}/run_id={plain}")
+    if "stream" in stored.columns:
+        stored = stored.where(~F.col("stream").eqNullSafe(F.lit(stream)))
+    content = [c for c in run.columns if c != "collected_at"]
+    return plain if stored.select(*content).subtract(run.select(*content)).isEmpty() else own
+
+
 def land_new_files(
     spark: SparkSession,
     path: str,
@@ -36,8 +54,8 @@ def land_new_files(
 ) -> list[str]:
     """Land everything new below ``path`` and stop; returns the ids of the runs written.
 
-    The run id comes from the batch alone, so a batch repeated on a later day replaces its own
-    run. A page of an unknown source stops the landing before anything is marked as read.
+    The run id comes from the batch, so a batch repeated on a later day replaces its own
+    run; where a run of another stream must stay, the stream's id follows. A page of an unknown source stops the landing before anything is marked as read.
     """
     prepare(spark)
     brands = [r.code for r in reference_data.seed(spark, "brands").orderBy("id").collect()]
@@ -51,9 +69,11 @@ def land_new_files(
         if names:
             raise ValueError(f"pages of unknown sources: {names}")
         pages = {s: stored.where(F.col("source_code") == s).drop("source_code") for s in known}
-        run_id = f"batch-{batch_id:06d}"
         run = landing.land(pages, as_of, brands, days, cap)
-        tables.write_run(run, bronze, run_id)
+        # The id that the checkpoint keeps, the same after a restart.
+        stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        run_id = _run_id(run, bronze, batch_id, stream)
+        tables.write_run(run.withColumn("stream", F.lit(stream)), bronze, run_id)
         done.append(run_id)
 
     query = (
