@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from avisgrid.llm import decontamination, language, maxent, neardup, packing, pii, quality, sharding, transducer, winnowing
+from avisgrid.llm import (
+    decontamination,
+    language,
+    linededup,
+    maxent,
+    neardup,
+    packing,
+    pii,
+    quality,
+    sharding,
+    transducer,
+    winnowing,
+)
 from avisgrid.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +64,10 @@ def op7_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.scores(table(spark, sf_dir, "documents"))
 
 
+def op12_line_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_winnowing": op1_winnowing,
     "op4_feistel": op4_feistel,
@@ -63,6 +79,27 @@ QUERIES: dict[str, Query] = {
     "op10_semi_markov": op10_semi_markov,
     "op5_transducer": op5_transducer,
     "op7_maxent": op7_maxent,
+    "op12_line_bitmaps": op12_line_bitmaps,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op12_line_bitmaps": r"""
+WITH split AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), lines AS (
+  SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM split
+), keyed AS (
+  SELECT doc_id, pos, line,
+    translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM lines
+), common AS (
+  SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+), marked AS (
+  SELECT k.doc_id, k.pos, k.line, c.key IS NOT NULL AS gone FROM keyed k LEFT JOIN common c USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+""",
+}
