@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from avisgrid.llm import (
     decontamination,
     language,
+    lexical,
     linededup,
     maxent,
     neardup,
@@ -68,6 +69,10 @@ def op12_line_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digests(table(spark, sf_dir, "documents"))
 
 
+def op13_hybrid_taat_daat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_winnowing": op1_winnowing,
     "op4_feistel": op4_feistel,
@@ -80,6 +85,7 @@ QUERIES: dict[str, Query] = {
     "op5_transducer": op5_transducer,
     "op7_maxent": op7_maxent,
     "op12_line_bitmaps": op12_line_bitmaps,
+    "op13_hybrid_taat_daat": op13_hybrid_taat_daat,
 }
 
 ORACLES: dict[str, str] = {
@@ -101,5 +107,37 @@ WITH split AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
+""",
+    "op13_hybrid_taat_daat": r"""
+WITH spelled AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents WHERE text IS NOT NULL
+), docs AS (
+  SELECT doc_id, terms, len(terms) AS n FROM spelled WHERE len(terms) > 0
+), stats AS (
+  SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM docs
+), asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark WHERE text IS NOT NULL
+), postings AS (
+  SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(terms) AS term FROM docs)
+  WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM postings, stats GROUP BY term, n_docs
+), impacts AS (
+  SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))) AS impact
+  FROM postings JOIN weights USING (term), stats
+), scored AS (
+  SELECT item_id, doc_id, CAST(sum(impact) AS BIGINT) AS score
+  FROM asked JOIN impacts USING (term) GROUP BY item_id, doc_id HAVING sum(impact) > 0
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank,
+  doc_id, score
+FROM scored QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
 """,
 }
