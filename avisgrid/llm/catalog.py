@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from avisgrid.llm import (
+    alignment,
     decontamination,
     language,
     lexical,
@@ -65,6 +66,10 @@ def op7_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.scores(table(spark, sf_dir, "documents"))
 
 
+def op11_identity_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignments(table(spark, sf_dir, "documents"))
+
+
 def op12_line_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digests(table(spark, sf_dir, "documents"))
 
@@ -84,6 +89,7 @@ QUERIES: dict[str, Query] = {
     "op10_semi_markov": op10_semi_markov,
     "op5_transducer": op5_transducer,
     "op7_maxent": op7_maxent,
+    "op11_identity_map": op11_identity_map,
     "op12_line_bitmaps": op12_line_bitmaps,
     "op13_hybrid_taat_daat": op13_hybrid_taat_daat,
 }
