@@ -10,10 +10,11 @@ with probability C(s, KEPT) / C(u, KEPT); that none does at a similarity of 0.8
 million at 21 runs and below one in a million from 100 runs.
 Texts of up to ``FEW`` runs, and those that can be similar to them, have keys that meet for certain.
 
-Exact copies are one class from the start. Classes that agree in a sketch meet in a bucket:
-each is compared with the bucket's hub, and hubs differ by bucket. After the components of
-those links are known, only classes of a bucket that still lie in different components
-are compared, all of them: in small buckets pair by pair, in large ones (thousands of copies of one
+Exact copies are one class from the start. Classes that agree in a sketch meet in a bucket, and each is
+compared with the bucket's hub: its first class in an order by hash of the class alone, so that a group has few
+hubs however many buckets it fills. After the components of those links are known, only buckets whose
+classes still lie in different components meet hubs of another order, ``ORDERS`` in all; before the last one a
+class takes only the hub that it shares the most buckets with. What lies apart in a bucket even then is compared in full: in small buckets pair by pair, in large ones (thousands of copies of one
 text with similarities around the threshold) block by block, with one array operation for all pairs
 of two blocks. No link between components is lost, and no bucket's pairs become rows.
 
@@ -46,6 +47,8 @@ KEPT = 5
 SKETCHES = 36
 FEW = 20  # runs of a text that is found for certain
 FULL = 3  # runs of a part that are a key by themselves
+ORDERS = 3  # of hubs, before all classes of a bucket that still lie apart are compared
+HUB_ROWS = 64  # pairs of a hub that meet in one place
 CROWD = 16  # classes of a bucket that are still compared pair by pair
 BLOCK = 256
 _AT_ONCE = 1 << 21  # hashes held for one text
@@ -239,7 +242,7 @@ def _words(stored: bytes) -> np.ndarray:
 
 
 def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """The pairs of classes that are similar enough."""
+    """The pairs of classes that are similar enough; ``b`` may be in many pairs, ``a`` in few."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,56 +253,81 @@ def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
 
     left = words.select(F.col("cid").alias("a"), F.col("words").alias("x"))
     right = words.select(F.col("cid").alias("b"), F.col("words").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    # A hub's words go to as many places as its pairs need.
+    places = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / HUB_ROWS).cast("int").alias("places"))
+    spread = places.select("b", "places", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"))
+    right = spread.select("b", "place").join(right, "b")
+    dealt = pairs.join(places, "b").withColumn("place", F.pmod(F.xxhash64("a"), F.col("places")).cast("int"))
+    both = dealt.select("a", "b", "place").join(left, "a").join(right, ["b", "place"]).select("a", "b", "x", "y")
     return checkpointed(both.mapInArrow(verify, "a binary, b binary, similarity double"))
 
 
-def _pair(left: str, right: str) -> list[Column]:
-    return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
+def _placed(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """``key, cid, label, n`` of the buckets whose classes lie in several components."""
+    placed = shared.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select(
+        "key", "cid", F.coalesce("label", "cid").alias("label")
+    )
+    mixed = placed.groupBy("key").agg(
+        F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")
+    )
+    return checkpointed(placed.join(mixed.filter("lo <> hi").select("key", "n"), "key"))
+
+
+def _hub_pairs(placed: DataFrame, order: int) -> DataFrame:
+    """``a, b``: classes with hubs of their buckets in other components.
+
+    Before the last order that is the hub a class shares the most buckets with, so that it takes one
+    alignment; the last order takes all of them.
+    """
+    place = F.struct(F.xxhash64(F.lit(order), "cid").alias("h"), F.col("cid").alias("hub"), F.col("label").alias("at"))
+    hub = placed.groupBy("key").agg(F.min(place).alias("m")).select("key", "m.hub", "m.at")
+    met = placed.join(hub, "key").filter("label <> at").groupBy(F.col("cid").alias("a"), F.col("hub").alias("b"))
+    if order == ORDERS - 1:
+        return met.agg(F.count(F.lit(1)).alias("n")).select("a", "b")
+    most = F.max(F.struct("n", F.xxhash64("b").alias("h"), "b")).alias("m")
+    return met.agg(F.count(F.lit(1)).alias("n")).groupBy("a").agg(most).select("a", F.col("m.b").alias("b"))
 
 
 def linked_classes(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame] | None:
     """Verified links between classes and their components; None without any candidate."""
     classes = rows.groupBy("cid").agg(F.first("keys").alias("keys"))
     member = classes.select("cid", F.explode("keys").alias("key"))
-    hub = member.groupBy("key").agg(
-        F.min(F.struct(F.xxhash64("key", "cid").alias("h"), F.col("cid").alias("hub"))).alias("m"),
-        F.count(F.lit(1)).alias("n"),
-    )
-    hub = hub.filter("n > 1").select("key", "m.hub")
-    shared = checkpointed(member.join(hub, "key"))
-    pairs = checkpointed(shared.filter("cid <> hub").select(*_pair("cid", "hub")).distinct())
-    needed = checkpointed(
-        pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    )
+    several = member.groupBy("key").count().filter("count > 1")
+    shared = checkpointed(member.join(several.select("key"), "key"))
+    needed = checkpointed(shared.select("cid").distinct())
     n_needed = needed.count()
     if not n_needed:
         return None
     words = _word_lists(docs, needed, n_needed)
-    links = _verified(pairs, words)
-    labels = components(links)
+    placed, links, pairs, labels = shared.withColumn("label", F.col("cid")), None, None, None
+    for order in range(ORDERS):
+        if labels is not None:
+            placed = _placed(shared, labels)
+        found = _hub_pairs(placed, order)
+        if pairs is not None:
+            found = found.join(pairs, ["a", "b"], "left_anti")
+        found = checkpointed(found)
+        more = _verified(found, words).select("a", "b")
+        if links is None:
+            pairs, links = found, more
+        elif more.isEmpty():
+            pairs = pairs.union(found)
+            continue
+        else:
+            pairs, links = pairs.union(found), links.union(more)
+        labels = components(links)
     # Buckets whose members still lie in several components: all pairs between those.
-    placed = shared.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select(
-        "key", "cid", F.coalesce("label", "cid").alias("label")
-    )
-    mixed = placed.groupBy("key").agg(
-        F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")
-    )
-    mixed = mixed.filter("lo <> hi").select("key", "n")
-    placed = checkpointed(placed.join(mixed, "key"))
+    placed = _placed(shared, labels)
     few = placed.filter(F.col("n") <= CROWD)
     other = few.select("key", F.col("cid").alias("cid2"), F.col("label").alias("label2"))
-    rest = (
-        few.join(other, "key")
-        .filter("label <> label2 AND cid < cid2")
-        .select(F.col("cid").alias("a"), F.col("cid2").alias("b"))
-        .distinct()
-        .join(pairs, ["a", "b"], "left_anti")
-    )
+    rest = few.join(other, "key").filter("label <> label2 AND cid < cid2")
+    rest = rest.select(F.col("cid").alias("a"), F.col("cid2").alias("b")).distinct()
+    either = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    rest = rest.join(either, ["a", "b"], "left_anti")
     more = _verified(checkpointed(rest), words).select("a", "b")
     more = more.union(_crowd_links(placed.filter(F.col("n") > CROWD), words))
     if not more.isEmpty():
-        links = links.select("a", "b").union(more)
+        links = links.union(more)
         labels = components(links)
     return links, labels
 

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from conftest_llm import frame
 from test_neardup import check
 
@@ -55,3 +56,18 @@ def test_moved_and_repeated_blocks(spark):
         ]
         rows += [(len(rows) + k, " ".join(c)) for k, c in enumerate(copies)]
     check(frame(spark, rows), rows)
+
+
+@pytest.mark.parametrize("n_words", [24, 60, 150])
+def test_a_class_takes_few_alignments(spark, monkeypatch, n_words):
+    rng = random.Random(n_words)
+    base, rows = words(rng, n_words), []
+    for i in range(400):
+        copy = list(base)
+        for _ in range(1 + rng.randrange(3)):  # all copies similar to each other
+            copy[-1 - rng.randrange(max(1, n_words // 20))] = words(rng, 1)[0]
+        rows.append((i, " ".join(copy)))
+    taken, verified = [], neardup._verified
+    monkeypatch.setattr(neardup, "_verified", lambda pairs, w: taken.append(pairs.count()) or verified(pairs, w))
+    check(frame(spark, rows), rows)
+    assert sum(taken) <= 6 * len(rows), taken
