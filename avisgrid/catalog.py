@@ -16,7 +16,7 @@ from avisgrid.functions import taxonomy as tx
 from avisgrid.functions import text as tt
 from avisgrid.functions import times
 from avisgrid.operators import landing, verdicts
-from avisgrid.plans import activation, daily, marts, quality, star
+from avisgrid.plans import activation, daily, incremental, marts, quality, star
 from avisgrid.session import prepare, scratch_path, written
 from avisgrid.sources import fixture as fx
 from avisgrid.sources import payloads as pl
@@ -84,6 +84,12 @@ def ingest_google_play(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def rejected_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was kept of each source, and why pages and entries were not, from one reading."""
+    return pl.reading_counts(landing.parsed(fx.payloads(spark, sf_dir)))
+
+
 @query
 def fallback_review_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     eid = F.col("event_id")
@@ -205,7 +211,7 @@ def latest_run_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "raw")
     tables.write_raw(cl.refine(fx.landed_reviews(spark, sf_dir), fx.ts(CLASSIFIED_AT)), path)
-    return spark.read.schema(schemas.RAW).parquet(path)
+    return tables.read(spark, path, schemas.RAW)
 
 
 @query
@@ -405,6 +411,75 @@ def multi_run_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return star.staged(runs).select("source_code", "source_review_id", "collected_at", "text")
 
 
+# --- the star by touched month ----------------------------------------------
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Three runs: most reviews; the rest and late texts with the same times; corrected and moved reviews."""
+    raw = raw_reviews(spark, sf_dir)
+    n = F.col("source_review_id").cast("bigint")
+    late = F.when(n % 10 == 0, F.concat("text", F.lit(" bis"))).otherwise(F.col("text"))
+    moved = {
+        "review_date": F.col("review_date") + F.expr("INTERVAL 40 DAYS"),
+        "rating": F.lit(2),
+        "collected_at": F.col("collected_at") + F.expr("INTERVAL 1 DAY"),
+    }
+    return {
+        "r1": raw.where(n % 7 != 0),
+        "r2": raw.where((n % 10 == 0) | (n % 7 == 0)).withColumn("text", late),
+        "r3": raw.where(n % 15 == 0).withColumns(moved),
+    }
+
+
+def _advanced(spark: SparkSession, sf_dir: str, reload: bool = False) -> str:
+    """A store that took the runs one after the other; with ``reload`` the second one comes again, empty."""
+    root = scratch_path(spark, "incremental")
+    raw, store, seeds = f"{root}/raw", f"{root}/star", reference_data.seeds(spark)
+    runs = list(_runs(spark, sf_dir).items())
+    if reload:
+        runs.append(("r2", runs[1][1].where("false")))
+    for step, (run, rows) in enumerate(runs):
+        tables.load_raw_run(tables.raw_columns(rows), raw, run, f"landed-{step}")
+        incremental.advance(spark, raw, store, seeds)
+    return store
+
+
+def _incremental_facts(spark: SparkSession, store: str) -> DataFrame:
+    return star.fact_reviews(incremental.reviews(spark, store, reference_data.seeds(spark)))
+
+
+@query
+def incremental_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The review facts after three runs, only touched months rewritten, all numbers dense."""
+    return _incremental_facts(spark, _advanced(spark, sf_dir))
+
+
+@query
+def incremental_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The review facts after a run was taken back."""
+    return _incremental_facts(spark, _advanced(spark, sf_dir, reload=True))
+
+
+@query
+def incremental_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bucketed newest versions after three runs with ties."""
+    return incremental.newest(spark, _advanced(spark, sf_dir)).drop("month", "run_id")
+
+
+@query
+def incremental_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The synthesis from cells that changed by signed deltas."""
+    seeds = reference_data.seeds(spark)
+    cells = incremental.cells(spark, _advanced(spark, sf_dir, reload=True), "direction", seeds)
+    return marts.synthesis_of(cells, seeds)
+
+
+@query
+def incremental_marketing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seeds = reference_data.seeds(spark)
+    return marts.voice_of(incremental.cells(spark, _advanced(spark, sf_dir), "marketing", seeds), seeds)
+
+
 @query
 def response_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return star.staged(raw_reviews(spark, sf_dir)).select(

@@ -11,7 +11,7 @@ from avisgrid import schemas
 from avisgrid.functions import taxonomy as tx
 from avisgrid.functions import times
 from avisgrid.operators.ranking import cap_groups, first_per_key
-from avisgrid.sources.payloads import ARRIVAL_COLUMNS, PARSERS
+from avisgrid.sources.payloads import ARRIVAL_COLUMNS, PARSERS, accepted
 
 NATURAL_KEY = ["source_code", "source_review_id"]
 
@@ -46,6 +46,11 @@ def keep_first(df: DataFrame, brand_order: list[str]) -> DataFrame:
     return first_per_key(df, NATURAL_KEY, order)
 
 
+def parsed(payloads: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Payloads per source code to entries, the rejected ones with their reason."""
+    return {s: PARSERS[s](p) for s, p in payloads.items()}
+
+
 def land(
     payloads: dict[str, DataFrame],
     as_of: Column,
@@ -57,7 +62,18 @@ def land(
 
     All reviews of the window are kept; ``cap`` limits them per source and brand, where asked for.
     """
-    frames = [recent(PARSERS[s](p), as_of, days) for s, p in payloads.items()]
+    return land_parsed(parsed(payloads), as_of, brand_order, days, cap)
+
+
+def land_parsed(
+    entries: dict[str, DataFrame],
+    as_of: Column,
+    brand_order: list[str],
+    days: int = tx.WINDOW_DAYS,
+    cap: int = 0,
+) -> DataFrame:
+    """One run from entries that were parsed before."""
+    frames = [recent(accepted(df), as_of, days) for df in entries.values()]
     kept = keep_first(capped(union_sources(frames), cap), brand_order)
     stamped = kept.withColumn("collected_at", as_of.cast("timestamp"))
     return stamped.select(*schemas.LANDED.fieldNames())

@@ -16,17 +16,19 @@ from avisgrid.functions import classify as cl
 from avisgrid.functions import taxonomy as tx
 from avisgrid.operators import landing, verdicts
 from avisgrid.operators.ranking import numbered
-from avisgrid.plans import activation, marts, quality, star
-from avisgrid.session import prepare
+from avisgrid.plans import activation, incremental, marts, quality, star
+from avisgrid.session import prepare, written
 from avisgrid.sources import reference_data, tables
+from avisgrid.sources.payloads import reading_counts
 
 
 @dataclass(frozen=True)
 class Warehouse:
-    """Tables as parquet folders below one shared root."""
+    """Committed tables below one shared root (see ``sources.tables``)."""
 
     spark: SparkSession
     root: str
+    incremental: bool = False  # rebuild touched months only (see ``plans.incremental``)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -36,16 +38,28 @@ class Warehouse:
         return self.path("bronze")
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
-        tables.replace(df, self.path(name))
-        return self.read(name)
+        return self.spark.read.parquet(tables.put(df, self.path(name)))
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        return tables.read(self.spark, self.path(name))
+
+    @property
+    def store(self) -> str:
+        return self.path("star")
 
-    def reviews(self) -> DataFrame:
+    def reviews(self, seeds: dict[str, DataFrame]) -> DataFrame:
         """Classified reviews with their dense ids."""
+        if self.incremental:
+            return incremental.reviews(self.spark, self.store, seeds)
         return numbered(self.read("fact_base"))
 
+    def fact(self, name: str, seeds: dict[str, DataFrame]) -> DataFrame:
+        """A fact table; the two large ones are views of the months where those are kept up to date."""
+        views = {"fact_reviews": star.fact_reviews, "fact_classifications": star.fact_classifications}
+        if self.incremental and name in views:
+            return views[name](self.reviews(seeds))
+        return self.read(name)
+
 
 def land_run(
     house: Warehouse,
@@ -56,12 +70,18 @@ def land_run(
     cap: int = 0,
     seeds_folder: str | None = None,
 ) -> str:
-    """Payloads to one bronze run; returns its path."""
+    """Payloads to one bronze run; returns its folder.
+
+    Entries are parsed once. How many were kept of each source, and why the others were not, is the
+    run's part of ``reading_counts``.
+    """
     known = reference_data.seed(house.spark, "brands", seeds_folder)
     brands = [r.code for r in known.orderBy("id").collect()]
-    return tables.write_run(
-        landing.land(payloads, as_of, brands, days, cap), house.bronze, run_id
-    )
+    entries = {s: written(df, "entries") for s, df in landing.parsed(payloads).items()}
+    folder = tables.write_run(landing.land_parsed(entries, as_of, brands, days, cap), house.bronze, run_id)
+    counts = reading_counts(entries).withColumn("run_id", F.lit(run_id))
+    tables.put(counts, house.path("reading_counts"), f"run_id={run_id}")
+    return folder
 
 
 def load_run(
@@ -72,59 +92,62 @@ def load_run(
 ) -> int:
     """Refine every run that is not loaded yet, or landed anew since, into the raw table; returns the rows added.
 
-    The raw table has a partition for each run, so incremental landing keeps its history and
-    a load that was left out is made up for. ``run_id`` names a run to load again. With a
+    The raw table has a part for each run with the landed version it was made from, so incremental landing keeps
+    its history and a load that was left out is made up for. A run that is empty now leaves the
+    table and is not refined again. ``run_id`` names a run to load again. With a
     scorer the unclassified reviews go through the second pass on the way.
     """
-    landed = tables.run_ids(house.spark, house.bronze)
+    landed = tables.runs(house.spark, house.bronze)
     if not landed:
         raise tables.NoRunError(f"no run below {house.bronze}")
     raw = house.path("raw_reviews")
-    loaded = set(tables.run_ids(house.spark, raw)) - {run_id}
+    loaded = {run: e.made_from for run, e in tables.runs(house.spark, raw).items()}
     added = 0
-    for run in landed:
-        at = f"run_id={run}"
-        if run in loaded:
-            landed_at = tables.written_at(house.spark, f"{house.bronze}/{at}")
-            loaded_at = tables.written_at(house.spark, f"{raw}/{at}")
-        if run not in loaded or landed_at >= loaded_at:
+    for run, entry in landed.items():
+        if run == run_id or loaded.get(run) != entry.folder:
             refined = cl.refine(tables.read_run(house.spark, house.bronze, run), as_of)
             refined = tables.raw_columns(refined)
             if scorer is not None:
                 refined = verdicts.reclassify(refined, scorer)
-            added += tables.write_raw(refined, f"{raw}/{at}")
+            added += tables.load_raw_run(refined, raw, run, entry.folder)
     return added
 
 
 def read_raw(house: Warehouse) -> DataFrame:
     """The raw reviews of all loaded runs with their run; empty before the first."""
-    if not tables.run_ids(house.spark, house.path("raw_reviews")):
-        return house.spark.createDataFrame([], schemas.RAW_RUNS)
-    return house.spark.read.schema(schemas.RAW_RUNS).parquet(house.path("raw_reviews"))
+    return tables.read(house.spark, house.path("raw_reviews"), schemas.RAW_RUNS)
 
 
 def build_star(house: Warehouse, seeds: dict[str, DataFrame]) -> None:
     """Dimensions and facts from the raw table.
 
     ``fact_base`` holds the classified reviews sorted by date with their slots; every
-    fact and mart is a projection or aggregate of it.
+    fact and mart is a projection or aggregate of it. In an incremental warehouse the months that new
+    runs touch take its place, and no history is written again.
     """
-    raw = read_raw(house)
     for name in star.DIMENSIONS:
         house.write(name, star.dimension(seeds, name))
     house.write("dim_date", star.calendar(house.spark))
-    house.write("fact_base", star.dated_reviews(star.classified_reviews(raw, seeds)))
-    base = house.reviews()
-    house.write("fact_reviews", star.fact_reviews(base))
-    house.write("fact_classifications", star.fact_classifications(base))
+    if house.incremental:
+        incremental.advance(house.spark, house.path("raw_reviews"), house.store, seeds)
+        base = house.reviews(seeds)
+    else:
+        house.write("fact_base", star.dated_reviews(star.classified_reviews(read_raw(house), seeds)))
+        base = house.reviews(seeds)
+        house.write("fact_reviews", star.fact_reviews(base))
+        house.write("fact_classifications", star.fact_classifications(base))
     house.write("ticket_base", star.numbered_tickets(base, seeds))
     house.write("fact_tickets", star.fact_tickets(house.read("ticket_base")))
 
 
 def build_marts(house: Warehouse, seeds: dict[str, DataFrame], as_of: Column) -> None:
-    base = house.reviews()
-    house.write("dm_direction_synthese", marts.direction_synthesis(base, seeds))
-    house.write("dm_marketing_voc", marts.marketing_voice(base, seeds))
+    base = house.reviews(seeds)
+    if house.incremental:
+        direction, marketing = (incremental.cells(house.spark, house.store, c, seeds) for c in incremental.CUBES)
+    else:
+        direction, marketing = marts.daily_cells(base, seeds), marts.marketing_cells(base)
+    house.write("dm_direction_synthese", marts.synthesis_of(direction, seeds))
+    house.write("dm_marketing_voc", marts.voice_of(marketing, seeds))
     house.write("dm_finance_litiges", marts.finance_disputes(base, seeds))
     house.write("dm_sav_tickets", marts.support_tickets(house.read("ticket_base"), seeds, as_of))
 
@@ -135,13 +158,14 @@ CHECKED = (
 )
 
 
-def check(house: Warehouse) -> DataFrame:
+def check(house: Warehouse, seeds: dict[str, DataFrame]) -> DataFrame:
     """All declared checks; the report is kept, whatever the outcome."""
-    return house.write("quality_report", quality.report({**{t: house.read(t) for t in CHECKED}, "raw_reviews": read_raw(house)}))
+    checked = {**{t: house.fact(t, seeds) for t in CHECKED}, "raw_reviews": read_raw(house)}
+    return house.write("quality_report", quality.report(checked))
 
 
 def find_alerts(house: Warehouse, seeds: dict[str, DataFrame], as_of: Column) -> DataFrame:
-    weekly = activation.weekly_high(house.reviews(), seeds)
+    weekly = activation.weekly_high(house.reviews(seeds), seeds)
     found = activation.spikes(activation.recent_weeks(weekly))
     alerts = house.write("alerts", activation.alert_records(found, as_of))
     tables.write_csv(alerts, house.path("alerts.csv"))
@@ -150,21 +174,18 @@ def find_alerts(house: Warehouse, seeds: dict[str, DataFrame], as_of: Column) ->
 
 def read_ledger(house: Warehouse, before_run: str) -> DataFrame:
     """Keys pushed by other runs; a repeated run must not meet its own entries."""
-    empty = house.spark.createDataFrame([], "review_key string, run_id string")
-    if not tables.run_ids(house.spark, house.path("ledger")):
-        return empty
-    kept = house.spark.read.schema("review_key string, run_id string").parquet(house.path("ledger"))
-    return kept.where(F.col("run_id") != before_run)
+    others = [f"run_id={run}" for run in tables.runs(house.spark, house.path("ledger")) if run != before_run]
+    return tables.read(house.spark, house.path("ledger"), "review_key string", others)
 
 
 def route_tickets(house: Warehouse, seeds: dict[str, DataFrame], run_id: str) -> DataFrame:
     """Ticket export, payloads of the new tickets and their ledger entries."""
-    chosen = activation.critical_selection(house.reviews(), seeds)
+    chosen = activation.critical_selection(house.reviews(seeds), seeds)
     tickets = house.write("tickets", activation.tickets(chosen))
     tables.write_csv(tickets.select(*schemas.TICKETS), house.path("tickets.csv"))
     fresh = activation.new_tickets(tickets, read_ledger(house, run_id))
     payloads = house.write(f"ticket_payloads/run_id={run_id}", activation.ticket_payloads(fresh))
-    house.write(f"ledger/run_id={run_id}", payloads.select("review_key"))
+    tables.put(payloads.select("review_key"), house.path("ledger"), f"run_id={run_id}")
     return tickets
 
 
@@ -177,19 +198,20 @@ def run_day(
     scorer: verdicts.Scorer | None = None,
     cap: int = 0,
     seeds_folder: str | None = None,
+    incrementally: bool = False,
 ) -> DataFrame:
     """A whole day.  Failed checks stop alerts and tickets.
 
     Whatever step fails, the recap is written anew: a recap of an earlier day never stays.
     """
-    house = Warehouse(prepare(spark), root)
+    house = Warehouse(prepare(spark), root, incrementally)
     seeds = reference_data.seeds(spark, seeds_folder)
     try:
         land_run(house, payloads, run_id, as_of, cap=cap, seeds_folder=seeds_folder)
         load_run(house, as_of, run_id, scorer)
         build_star(house, seeds)
         build_marts(house, seeds, as_of)
-        quality.gate(check(house))
+        quality.gate(check(house, seeds))
         alerts = find_alerts(house, seeds, as_of)
         tickets = route_tickets(house, seeds, run_id)
         recap = activation.run_recap(tickets, alerts, read_ledger(house, run_id))

@@ -121,12 +121,16 @@ def ticket_resolution(cells: DataFrame) -> DataFrame:
 def direction_synthesis(
     classified: DataFrame, seeds: dict[str, DataFrame], statuses: DataFrame | None = None
 ) -> DataFrame:
-    """Five indicators per date and brand, in one pass over the reviews.
+    """Five indicators per date and brand, in one pass over the reviews."""
+    return synthesis_of(daily_cells(classified, seeds, statuses), seeds)
 
-    Competitor mean and resolution rate are windows over the daily cells, so the
+
+def synthesis_of(cells: DataFrame, seeds: dict[str, DataFrame]) -> DataFrame:
+    """The five indicators from daily cells.
+
+    Competitor mean and resolution rate are windows over the cells, so the
     reviews are scanned and shuffled once instead of three times.
     """
-    cells = daily_cells(classified, seeds, statuses)
     brand = seeds["brands"].select(
         F.col("id").alias("brand_id"), F.col("label").alias("brand_label"), "is_focus"
     )
@@ -185,7 +189,11 @@ def focus_baseline(cells: DataFrame, seeds: dict[str, DataFrame]) -> DataFrame:
 
 def marketing_voice(classified: DataFrame, seeds: dict[str, DataFrame]) -> DataFrame:
     """Volume, rating and severity per cell, with the volume relative to the focus brand."""
-    cells = marketing_cells(classified)
+    return voice_of(marketing_cells(classified), seeds)
+
+
+def voice_of(cells: DataFrame, seeds: dict[str, DataFrame]) -> DataFrame:
+    """The marketing mart from its cells."""
     brand = seeds["brands"].select(
         F.col("id").alias("brand_id"), F.col("label").alias("brand_label"), "is_focus"
     )

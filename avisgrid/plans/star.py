@@ -29,11 +29,16 @@ def newest_first() -> list[Column]:
 
 def staged(raw: DataFrame) -> DataFrame:
     """Latest version per natural key, with response latency and flag."""
+    return newest_versions(raw).drop("run_id")
+
+
+def newest_versions(raw: DataFrame) -> DataFrame:
+    """``staged`` with the run that each version came with, where ``raw`` has it."""
     latency = F.date_diff(F.to_date("vendor_response_at"), F.to_date("review_date"))
     order = newest_first()
     if "run_id" in raw.columns:
         order.append(F.col("run_id").desc_nulls_last())
-    newest = first_per_key(raw, ["source_code", "source_review_id"], order).drop("run_id")
+    newest = first_per_key(raw, ["source_code", "source_review_id"], order)
     return newest.withColumns(
         {
             "rating": F.col("rating").cast("int"),

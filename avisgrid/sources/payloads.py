@@ -2,11 +2,14 @@
 
 A payload frame has one row per delivered page: ``brand_code``, ``arrival_page`` (order
 of delivery inside a source and brand) and ``payload`` (the text as delivered).  Each
-parser is a narrow projection and one explode; the size of a page bounds the explode.
+parser is a narrow projection and one explode; the size of a page bounds the explode. What gives no
+review keeps its row with the reason, so that reading and counting are one pass.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,24 +61,56 @@ def fallback_id(source_id: Column, prefix: str, when: Column) -> Column:
     return F.coalesce(F.nullif(source_id, F.lit("")), F.concat(F.lit(prefix), when))
 
 
-def _entries(payloads: DataFrame, entries: Column) -> DataFrame:
-    return payloads.select(
-        "brand_code", "arrival_page", F.posexplode(entries).alias("arrival_pos", "e")
+# Why a page or an entry gives no review.
+NO_STATE, UNREADABLE, EMPTY, NO_RATING, NO_DATE = "no_state", "unreadable_page", "empty_page", "no_rating", "no_date"
+
+
+def _entries(payloads: DataFrame, entries: Column, unread: Column | None = None) -> DataFrame:
+    """One row for each entry with the page's fault, if it has one; a page without entries has one row."""
+    fault = F.when(F.col("listed").isNull(), UNREADABLE).when(F.size("listed") == 0, EMPTY)
+    pages = payloads.select(
+        "brand_code", "arrival_page", entries.alias("listed"), *([unread.alias("unread")] if unread is not None else [])
+    )
+    fault = fault if unread is None else F.coalesce("unread", fault)
+    return pages.select(
+        "brand_code", "arrival_page", fault.alias("fault"), F.posexplode_outer("listed").alias("arrival_pos", "e")
     )
 
 
 def _landed(rows: DataFrame) -> DataFrame:
-    return rows.select(*REVIEW_COLUMNS, *ARRIVAL_COLUMNS)
+    return rows.select(*REVIEW_COLUMNS, *ARRIVAL_COLUMNS, "rejected")
 
 
-def app_store_reviews(payloads: DataFrame) -> DataFrame:
-    """JSON feed pages.  Entries without rating or readable date are skipped."""
+def accepted(parsed: DataFrame) -> DataFrame:
+    """The reviews among parsed entries."""
+    return parsed.where("rejected IS NULL").drop("rejected")
+
+
+def reading_counts(parsed: dict[str, DataFrame]) -> DataFrame:
+    """``source_code, outcome, n``: what was kept of each source and why the rest was not."""
+    counts = [
+        df.groupBy(F.lit(source).alias("source_code"), F.coalesce("rejected", F.lit("kept")).alias("outcome")).agg(
+            F.count("*").alias("n")
+        )
+        for source, df in parsed.items()
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
+def parse_app_store(payloads: DataFrame) -> DataFrame:
+    """JSON feed pages.  Entries without rating or readable date are rejected."""
     feed = strict_object(F.col("payload"), APP_STORE_FIELDS)["feed"]["entry"]
     e = F.col("e")
     rows = (
         _entries(payloads, feed)
         .withColumn("review_date", times.parse_ts_utc(e["updated"]["label"]))
-        .where(e["im:rating"]["label"].isNotNull() & F.col("review_date").isNotNull())
+        .withColumn(
+            "rejected",
+            F.coalesce(
+                "fault",
+                F.when(e["im:rating"]["label"].isNull(), NO_RATING).when(F.col("review_date").isNull(), NO_DATE),
+            ),
+        )
     )
     return _landed(
         rows.select(
@@ -92,21 +127,21 @@ def app_store_reviews(payloads: DataFrame) -> DataFrame:
             F.lit(None).cast("string").alias("vendor_response"),
             F.lit(None).cast("timestamp").alias("vendor_response_at"),
             *ARRIVAL_COLUMNS,
+            "rejected",
         )
     )
 
 
-def trustpilot_reviews(payloads: DataFrame) -> DataFrame:
-    """HTML pages carrying their state as JSON.  No or broken state gives no rows."""
+def parse_trustpilot(payloads: DataFrame) -> DataFrame:
+    """HTML pages carrying their state as JSON.  No or broken state gives no reviews."""
     state = F.regexp_extract(F.col("payload"), PAGE_STATE_SCRIPT, 1)
-    found = F.when(F.trim(state) != "", state)
-    page = payloads.withColumn("payload", found).where(F.col("payload").isNotNull())
+    page = payloads.withColumn("payload", F.when(F.trim(state) != "", state))
     listed = strict_object(F.col("payload"), TRUSTPILOT_FIELDS)["props"]["pageProps"]["reviews"]
     e = F.col("e")
     rows = (
-        _entries(page, listed)
+        _entries(page, listed, F.when(F.col("payload").isNull(), NO_STATE))
         .withColumn("review_date", times.parse_ts_utc(e["dates"]["publishedDate"]))
-        .where(F.col("review_date").isNotNull())
+        .withColumn("rejected", F.coalesce("fault", F.when(F.col("review_date").isNull(), NO_DATE)))
     )
     # Without the field the rating is 0; a written null stays NULL.
     rating = F.when(e["rating"].isNull(), 0).otherwise(
@@ -127,18 +162,19 @@ def trustpilot_reviews(payloads: DataFrame) -> DataFrame:
             e["reply"]["message"].alias("vendor_response"),
             times.parse_ts_utc(e["reply"]["publishedDate"]).alias("vendor_response_at"),
             *ARRIVAL_COLUMNS,
+            "rejected",
         )
     )
 
 
-def google_play_reviews(payloads: DataFrame) -> DataFrame:
+def parse_google_play(payloads: DataFrame) -> DataFrame:
     """JSON batches of store records; empty strings count as missing."""
     records = F.from_json(strict_value(F.col("payload")), GOOGLE_PLAY_RECORD)
     e = F.col("e")
     rows = (
         _entries(payloads, records)
         .withColumn("review_date", times.parse_ts_utc(e["at"]))
-        .where(F.col("review_date").isNotNull())
+        .withColumn("rejected", F.coalesce("fault", F.when(F.col("review_date").isNull(), NO_DATE)))
     )
     body = tt.strip(e["content"])
     return _landed(
@@ -156,12 +192,25 @@ def google_play_reviews(payloads: DataFrame) -> DataFrame:
             F.nullif(e["replyContent"], F.lit("")).alias("vendor_response"),
             times.parse_ts_utc(e["repliedAt"]).alias("vendor_response_at"),
             *ARRIVAL_COLUMNS,
+            "rejected",
         )
     )
 
 
 PARSERS = {
-    "google_play": google_play_reviews,
-    "app_store": app_store_reviews,
-    "trustpilot": trustpilot_reviews,
+    "google_play": parse_google_play,
+    "app_store": parse_app_store,
+    "trustpilot": parse_trustpilot,
 }
+
+
+def app_store_reviews(payloads: DataFrame) -> DataFrame:
+    return accepted(parse_app_store(payloads))
+
+
+def trustpilot_reviews(payloads: DataFrame) -> DataFrame:
+    return accepted(parse_trustpilot(payloads))
+
+
+def google_play_reviews(payloads: DataFrame) -> DataFrame:
+    return accepted(parse_google_play(payloads))

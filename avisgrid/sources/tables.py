@@ -1,11 +1,13 @@
-"""Bronze runs, the raw table and CSV exports."""
+"""Committed tables, bronze runs, the raw table and CSV exports."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from avisgrid import schemas
 
@@ -25,11 +27,92 @@ class NoRunError(FileNotFoundError):
     """There is no bronze run to read."""
 
 
-def replace(df: DataFrame, path: str, kind: str = "parquet", **options) -> None:
-    """Write a table beside ``path`` and put it in the old one's place when it is complete.
+class NoTableError(FileNotFoundError):
+    """Nothing was ever committed to a table."""
 
-    A failed job leaves the old table as it was, and a frame may read the table it replaces.
-    Names with an underscore are invisible to Spark's readers.
+
+# A table is a log of commits beside folders of data that are never changed. Each entry names the
+# folder that holds a part from then on (none: the part is empty) and what it was made from.
+ENTRY = "seq bigint, part string, folder string, made_from string"
+
+
+def entries(spark: SparkSession, path: str) -> dict[str, Row]:
+    """The newest entry of every part; one row for each run or month."""
+    try:
+        log = spark.read.schema(ENTRY).json(f"{path}/log")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return {}
+    newest = log.groupBy("part").agg(F.max(F.struct("seq", "folder", "made_from")).alias("newest"))
+    return {r.part: r.newest for r in newest.collect()}
+
+
+def commit(
+    spark: SparkSession,
+    path: str,
+    changes: dict[str, tuple[str | None, str | None]],
+    known: dict[str, Row] | None = None,
+) -> None:
+    """Put folders in the place of parts, all at once: one file that appears complete or not at all.
+
+    A reader sees the parts before or after, never between. One writer at a time.
+    """
+    known = entries(spark, path) if known is None else known
+    seq = 1 + max((e.seq for e in known.values()), default=0)
+    rows = [(seq, part, folder, made_from) for part, (folder, made_from) in changes.items()]
+    spark.createDataFrame(rows, ENTRY).coalesce(1).write.mode("append").json(f"{path}/log")
+
+
+def new_folder(path: str, part: str = "") -> str:
+    return f"{path}/data/{part or 'all'}/{uuid.uuid4().hex}"
+
+
+def put(df: DataFrame, path: str, part: str = "", made_from: str | None = None) -> str:
+    """Write a part and commit it; until then readers see the one before. Returns its folder."""
+    folder = new_folder(path, part)
+    df.write.parquet(folder)
+    commit(df.sparkSession, path, {part: (folder, made_from)})
+    return folder
+
+
+def read(
+    spark: SparkSession,
+    path: str,
+    schema: StructType | str | None = None,
+    parts: list[str] | None = None,
+    known: dict[str, Row] | None = None,
+) -> DataFrame:
+    """All parts of a table, or those named; only their folders are listed and read.
+
+    ``known`` saves reading the log once more.
+    """
+    known = entries(spark, path) if known is None else known
+    if not known and schema is None:
+        raise NoTableError(f"no table at {path}")
+    folders = [e.folder for p, e in sorted(known.items()) if e.folder and (parts is None or p in parts)]
+    if not folders:
+        return spark.createDataFrame([], schema)
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(*folders)
+
+
+def vacuum(spark: SparkSession, path: str) -> int:
+    """Delete folders that no part needs any more; returns how many. Readers of old parts must be done."""
+    kept = {e.folder for e in entries(spark, path).values()}
+    log = spark.read.schema(ENTRY).json(f"{path}/log").where(F.col("folder").isNotNull())
+    old = [r.folder for r in log.select("folder").distinct().collect() if r.folder not in kept]
+    for folder in old:
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+    return len(old)
+
+
+def export(df: DataFrame, path: str, kind: str, **options) -> None:
+    """Write files for readers outside of Spark, at a fixed path.
+
+    The old files stay until the new ones are complete, and come back if those cannot take their
+    place. Names with an underscore are invisible to Spark's readers.
     """
     spark = df.sparkSession
     parent, own = path.rstrip("/").rsplit("/", 1)
@@ -37,43 +120,37 @@ def replace(df: DataFrame, path: str, kind: str = "parquet", **options) -> None:
     df.write.format(kind).options(**options).save(fresh)
     at, fresh, old = map(spark._jvm.org.apache.hadoop.fs.Path, (f"{parent}/{own}", fresh, old))
     fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    if fs.exists(at):
-        fs.rename(at, old)
+    there = fs.exists(at)
+    if there and not fs.rename(at, old):
+        raise OSError(f"cannot move the old files from {path}")
     if not fs.rename(fresh, at):
-        raise OSError(f"cannot move the new table to {path}")
-    fs.delete(old, True)
+        if there and not fs.rename(old, at):
+            raise OSError(f"cannot move the new files to {path}; the old ones are in {old.toString()}")
+        raise OSError(f"cannot move the new files to {path}")
+    if there:
+        fs.delete(old, True)
 
 
 def write_run(df: DataFrame, bronze: str, run_id: str) -> str:
-    """Write one run as its own partition folder; an empty run keeps its schema."""
-    path = f"{bronze}/run_id={run_id}"
-    replace(df, path)
-    return path
+    """Write one run as a part of its own; an empty run keeps its schema. Returns its folder."""
+    return put(df, bronze, f"run_id={run_id}")
 
 
-def run_ids(spark: SparkSession, bronze: str) -> list[str]:
-    """Run ids from one listing of the bronze folder, without touching any data file."""
-    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{bronze}/run_id=*")
-    fs = pattern.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    found = fs.globStatus(pattern) or []
-    return sorted(status.getPath().getName().split("=", 1)[1] for status in found)
+def runs(spark: SparkSession, path: str) -> dict[str, Row]:
+    """The newest entry of every run, in the order of their ids."""
+    return {p.split("=", 1)[1]: e for p, e in sorted(entries(spark, path).items()) if p.startswith("run_id=")}
 
 
-def written_at(spark: SparkSession, path: str) -> int:
-    """Latest change of a table's files, in milliseconds."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    return max((f.getModificationTime() for f in fs.listStatus(at) if f.isFile()), default=0)
+def run_ids(spark: SparkSession, bronze: str) -> list[str]:
+    return list(runs(spark, bronze))
 
 
 def read_run(spark: SparkSession, bronze: str, run_id: str | None = None) -> DataFrame:
     """A run, by default the last one by name; only its own files are listed and read."""
-    if run_id is None:
-        known = run_ids(spark, bronze)
-        if not known:
-            raise NoRunError(f"no run below {bronze}")
-        run_id = known[-1]
-    return spark.read.schema(schemas.LANDED).parquet(f"{bronze}/run_id={run_id}")
+    known = runs(spark, bronze)
+    if not known or (run_id is not None and run_id not in known):
+        raise NoRunError(f"no run {run_id or ''} below {bronze}")
+    return spark.read.schema(schemas.LANDED).parquet(known[run_id or list(known)[-1]].folder)
 
 
 def null_missing(df: DataFrame) -> DataFrame:
@@ -97,13 +174,26 @@ def write_raw(df: DataFrame, path: str) -> int:
     """Replace the raw table and return its row count; an empty batch changes nothing."""
     if df.isEmpty():
         return 0
-    replace(raw_columns(df), path)
-    return df.sparkSession.read.schema(schemas.RAW).parquet(path).count()
+    folder = put(raw_columns(df), path)
+    return df.sparkSession.read.schema(schemas.RAW).parquet(folder).count()
+
+
+def load_raw_run(df: DataFrame, path: str, run_id: str, made_from: str) -> int:
+    """Put a refined run into the raw table's part of that run; returns its rows.
+
+    The entry keeps the bronze folder it was made from. A run without rows takes its old rows away and counts as loaded.
+    """
+    part = f"run_id={run_id}"
+    folder = new_folder(path, part)
+    df.withColumn("run_id", F.lit(run_id)).write.parquet(folder)
+    rows = df.sparkSession.read.schema(schemas.RAW_RUNS).parquet(folder).count()
+    commit(df.sparkSession, path, {part: (folder if rows else None, made_from)})
+    return rows
 
 
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV export with header, also for a frame without rows."""
-    replace(df, path, "csv", **CSV)
+    export(df, path, "csv", **CSV)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -2,12 +2,15 @@
 
 The file source remembers in its checkpoint which files it has read, so a daily call
 reads new pages only, and a call repeated after a failure writes the same run again.
-Every run carries the stream that wrote it: another feed's batch of the same number, or that of a stream whose
-checkpoint was lost, replaces a run only if it holds all of its reviews.
+A batch replaces a run of its number only if it holds all of that run's reviews. Another feed's batch, or that of a
+stream whose checkpoint was lost, becomes a run of its own, named after its checkpoint.
 """
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,20 +30,19 @@ def payload_stream(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _run_id(run: DataFrame, bronze: str, batch_id: int, stream: str) -> str:
-    """The batch's run id, with the stream's id where another stream's reviews have the plain one."""
+def _run_id(run: DataFrame, bronze: str, batch_id: int, checkpoint: str) -> str:
+    """The first name that is free or whose run holds nothing that this one has not."""
     spark = run.sparkSession
-    plain, own = f"batch-{batch_id:06d}", f"batch-{batch_id:06d}-{stream}"
-    there = tables.run_ids(spark, bronze)
-    if own in there:
-        return own
-    if plain not in there:
-        return plain
-    stored = spark.read.parquet(f"{bronze}/run_id={plain}")
-    if "stream" in stored.columns:
-        stored = stored.where(~F.col("stream").eqNullSafe(F.lit(stream)))
+    plain = f"batch-{batch_id:06d}"
+    feed = f"{plain}-{hashlib.sha256(checkpoint.encode()).hexdigest()[:12]}"
+    there = tables.runs(spark, bronze)
     content = [c for c in run.columns if c != "collected_at"]
-    return plain if stored.select(*content).subtract(run.select(*content)).isEmpty() else own
+    for name in (plain, feed, *(f"{feed}-{n}" for n in itertools.count(2))):
+        if name not in there:
+            return name
+        stored = tables.read_run(spark, bronze, name).select(*content)
+        if stored.subtract(run.select(*content)).isEmpty():
+            return name
 
 
 def land_new_files(
@@ -55,7 +57,7 @@ def land_new_files(
     """Land everything new below ``path`` and stop; returns the ids of the runs written.
 
     The run id comes from the batch, so a batch repeated on a later day replaces its own
-    run; where a run of another stream must stay, the stream's id follows. A page of an unknown source stops the landing before anything is marked as read.
+    run; where a run of another stream must stay, a hash of the checkpoint's path follows. A page of an unknown source stops the landing before anything is marked as read.
     """
     prepare(spark)
     brands = [r.code for r in reference_data.seed(spark, "brands").orderBy("id").collect()]
@@ -70,10 +72,8 @@ def land_new_files(
             raise ValueError(f"pages of unknown sources: {names}")
         pages = {s: stored.where(F.col("source_code") == s).drop("source_code") for s in known}
         run = landing.land(pages, as_of, brands, days, cap)
-        # The id that the checkpoint keeps, the same after a restart.
-        stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
-        run_id = _run_id(run, bronze, batch_id, stream)
-        tables.write_run(run.withColumn("stream", F.lit(stream)), bronze, run_id)
+        run_id = _run_id(run, bronze, batch_id, checkpoint)
+        tables.write_run(run, bronze, run_id)
         done.append(run_id)
 
     query = (

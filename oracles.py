@@ -269,6 +269,32 @@ tck AS (
 STAR = RAW + star_ctes("raw")
 
 
+NUMBER = "CAST(source_review_id AS BIGINT)"
+
+
+def runs_ctes(names: tuple[str, ...]) -> str:
+    """The runs of the incremental queries; of equal times the later run's version stays."""
+    kept = {
+        "r1": f"SELECT *, 'r1' AS run_id FROM raw WHERE {NUMBER} % 7 <> 0",
+        "r2": f"""SELECT * REPLACE (CASE WHEN {NUMBER} % 10 = 0 THEN text || ' bis' ELSE text END AS text),
+                         'r2' FROM raw WHERE {NUMBER} % 10 = 0 OR {NUMBER} % 7 = 0""",
+        "r3": f"""SELECT * REPLACE (review_date + INTERVAL 40 DAY AS review_date, CAST(2 AS INTEGER) AS rating,
+                                   collected_at + INTERVAL 1 DAY AS collected_at),
+                         'r3' FROM raw WHERE {NUMBER} % 15 = 0""",
+    }
+    union = " UNION ALL ".join(kept[n] for n in names)
+    return f""",
+runs AS (
+    SELECT * EXCLUDE (run_id) FROM ({union})
+    QUALIFY row_number() OVER (PARTITION BY source_code, source_review_id, collected_at
+                               ORDER BY run_id DESC) = 1
+)"""
+
+
+RUNS = RAW + runs_ctes(("r1", "r2", "r3")) + star_ctes("runs")
+WITHOUT_SECOND = RAW + runs_ctes(("r1", "r3")) + star_ctes("runs")
+
+
 def dec(x: str, digits: int) -> str:
     """Rounded half away from zero in decimal arithmetic, as double."""
     return f"CAST(round(CAST({x} AS DECIMAL(28, 10)), {digits}) AS DOUBLE)"
@@ -317,6 +343,22 @@ VOICE = f"""
                         OVER (PARTITION BY category_id) AS base FROM cells)
     WHERE brand_id IS NOT NULL AND category_id IS NOT NULL AND persona_id IS NOT NULL"""
 
+FACTS = """SELECT id, review_key, source_review_id, source_id, brand_id, date_id, review_date,
+                  persona_id, rating, text, 'fr' AS language, author_handle, app_version,
+                  vendor_responded, vendor_response_at, response_latency_days, is_exploitable,
+                  exclusion_reason, collected_at FROM fact"""
+
+SYNTHESIS = f"""
+        SELECT date_id, brand_label, total_reviews, {dec("avg_rating", 2)} AS avg_rating,
+               {dec("share_critical", 3)} AS share_critical,
+               coalesce(solved, 0.0) AS ticket_resolution_rate,
+               CASE WHEN is_focus THEN {dec("avg_rating - competitor_avg_rating", 2)} END
+                   AS gap_vs_competitors
+        FROM daily LEFT JOIN rivals USING (date_id)
+        LEFT JOIN (SELECT date_id, avg(CASE WHEN status_id IN
+                              (SELECT id FROM statuses WHERE is_terminal) THEN 1 ELSE 0 END) AS solved
+                   FROM tck JOIN fact ON fact.id = tck.review_id GROUP BY date_id) USING (date_id)"""
+
 # The newest weeks of a pair are one list, newest first: place 1 is now, places 2 to 5 are before.
 WEEKLY = f""",
 weekly AS (
@@ -627,6 +669,23 @@ ORACLES: dict[str, str] = {
     "ingest_app_store": sql(FIXTURE + APP_STORE, f"SELECT {REVIEW_COLUMNS} FROM app"),
     "ingest_trustpilot": sql(FIXTURE + TRUSTPILOT, f"SELECT {REVIEW_COLUMNS} FROM trust"),
     "ingest_google_play": sql(FIXTURE + GOOGLE_PLAY, f"SELECT {REVIEW_COLUMNS} FROM play"),
+    "rejected_pages": sql(
+        FIXTURE,
+        """SELECT source_code, outcome, count(*) AS n FROM (
+               SELECT source_code,
+                      CASE WHEN source_code = 'app_store' AND rating IS NULL THEN 'no_rating'
+                           WHEN source_code = 'app_store' AND (eid % 101 = 0 OR eid % 103 = 0)
+                             OR source_code = 'trustpilot' AND eid % 101 = 0 THEN 'no_date'
+                           ELSE 'kept' END AS outcome
+               FROM rev
+               UNION ALL
+               SELECT DISTINCT ON (brand_code, eid // 450) 'trustpilot', 'unreadable_page'
+               FROM rev WHERE source_code = 'trustpilot'
+               UNION ALL
+               SELECT 'trustpilot', 'no_state' FROM pages
+               WHERE page_id NOT IN (SELECT eid // 450 FROM rev WHERE source_code = 'trustpilot')
+           ) GROUP BY source_code, outcome""",
+    ),
     "fallback_review_id": f"""
         SELECT event_id,
                CASE WHEN event_id % 3 = 2 THEN CAST(event_id AS VARCHAR)
@@ -813,6 +872,16 @@ ORACLES: dict[str, str] = {
                       AS text
            FROM stg""",
     ),
+    "incremental_month": sql(RUNS, FACTS),
+    "incremental_reload": sql(WITHOUT_SECOND, FACTS),
+    "incremental_versions": sql(
+        RUNS,
+        """SELECT review_key, collected_at, classified_at, review_date, brand_code, rating, category_code,
+                  source_review_id, source_id, date_id, brand_id, category_id, persona_id, severity_id,
+                  severity_code, is_exploitable FROM fact""",
+    ),
+    "incremental_direction": sql(WITHOUT_SECOND + DAILY, SYNTHESIS),
+    "incremental_marketing": sql(RUNS + CELLS, VOICE),
     "response_latency": sql(
         STAGED,
         """SELECT source_review_id, source_code, response_latency_days, vendor_responded
@@ -851,10 +920,7 @@ ORACLES: dict[str, str] = {
     ),
     "fact_reviews": sql(
         STAR,
-        """SELECT id, review_key, source_review_id, source_id, brand_id, date_id, review_date,
-                  persona_id, rating, text, 'fr' AS language, author_handle, app_version,
-                  vendor_responded, vendor_response_at, response_latency_days, is_exploitable,
-                  exclusion_reason, collected_at FROM fact""",
+        FACTS,
     ),
     "fact_classifications": sql(STAR, "SELECT * FROM cls"),
     "fact_tickets": sql(STAR, "SELECT * FROM tck"),
@@ -878,19 +944,7 @@ ORACLES: dict[str, str] = {
         JOIN statuses st ON st.id = CAST(f.source_review_id AS BIGINT) % 4 + 1
         GROUP BY f.date_id""",
     ),
-    "dm_direction_synthese": sql(
-        STAR + DAILY,
-        f"""
-        SELECT date_id, brand_label, total_reviews, {dec("avg_rating", 2)} AS avg_rating,
-               {dec("share_critical", 3)} AS share_critical,
-               coalesce(solved, 0.0) AS ticket_resolution_rate,
-               CASE WHEN is_focus THEN {dec("avg_rating - competitor_avg_rating", 2)} END
-                   AS gap_vs_competitors
-        FROM daily LEFT JOIN rivals USING (date_id)
-        LEFT JOIN (SELECT date_id, avg(CASE WHEN status_id IN
-                              (SELECT id FROM statuses WHERE is_terminal) THEN 1 ELSE 0 END) AS solved
-                   FROM tck JOIN fact ON fact.id = tck.review_id GROUP BY date_id) USING (date_id)""",
-    ),
+    "dm_direction_synthese": sql(STAR + DAILY, SYNTHESIS),
     "marketing_agg": sql(STAR + CELLS, "SELECT * FROM cells"),
     "focus_baseline": sql(
         STAR + CELLS,

@@ -185,8 +185,8 @@ def test_empty_batch_keeps_the_raw_table(spark, tmp_path):
 
     assert tables.write_raw(refined(4), path) == 4
     assert tables.write_raw(refined(0), path) == 0
-    assert spark.read.parquet(path).count() == 4
-    assert spark.read.parquet(path).columns == schemas.RAW.fieldNames()
+    assert tables.read(spark, path).count() == 4
+    assert tables.read(spark, path).columns == schemas.RAW.fieldNames()
 
 
 def test_nan_becomes_null(spark):
