@@ -12,10 +12,9 @@ from avisgrid.functions import text as tt
 
 
 def bound(text: Column, fn: Callable[[Column], Column]) -> Column:
-    """Evaluate ``text`` once per row and hand the value to ``fn``.
+    """Evaluate ``text`` (or what was found in it) once per row and hand the value to ``fn``.
 
-    The optimizer may inline a folded text into the lambda below, where it would be
-    folded again for every keyword; as a one-element array it is computed once.
+    The optimizer may inline the value into every use; as a one-element array it is computed once.
     """
     return F.element_at(F.transform(F.array(text), fn), 1)
 
@@ -25,22 +24,16 @@ def keyword_list(keywords: Iterable[str]) -> Column:
     return F.expr(f"array({', '.join(tt.quoted(k) for k in keywords)})")
 
 
-def hits(text: Column, keywords: Iterable[str]) -> Column:
-    """Distinct keywords that occur as substrings (overlaps all count).
-
-    A loop over a literal array compiles to a small method.  A sum of one test per
-    keyword grows past what the JVM compiles and runs about three times slower.
-    """
-    return F.size(F.filter(keyword_list(keywords), lambda k: F.contains(text, k)))
+def n_of(found: Column, keywords: Iterable[str]) -> Column:
+    """How many of the keywords are among those found in a text, 0 for a NULL text."""
+    return F.coalesce(F.size(F.array_intersect(found, keyword_list(keywords))), F.lit(0))
 
 
-def count_keywords(text: Column, keywords: Iterable[str]) -> Column:
-    """Number of distinct keywords in the text, 0 for a NULL text."""
-    return F.coalesce(bound(text, lambda t: hits(t, keywords)), F.lit(0))
+def any_of(found: Column, keywords: Iterable[str]) -> Column:
+    return F.arrays_overlap(found, keyword_list(keywords))
 
 
-def any_keyword(text: Column, keywords: Iterable[str]) -> Column:
-    return bound(text, lambda t: F.exists(keyword_list(keywords), lambda k: F.contains(t, k)))
+CATEGORY_WORDS = tuple(k for words in tx.CATEGORY_KEYWORDS.values() for k in words)
 
 
 def score_column(category: str) -> str:
@@ -50,9 +43,9 @@ def score_column(category: str) -> str:
 def category_scores(searched: Column) -> Column:
     """Struct with one keyword count per category."""
     return bound(
-        searched,
-        lambda t: F.struct(
-            *[hits(t, words).alias(score_column(c)) for c, words in tx.CATEGORY_KEYWORDS.items()]
+        tt.keywords_in(searched, CATEGORY_WORDS),
+        lambda found: F.struct(
+            *[n_of(found, words).alias(score_column(c)) for c, words in tx.CATEGORY_KEYWORDS.items()]
         ),
     )
 
@@ -89,10 +82,11 @@ def severity(score: Column, rating: Column, category: Column) -> Column:
     )
 
 
-def persona(text: Column, normalized: Column) -> Column:
+def persona(text: Column, owner: Column) -> Column:
+    """``owner`` says whether the folded text has an owner's words."""
     return (
         F.when(tt.is_blank(text), "indetermine")
-        .when(any_keyword(normalized, tx.OWNER_PATTERNS), "proprietaire")
+        .when(owner, "proprietaire")
         .otherwise("locataire")
     )
 
@@ -110,21 +104,29 @@ def with_quality(df: DataFrame, text: str = "text") -> DataFrame:
 def with_text_classes(df: DataFrame, text: str = "text", rating: str = "rating") -> DataFrame:
     """Quality, category, severity and persona in one narrow chain of projections.
 
-    Folded and negation-free text are their own projections: each is used by many
-    keyword tests and must be computed once per row.
+    The folded text is a projection of its own, computed once per row. It is searched once for
+    the words of severity and persona, and once without negations for those of the categories.
     """
     raw = F.col(text)
-    staged = df.withColumn("_norm", tt.normalize(raw)).withColumn(
-        "_searched", tt.strip_negation(F.col("_norm"))
+    staged = df.withColumn("_norm", tt.normalize(raw))
+    # Both searches come out of a lambda, so the optimizer cannot run them again for every list.
+    searches = bound(
+        F.struct(
+            tt.keywords_in(F.col("_norm"), (*tx.SEVERITY_KEYWORDS, *tx.OWNER_PATTERNS)).alias("folded"),
+            tt.keywords_in(tt.strip_negation(F.col("_norm")), CATEGORY_WORDS).alias("searched"),
+        ),
+        lambda found: F.struct(
+            *[n_of(found["searched"], words).alias(score_column(c)) for c, words in tx.CATEGORY_KEYWORDS.items()],
+            n_of(found["folded"], tx.SEVERITY_KEYWORDS).alias("n_severity"),
+            F.coalesce(any_of(found["folded"], tx.OWNER_PATTERNS), F.lit(False)).alias("owner"),
+        ),
     )
+    staged = staged.withColumn("_scores", searches)
     scored = staged.withColumns(
         {
-            "_scores": category_scores(F.col("_searched")),
             "exclusion_reason": tt.exclusion_reason(raw, F.col("_norm")),
-            "persona_code": persona(raw, F.col("_norm")),
-            "severity_text_score": text_score(
-                count_keywords(F.col("_norm"), tx.SEVERITY_KEYWORDS)
-            ),
+            "persona_code": persona(raw, F.col("_scores.owner")),
+            "severity_text_score": text_score(F.col("_scores.n_severity")),
             "severity_rating_score": rating_score(F.col(rating)),
         }
     )
@@ -136,7 +138,7 @@ def with_text_classes(df: DataFrame, text: str = "text", rating: str = "rating")
             "severity_code",
             severity(F.col("severity_text_score"), F.col(rating), F.col("category_code")),
         )
-        .drop("_norm", "_searched", "_scores")
+        .drop("_norm", "_scores")
     )
 
 

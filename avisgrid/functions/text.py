@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -48,6 +49,56 @@ def _folding_table() -> tuple[str, str]:
 FOLD_FROM, FOLD_TO = _folding_table()
 
 
+def _escaped(char: str) -> str:
+    return char if char.isalnum() or char == " " else "\\" + char
+
+
+def _branches(node: dict, inner: bool) -> str:
+    """A trie node as pattern: its branches, by ranges of their first characters where there are many."""
+    heads = sorted(c for c in node if c)
+    parts = [_escaped(c) + _branches(node[c], True) for c in heads]
+    if len(parts) > 6:
+        step = -(-len(parts) // -(-len(parts) // 5))
+        runs = [(heads[i : i + step], parts[i : i + step]) for i in range(0, len(parts), step)]
+        parts = [f"(?=[{''.join(map(_escaped, h))}])(?:{'|'.join(p)})" for h, p in runs]
+    if not parts:
+        return ""
+    joined = "|".join(parts)
+    if "" in node:  # a keyword ends here, a longer one may go on
+        return f"(?:{joined})?"
+    return f"(?:{joined})" if inner and len(parts) > 1 else joined
+
+
+def longest_at_each_place(keywords: Iterable[str]) -> str:
+    """A pattern whose first group is, wherever a keyword begins, the longest one that does.
+
+    The keywords become a trie, so a place costs a few comparisons however many keywords
+    there are. The match itself is empty: the search goes on at the next character, and
+    keywords that overlap are all seen. Shorter keywords at the same place are prefixes of the longest.
+    """
+    trie: dict = {}
+    for word in keywords:
+        node = trie
+        for char in word:
+            node = node.setdefault(char, {})
+        node[""] = {}
+    return f"(?=({_branches(trie, False)}))"
+
+
+def keywords_in(text: Column, keywords: Iterable[str]) -> Column:
+    """The distinct keywords that occur anywhere in a text, from one pass over it."""
+    words = sorted(set(keywords))
+    prefixes = {w: [k for k in words if w.startswith(k)] for w in words}
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(longest_at_each_place(words)), F.lit(1)))
+    longer = {w: p for w, p in prefixes.items() if len(p) > 1}
+    if not longer:
+        return found
+    entries = ", ".join(f"{quoted(w)}, array({', '.join(map(quoted, p))})" for w, p in longer.items())
+    held = F.expr(f"map({entries})")
+    each = F.transform(found, lambda w: F.coalesce(F.try_element_at(held, w), F.array(w)))
+    return F.array_distinct(F.flatten(each))
+
+
 def quoted(value: str | None) -> str:
     """A text as SQL literal."""
     if value is None:

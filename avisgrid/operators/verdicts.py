@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import threading
+import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,6 +20,17 @@ KEY = ["source_code", "source_review_id"]
 # A scorer takes a batch of prompts and returns one reply (or None) per prompt.
 Scorer = Callable[[pd.Series], pd.Series]
 
+@dataclass(frozen=True)
+class Limits:
+    """How a worker asks: the time of one call, prompts in a call, and calls at once when prompts go one by one."""
+
+    seconds: float = 60.0
+    batch: int = 64
+    at_once: int = 8
+
+
+LIMITS = Limits()
+
 REPLY_SCHEMA = "source_review_id string, source_code string, reply string"
 
 
@@ -43,35 +57,66 @@ def prompts(chosen: DataFrame) -> DataFrame:
     return chosen.select("source_review_id", "source_code", prompt(F.col("text")).alias("prompt"))
 
 
-def replies(prompted: DataFrame, scorer: Scorer) -> DataFrame:
-    """Ask the scorer, one Arrow batch at a time.
+def replies(prompted: DataFrame, scorer: Scorer, limits: Limits = LIMITS) -> DataFrame:
+    """Ask the scorer, some prompts at a time.
 
-    A batch the scorer fails on is retried row by row, so an error costs one verdict
-    only.  Rows without a prompt are not sent.
+    A call that fails or does not end in time is repeated prompt by prompt, so an error or a
+    prompt that hangs costs one verdict only.  Rows without a prompt are not sent.
     """
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sent = batch["prompt"].notna()
-            answer = pd.Series([None] * len(batch), index=batch.index, dtype=object)
-            if sent.any():
-                answer[sent] = _ask(batch.loc[sent, "prompt"], scorer)
-            yield batch[["source_review_id", "source_code"]].assign(reply=answer)
+            yield batch[["source_review_id", "source_code"]].assign(reply=_answers(batch["prompt"], scorer, limits))
 
     return prompted.mapInPandas(ask, REPLY_SCHEMA)
 
 
-def _ask(batch: pd.Series, scorer: Scorer) -> list:
-    """One reply for each prompt; a batch that fails or has another count goes row by row."""
-    try:
-        answers = list(scorer(batch))
-        if len(answers) == len(batch):
-            return answers
-    except Exception:  # noqa: BLE001, S110 - a scorer may raise anything, e.g. on a timeout
-        pass
+def _answers(prompts: pd.Series, scorer: Scorer, limits: Limits) -> pd.Series:
+    """One reply for each row, None where there is no prompt or no answer."""
+    answer = pd.Series([None] * len(prompts), index=prompts.index, dtype=object)
+    sent = prompts[prompts.notna()]
+    found = []
+    for at in range(0, len(sent), limits.batch):
+        found += _ask(sent.iloc[at : at + limits.batch], scorer, limits)
+    answer[sent.index] = pd.Series(found, index=sent.index, dtype=object)
+    return answer
+
+
+class _Call(threading.Thread):
+    """A call that nobody has to wait for: one that hangs is left behind and dies with its worker."""
+
+    def __init__(self, scorer: Scorer, batch: pd.Series, seconds: float) -> None:
+        super().__init__(daemon=True)
+        self.scorer, self.batch, self.answers = scorer, batch, None
+        self.ends = time.monotonic() + seconds
+        self.start()
+
+    def run(self) -> None:
+        try:
+            answers = list(self.scorer(self.batch))
+            if len(answers) == len(self.batch):
+                self.answers = answers
+        except Exception:  # noqa: BLE001, S110 - a scorer may raise anything
+            pass
+
+    def result(self) -> list | None:
+        """The answers, if they come in time and are as many as the prompts."""
+        self.join(max(0.0, self.ends - time.monotonic()))
+        return None if self.is_alive() else self.answers
+
+
+def _ask(batch: pd.Series, scorer: Scorer, limits: Limits) -> list:
+    """One reply for each prompt of a call; after a failure each prompt has a call of its own."""
+    answers = _Call(scorer, batch, limits.seconds).result()
+    if answers is not None:
+        return answers
     if len(batch) == 1:
         return [None]
-    return [_ask(batch.iloc[[i]], scorer)[0] for i in range(len(batch))]
+    found: list = []
+    for at in range(0, len(batch), limits.at_once):
+        calls = [_Call(scorer, batch.iloc[[i]], limits.seconds) for i in range(at, min(at + limits.at_once, len(batch)))]
+        found += [(c.result() or [None])[0] for c in calls]
+    return found
 
 
 def _confidence(reply: Column) -> Column:
@@ -164,15 +209,15 @@ def verdict_stats(raw: DataFrame, verdicts: DataFrame | None) -> DataFrame:
     )
 
 
-def classify_candidates(raw: DataFrame, scorer: Scorer) -> DataFrame:
+def classify_candidates(raw: DataFrame, scorer: Scorer, limits: Limits = LIMITS) -> DataFrame:
     """Candidates to verdicts: key, category and confidence."""
-    answered = parse_replies(replies(prompts(candidates(raw)), scorer))
+    answered = parse_replies(replies(prompts(candidates(raw)), scorer, limits))
     return answered.where(F.col("verdict_category").isNotNull()).select(
         *KEY, "verdict_category", "verdict_confidence"
     )
 
 
-def reclassify(raw: DataFrame, scorer: Scorer) -> DataFrame:
+def reclassify(raw: DataFrame, scorer: Scorer, limits: Limits = LIMITS) -> DataFrame:
     """Second pass in place: score the candidates of a run and replace their category.
 
     Only the prompts travel to Python, the other columns and rows stay in the JVM, and no
@@ -181,11 +226,7 @@ def reclassify(raw: DataFrame, scorer: Scorer) -> DataFrame:
     """
 
     def ask(batch: pd.Series) -> pd.Series:
-        answer = pd.Series([None] * len(batch), index=batch.index, dtype=object)
-        sent = batch.notna()
-        if sent.any():
-            answer[sent] = _ask(batch[sent], scorer)
-        return answer
+        return _answers(batch, scorer, limits)
 
     asked = F.pandas_udf(ask, "string")(F.when(is_candidate(), prompt(F.col("text"))))
     scored = parse_replies(raw.withColumn("_reply", asked), "_reply")

@@ -2,6 +2,7 @@
 
 import json
 import math
+import time
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -144,3 +145,25 @@ def test_prompt(spark):
     assert got[0].endswith('Avis à classer :\n"""dit "ceci\""""\n\nJSON :')
     assert all(f"- {code}: " in got[0] for code in tx.MODEL_CATEGORIES)
     assert got[1:] == [None, None]
+
+
+def hanging_scorer():
+    def score(prompts: pd.Series) -> pd.Series:
+        if any("ambigu" in p for p in prompts):
+            time.sleep(3600)
+        return pd.Series(['{"category": "communication_hote", "confidence": 0.9}'] * len(prompts))
+
+    return score
+
+
+def test_a_prompt_that_hangs_costs_its_own_verdict_only(spark):
+    rows = [("trustpilot", f"r{i}", f"Texte numéro {i}", True, "non_classe", "heuristic") for i in range(40)]
+    rows[7] = ("trustpilot", "r7", "Texte ambigu", True, "non_classe", "heuristic")
+    table = raw(spark, rows).coalesce(1)
+    limits = verdicts.Limits(seconds=1.0, batch=16, at_once=4)
+    began = time.monotonic()
+    found = verdicts.classify_candidates(table, hanging_scorer(), limits).collect()
+    assert {r.source_review_id for r in found} == {f"r{i}" for i in range(40)} - {"r7"}
+    inline = verdicts.reclassify(table, hanging_scorer(), limits).where("category_source = 'heuristic'")
+    assert [r.source_review_id for r in inline.collect()] == ["r7"]
+    assert time.monotonic() - began < 60
