@@ -16,7 +16,7 @@ from avisgrid.functions import taxonomy as tx
 from avisgrid.functions import text as tt
 from avisgrid.functions import times
 from avisgrid.operators import landing, verdicts
-from avisgrid.plans import activation, daily, incremental, marts, quality, star
+from avisgrid.plans import activation, daily, incremental, ledger, marts, quality, star
 from avisgrid.session import prepare, scratch_path, written
 from avisgrid.sources import fixture as fx
 from avisgrid.sources import payloads as pl
@@ -750,6 +750,17 @@ def new_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fresh.select("ticket_id", "review_key", "owner_team")
 
 
+@query
+def ledger_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger after three days: part of the tickets, all of them, and the second day again."""
+    path = scratch_path(spark, "ledger")
+    rows = written(_tickets(spark, sf_dir).select("review_key", "review_id"), "tickets")
+    for run, chosen in (("d1", F.col("review_id") % 3 == 0), ("d2", F.lit(True)), ("d2", F.col("review_id") % 2 == 0)):
+        known = ledger.pushed_by_others(spark, path, run)
+        ledger.record(spark, path, activation.new_tickets(rows.where(chosen), known), run)
+    return ledger.read(spark, path)
+
+
 @query
 def ticket_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return activation.ticket_payloads(_tickets(spark, sf_dir))

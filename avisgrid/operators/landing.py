@@ -28,7 +28,7 @@ def arrival_order() -> list[Column]:
 def capped(df: DataFrame, n: int) -> DataFrame:
     """First ``n`` reviews per source and brand in order of arrival; 0 keeps all."""
     order = [*arrival_order(), F.col("source_review_id").asc_nulls_last()]
-    return cap_groups(df, ["source_code", "brand_code"], order, n, list(ARRIVAL_COLUMNS))
+    return cap_groups(df, ["source_code", "brand_code"], order, n, F.col(ARRIVAL_COLUMNS[0]))
 
 
 def union_sources(frames: list[DataFrame]) -> DataFrame:

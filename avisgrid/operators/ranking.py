@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from avisgrid.session import written
 
 
 SLOT = "_slot"
+BINS = 1024  # of a group's stretch of places in one round
+STRETCH_ROWS = 100_000  # rows of a group that are ranked in one task
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -21,30 +25,64 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFr
     return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
 
 
+def _same_group(keys: list[str], side: str) -> Column:
+    """Keys of the rows and of the cuts (prefix ``side``); NULL is a group too."""
+    return reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"{side}{k}")) for k in keys])
+
+
+def _cuts(places: DataFrame, keys: list[str], n: int, rows: int) -> DataFrame:
+    """For each group the stretch of places that holds its n-th row, and the rows before that stretch.
+
+    Each round counts the rows of ``BINS`` even bins of the stretch and keeps the bin with the n-th row,
+    until every stretch has at most ``rows`` rows or one place. A round shuffles counts only.
+    """
+    named = [F.col(k).alias(f"_{k}") for k in keys]
+    cuts = written(
+        places.groupBy(*keys).agg(F.min("_at").alias("lo"), F.max("_at").alias("hi"), F.count("*").alias("inside"))
+        .select(*named, "lo", "hi", F.lit(0).cast("bigint").alias("before"), "inside"),
+        "cuts",
+    )
+    group = [f"_{k}" for k in keys]
+    open_ = (F.col("inside") > rows) & (F.col("hi") > F.col("lo")) & (F.col("before") + F.col("inside") > n)
+    while not cuts.where(open_).isEmpty():
+        # Even bins; the difference of two longs may not fit one.
+        width = F.ceil((F.col("hi").cast("decimal(20,0)") - F.col("lo") + 1) / BINS)
+        met = places.join(cuts.where(open_), _same_group(keys, "_")).where("_at BETWEEN lo AND hi")
+        bin_ = F.floor((F.col("_at").cast("decimal(20,0)") - F.col("lo")) / width).cast("bigint")
+        counts = met.groupBy(*group, "lo", "hi", "before", bin_.alias("bin")).agg(
+            F.count("*").alias("held"), F.min("_at").alias("first"), F.max("_at").alias("last")
+        )
+        up_to = F.sum("held").over(Window.partitionBy(*group).orderBy("bin"))
+        counts = counts.withColumn("earlier", F.col("before") + up_to - F.col("held"))
+        found = counts.where((F.col("earlier") < n) & (F.col("earlier") + F.col("held") >= n))
+        found = found.select(
+            *group, F.col("first").alias("lo"), F.col("last").alias("hi"), F.col("earlier").alias("before"),
+            F.col("held").alias("inside"),
+        )
+        cuts = written(cuts.where(~open_).unionByName(found), "cuts")
+    return cuts
+
+
 def cap_groups(
-    df: DataFrame, keys: list[str], order: list[Column], n: int, slice_by: list[str]
+    df: DataFrame, keys: list[str], order: list[Column], n: int, place: Column, rows: int = STRETCH_ROWS
 ) -> DataFrame:
     """First ``n`` rows of every group; 0 switches the cap off.
 
-    Groups are few and large, so they are split by hash of ``slice_by`` first: each slice
-    keeps its own first ``n`` rows, and only these candidates meet in the group.  The
-    result is exact, and a retried task slices the same way.
+    ``place`` is a whole number that never falls along ``order``. Groups are few and large, so their n-th
+    row is found by histograms of places first: rows before its stretch stay, rows behind go, and only the
+    stretch itself is ranked, ``rows`` rows of a group (or those of one place) whatever ``n`` and the group's size. Exact.
     """
     if n == 0:
         return df
-    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slice_of = F.pmod(F.xxhash64(*slice_by), F.lit(slices))
-    sliced = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    group = Window.partitionBy(*keys).orderBy(*order)
-    return (
-        df.withColumn("_slice", slice_of)
-        .withColumn("_rank", F.row_number().over(sliced))
-        .where(F.col("_rank") <= n)
-        .drop("_slice", "_rank")
-        .withColumn("_rank", F.row_number().over(group))
-        .where(F.col("_rank") <= n)
-        .drop("_rank")
-    )
+    placed = written(df.withColumn("_at", place.cast("bigint")), "uncut")
+    cuts = _cuts(placed.select(*keys, "_at"), keys, n, rows)
+    met = placed.join(cuts, _same_group(keys, "_"))
+    columns = [F.col(c) for c in df.columns]
+    whole = (F.col("_at") < F.col("lo")) | (F.col("before") + F.col("inside") <= n)
+    inside = met.where(~whole & (F.col("_at") <= F.col("hi")))
+    ranked = inside.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    kept = ranked.where(F.col("before") + F.col("_rank") <= n)
+    return met.where(whole & (F.col("_at") <= F.col("hi"))).select(*columns).unionByName(kept.select(*columns))
 
 
 def slotted(df: DataFrame, order: list[Column]) -> DataFrame:
@@ -93,19 +131,24 @@ def dense_id(df: DataFrame, order: list[Column], name: str = "id") -> DataFrame:
 def renumber(df: DataFrame, dense: str, name: str, block: int = 1 << 20) -> DataFrame:
     """Number a subset of densely numbered rows 1..n, keeping their order.
 
-    Blocks of consecutive numbers hold at most ``block`` rows each, so the windows are
-    even by construction and need neither sampling nor a written copy.
+    Blocks of ``block`` consecutive numbers. In a block without gaps a row's number is the block's
+    offset plus its distance from the first one, so its rows stay where they are; only blocks with gaps
+    are shuffled and ranked, at most ``block`` rows each.
     """
     blocks = df.withColumn("_block", F.floor(F.col(dense) / block))
     before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        blocks.groupBy("_block")
-        .agg(F.count("*").alias("_n"))
-        .select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    counts = blocks.groupBy("_block").agg(
+        F.count("*").alias("_n"), F.min(dense).alias("_first"), F.max(dense).alias("_last")
     )
-    inside = Window.partitionBy("_block").orderBy(dense)
-    return (
-        blocks.withColumn("_row", F.row_number().over(inside))
-        .join(offsets, "_block")
-        .select((F.col("_offset") + F.col("_row")).alias(name), *df.columns)
+    offsets = counts.select(
+        "_block",
+        (F.coalesce(F.sum("_n").over(before), F.lit(0)) + 1).alias("_offset"),
+        "_first",
+        (F.col("_last") - F.col("_first") + 1 == F.col("_n")).alias("_whole"),
     )
+    met = blocks.join(offsets, "_block")
+    inside = Window.partitionBy("_block").orderBy(dense)
+    gaps = met.where(~F.col("_whole")).withColumn("_place", F.row_number().over(inside) - 1)
+    whole = met.where("_whole").withColumn("_place", F.col(dense) - F.col("_first"))
+    both = whole.unionByName(gaps)
+    return both.select((F.col("_offset") + F.col("_place")).cast("bigint").alias(name), *df.columns)

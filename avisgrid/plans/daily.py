@@ -16,7 +16,7 @@ from avisgrid.functions import classify as cl
 from avisgrid.functions import taxonomy as tx
 from avisgrid.operators import landing, verdicts
 from avisgrid.operators.ranking import numbered
-from avisgrid.plans import activation, incremental, marts, quality, star
+from avisgrid.plans import activation, incremental, ledger, marts, quality, star
 from avisgrid.session import prepare, written
 from avisgrid.sources import reference_data, tables
 from avisgrid.sources.payloads import reading_counts
@@ -173,9 +173,8 @@ def find_alerts(house: Warehouse, seeds: dict[str, DataFrame], as_of: Column) ->
 
 
 def read_ledger(house: Warehouse, before_run: str) -> DataFrame:
-    """Keys pushed by other runs; a repeated run must not meet its own entries."""
-    others = [f"run_id={run}" for run in tables.runs(house.spark, house.path("ledger")) if run != before_run]
-    return tables.read(house.spark, house.path("ledger"), "review_key string", others)
+    """Keys pushed by other runs."""
+    return ledger.pushed_by_others(house.spark, house.path("ledger"), before_run)
 
 
 def route_tickets(house: Warehouse, seeds: dict[str, DataFrame], run_id: str) -> DataFrame:
@@ -185,7 +184,7 @@ def route_tickets(house: Warehouse, seeds: dict[str, DataFrame], run_id: str) ->
     tables.write_csv(tickets.select(*schemas.TICKETS), house.path("tickets.csv"))
     fresh = activation.new_tickets(tickets, read_ledger(house, run_id))
     payloads = house.write(f"ticket_payloads/run_id={run_id}", activation.ticket_payloads(fresh))
-    tables.put(payloads.select("review_key"), house.path("ledger"), f"run_id={run_id}")
+    ledger.record(house.spark, house.path("ledger"), payloads, run_id)
     return tickets
 
 

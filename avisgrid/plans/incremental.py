@@ -79,13 +79,7 @@ def precedes(new: str, old: str) -> Column:
 
 
 def _bucketed(spark: SparkSession, folder: str, buckets: int) -> str:
-    """A name under which a folder of versions is known with its buckets."""
-    name = "versions_" + folder.rsplit("/", 1)[1]
-    spark.sql(
-        f"CREATE TABLE IF NOT EXISTS {name} (review_key string, {VERSION}) USING parquet "
-        f"CLUSTERED BY (review_key) SORTED BY (review_key) INTO {buckets} BUCKETS LOCATION '{folder}'"
-    )
-    return name
+    return tables.bucketed(spark, folder, f"review_key string, {VERSION}", "review_key", buckets)
 
 
 def newest(spark: SparkSession, store: str, known: dict[str, Row] | None = None) -> DataFrame | None:

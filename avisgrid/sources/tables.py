@@ -97,6 +97,19 @@ def read(
     return reader.parquet(*folders)
 
 
+def bucketed(spark: SparkSession, folder: str, columns: str, key: str, buckets: int) -> str:
+    """A name under which a folder is known with its buckets, for reading and for ``insertInto``.
+
+    Joins and aggregates on the key need no exchange of such a table.
+    """
+    name = "bucketed_" + folder.rsplit("/", 1)[1]
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet "
+        f"CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{folder}'"
+    )
+    return name
+
+
 def vacuum(spark: SparkSession, path: str) -> int:
     """Delete folders that no part needs any more; returns how many. Readers of old parts must be done."""
     kept = {e.folder for e in entries(spark, path).values()}

@@ -1027,6 +1027,11 @@ ORACLES: dict[str, str] = {
         """SELECT ticket_id, review_key, owner_team FROM tickets
            WHERE review_key NOT IN (SELECT review_key FROM known)""",
     ),
+    "ledger_days": sql(
+        STAR + TICKETS,
+        """SELECT review_key, CASE WHEN review_id % 3 = 0 THEN 'd1' ELSE 'd2' END AS run_id
+           FROM tickets WHERE review_id % 3 = 0 OR review_id % 2 = 0""",
+    ),
     "ticket_payloads": sql(
         STAR + TICKETS,
         f"""SELECT ticket_id, review_key, CAST({PROPERTIES} AS VARCHAR) AS properties

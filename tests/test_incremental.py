@@ -127,7 +127,7 @@ def test_the_history_is_not_shuffled(spark, tmp_path, seeds):
                 for line in text.splitlines():
                     at = len(line) - len(line.lstrip(" :+-"))
                     depth = [(d, n) for d, n in depth if d < at] + [(at, line.strip(" :+-"))]
-                    if re.search(r"FileScan .*versions_", line):
+                    if re.search(r"FileScan .*bucketed_", line):
                         scans += 1
                         moved += any(n.startswith("Exchange") for _, n in depth)
                 assert (scans, moved) == (states, 0)

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from avisgrid.operators import ranking
 from avisgrid.operators.ranking import cap_groups, dense_id, first_per_key, renumber
 
 
@@ -45,9 +46,10 @@ def test_first_per_key(table, rows):
     assert limits.index("Final") < limits.index("Exchange") < limits.index("Partial")
 
 
-@pytest.mark.parametrize("n", [1, 7, 100, 5000])
-def test_cap_groups(table, rows, n):
-    got = cap_groups(table, ["k"], [F.col("v").asc(), F.col("i").asc()], n, ["i"])
+@pytest.mark.parametrize("n,stretch,bins", [(1, 5, 3), (7, 1, 2), (100, 50, 1024), (1999, 10, 16), (5000, 9, 4)])
+def test_cap_groups(table, rows, monkeypatch, n, stretch, bins):
+    monkeypatch.setattr(ranking, "BINS", bins)
+    got = cap_groups(table, ["k"], [F.col("v").asc(), F.col("i").asc()], n, F.col("v"), stretch)
     expected = []
     for key in {k for _, k, _ in rows}:
         group = sorted((r for r in rows if r[1] == key), key=lambda r: (r[2], r[0]))
@@ -56,7 +58,17 @@ def test_cap_groups(table, rows, n):
 
 
 def test_cap_off(table):
-    assert cap_groups(table, ["k"], [F.col("i").asc()], 0, ["i"]) is table
+    assert cap_groups(table, ["k"], [F.col("i").asc()], 0, F.col("i")) is table
+
+
+def test_only_the_stretch_of_the_nth_row_is_ranked(table, rows):
+    places = table.withColumn("_at", F.col("v").cast("bigint")).select("k", "_at")
+    cuts = {r["_k"]: r for r in ranking._cuts(places, ["k"], 1000, 20).collect()}
+    hot = cuts["hot"]
+    assert hot.inside <= 20 and hot.before < 1000 <= hot.before + hot.inside
+    assert hot.before == sum(k == "hot" and v < hot.lo for _, k, v in rows)
+    extremes = places.sparkSession.createDataFrame([("a", -(1 << 63)), ("a", (1 << 63) - 1), ("a", 0)] * 9, "k string, _at bigint")
+    assert ranking._cuts(extremes, ["k"], 10, 4).first().before == 9
 
 
 @pytest.mark.parametrize("parts", [1, 5, 40])
@@ -85,7 +97,7 @@ def test_dense_id_of_nothing(table):
     assert dense_id(table.where("i < 0"), [F.col("i").asc()]).count() == 0
 
 
-@pytest.mark.parametrize("block", [10, 64, 1 << 20])
+@pytest.mark.parametrize("block", [10, 64, 100, 1 << 20])
 def test_renumber(spark, block):
     kept = [i for i in range(1, 3000) if i % 7 in (0, 3) or 500 < i < 700]
     df = spark.createDataFrame([(i, f"x{i}") for i in kept], "id long, x string").repartition(9)
