@@ -37,7 +37,7 @@ def _run_id(run: DataFrame, bronze: str, batch_id: int, checkpoint: str) -> str:
     feed = f"{plain}-{hashlib.sha256(checkpoint.encode()).hexdigest()[:12]}"
     there = tables.runs(spark, bronze)
     content = [c for c in run.columns if c != "collected_at"]
-    for name in (plain, feed, *(f"{feed}-{n}" for n in itertools.count(2))):
+    for name in itertools.chain((plain, feed), (f"{feed}-{n}" for n in itertools.count(2))):
         if name not in there:
             return name
         stored = tables.read_run(spark, bronze, name).select(*content)
