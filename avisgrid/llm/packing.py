@@ -1,14 +1,13 @@
 """Best-fit packing by exact complements.
 
 Token counts of all documents become a histogram of at most ``SEQUENCE`` lengths. From
-the longest length down, the gap beside it is filled exactly by a single length, a pair or
-a triple whose sum is the gap, each combination as often as its lengths are available; what
-finds no exact filling goes by best fit, longest first, into the fullest sequence that
-still holds it. The plan (which lengths share a sequence, how many times) is a few thousand
-rows at any input size. Every piece then finds its place from its rank among the pieces of
-its length. Filling gaps by pairs and triples early can use up the short lengths that
-later gaps need, so the plan is made with combinations of up to one, two and three lengths
-(and none), and the one with the fewest sequences is taken.
+the longest length down, the gap beside it is filled exactly: by single lengths, then by pairs and by
+triples whose sum is the gap, each combination as often as its lengths are available. Combinations can use
+up the short lengths that later gaps need, so each is consumed only as often as best fit of all
+that remains needs no more sequences for it: the plan is never worse than best fit alone. What finds no exact filling goes by best
+fit, longest first, into the fullest sequence that still holds it. The plan (which lengths share a sequence,
+how many times) is a few thousand rows at any input size, and so is the work to make it. Every piece then finds
+its place from its rank among the pieces of its length.
 
 Null text counts as empty: one piece, the end id. Longer documents are cut into pieces of
 ``SEQUENCE``, a shorter one first. Repeated rows are packed each. An empty table gives no
@@ -17,6 +16,7 @@ rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import zlib
 from collections.abc import Iterator
 
@@ -75,18 +75,16 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, end_id: int =
 class Plan:
     """Which lengths share a sequence: ``patterns`` holds (lengths, sequences)."""
 
-    def __init__(self, counts: dict[int, int], size: int = SEQUENCE, most: int = 3) -> None:
-        """``most``: lengths in a combination that fills a gap."""
-        self.size, self.most = size, most
+    def __init__(self, counts: dict[int, int], size: int = SEQUENCE) -> None:
+        self.size = size
         self.left = np.zeros(size + 1, np.int64)
         for length, n in counts.items():
             self.left[length] = n
         self.patterns: list[tuple[tuple[int, ...], int]] = []
         self._use((size,), int(self.left[size]))
-        for length in range(size - 1, 0, -1):
-            while most and self.left[length] and (lengths := self._exact(length)):
-                self._use(lengths, self._times(lengths))
-        self._best_fit()
+        self._fill_exactly()
+        self.patterns += self._best_fit(self.left)
+        self.left[:] = 0
 
     def _times(self, lengths: tuple[int, ...]) -> int:
         return min(int(self.left[x]) // lengths.count(x) for x in set(lengths))
@@ -97,69 +95,94 @@ class Plan:
                 self.left[x] -= n
             self.patterns.append((lengths, n))
 
-    def _exact(self, length: int) -> tuple[int, ...] | None:
-        """A single, pair or triple beside ``length`` that fills the sequence."""
+    def _fill_exactly(self) -> None:
+        """Singles, then pairs for the gaps that no single length fills, then triples."""
+        needed = self._n_best_fit(self.left)
+        for find in (self._single_beside, self._pair_beside, self._triple_beside):
+            for length in range(self.size - 1, 0, -1):
+                while self.left[length] and (lengths := find(length)):
+                    n = self._times(lengths)
+                    while n:
+                        rest = self.left.copy()
+                        for x in lengths:
+                            rest[x] -= n
+                        without = self._n_best_fit(rest)
+                        if without + n <= needed:
+                            break
+                        n //= 8
+                    if not n:
+                        break
+                    self._use(lengths, n)
+                    needed = without
+
+    def _single_beside(self, length: int) -> tuple[int, ...] | None:
+        both = (length, self.size - length)
+        return both if self._times(both) else None
+
+    def _pair_beside(self, length: int) -> tuple[int, ...] | None:
+        """The length and a pair that fills its sequence; the larger part as large as possible."""
         gap = self.size - length
-        if self._times((length, gap)) if gap else False:
-            return (length, gap)
-        have = self.left > 0
-        if self.most < 2:
-            return None
-        for a in self._pairs(have, gap):
+        for a in self._pairs(gap):
             if self._times((length, a, gap - a)):
                 return (length, a, gap - a)
-        if self.most < 3:
-            return None
-        here = have.astype(np.float32)
+        return None
+
+    def _triple_beside(self, length: int) -> tuple[int, ...] | None:
+        """The length and a triple that fills its sequence, from the sums of two available lengths."""
+        gap = self.size - length
+        here = (self.left > 0).astype(np.float32)
         sums = np.convolve(here[: gap + 1], here[: gap + 1])[: gap + 1] > 0.5
-        firsts = np.flatnonzero(have[1:gap] & sums[gap - 1 : 0 : -1]) + 1
+        firsts = np.flatnonzero((self.left[1:gap] > 0) & sums[gap - 1 : 0 : -1]) + 1
         for a in firsts[::-1].tolist():
-            for b in self._pairs(have, gap - a):
+            for b in self._pairs(gap - a):
                 if b <= a and self._times((length, a, b, gap - a - b)):
                     return (length, a, b, gap - a - b)
         return None
 
-    @staticmethod
-    def _pairs(have: np.ndarray, total: int) -> list[int]:
+    def _pairs(self, total: int) -> list[int]:
         """Larger parts of the available pairs with this sum, largest first."""
         if total < 2:
             return []
+        have = self.left > 0
         larger = np.arange(total - 1, (total + 1) // 2 - 1, -1)
         return larger[have[larger] & have[total - larger]].tolist()
 
-    def _best_fit(self) -> None:
+    def _n_best_fit(self, left: np.ndarray) -> int:
+        return sum(n for _, n in self._best_fit(left))
+
+    def _best_fit(self, left: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+        """Sequences for these counts, longest first, into the fullest sequence that still holds a length."""
         open_: dict[int, list[tuple[tuple[int, ...], int]]] = {}  # by gap
+        gaps: list[int] = []  # of ``open_``, sorted
 
         def add(lengths: tuple[int, ...], n: int) -> None:
-            open_.setdefault(self.size - sum(lengths), []).append((lengths, n))
-
-        for length in range(self.size, 0, -1):
-            n = int(self.left[length])
+            gap = self.size - sum(lengths)
+            if gap not in open_:
+                open_[gap] = []
+                bisect.insort(gaps, gap)
+            open_[gap].append((lengths, n))
+
+        for length in np.flatnonzero(left)[::-1].tolist():
+            n = int(left[length])
             while n:
-                gap = min((g for g in open_ if g >= length), default=None)
-                if gap is None:
+                at = bisect.bisect_left(gaps, length)
+                if at == len(gaps):
                     each = self.size // length
                     if n >= each:
                         add((length,) * each, n // each)
                     if n % each:
                         add((length,) * (n % each), 1)
                     break
+                gap = gaps[at]
                 lengths, there = open_[gap].pop()
                 if not open_[gap]:
-                    del open_[gap]
+                    del open_[gap], gaps[at]
                 m = min(n, there)
                 if there > m:
                     add(lengths, there - m)
                 add((*lengths, length), m)
                 n -= m
-            self.left[length] = 0
-        for found in open_.values():
-            self.patterns += found
-
-    @classmethod
-    def fewest(cls, counts: dict[int, int], size: int = SEQUENCE) -> Plan:
-        plans = [cls(counts, size, most) for most in (3, 2, 1, 0)]
-        return min(plans, key=lambda p: sum(n for _, n in p.patterns))
+        return [pattern for found in open_.values() for pattern in found]
 
     def places(self) -> dict[str, np.ndarray]:
         """Runs of places by length: ranks from ``low`` on go to sequences from ``first`` on."""
@@ -186,7 +209,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None, size: int = SEQUENCE)
     earlier = W.partitionBy("length").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     starts = by_part.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
     counts = cut.groupBy("length").count().collect()  # at most ``size`` rows
-    places = Plan.fewest({r["length"]: r["count"] for r in counts}, size).places()
+    places = Plan({r["length"]: r["count"] for r in counts}, size).places()
     own = W.partitionBy("_part", "length").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = (
         cut.withColumn("_rank", F.row_number().over(own) - 1)

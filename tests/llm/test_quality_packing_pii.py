@@ -77,7 +77,7 @@ def test_plan_is_no_worse_than_best_fit(seed):
     size = rng.choice((10, 64, 100))
     lengths = [min(size, 1 + int(rng.expovariate(3 / size))) for _ in range(rng.randint(0, 300))]
     counts = Counter(lengths)
-    plan = packing.Plan.fewest(counts, size)
+    plan = packing.Plan(counts, size)
     used = Counter()
     for pattern, n in plan.patterns:
         assert n > 0 and sum(pattern) <= size
@@ -88,7 +88,22 @@ def test_plan_is_no_worse_than_best_fit(seed):
 
 
 def test_exact_complements_are_found():
-    assert packing.Plan({6: 1, 2: 1, 1: 2, 5: 2, 10: 3, 7: 1, 3: 1}, 10).patterns[:3] == [((10,), 3), ((7, 3), 1), ((6, 2, 1, 1), 1)]
+    plan = packing.Plan({6: 1, 2: 1, 1: 2, 5: 2, 10: 3, 7: 1, 3: 1}, 10)
+    assert plan.patterns == [((10,), 3), ((7, 3), 1), ((5, 5), 1), ((6, 2, 1, 1), 1)]
+    assert packing.Plan({6: 2, 3: 2, 1: 2}, 10).patterns == [((6, 3, 1), 2)]
+
+
+@pytest.mark.parametrize("seed", [2, 3, 6])
+def test_combinations_occur_and_never_lose(seed):
+    rng = random.Random(seed)
+    kinds = [rng.randint(20, 700) for _ in range(50)]
+    lengths = [rng.choice(kinds) for _ in range(3000)]
+    plan = packing.Plan(Counter(lengths), 1024)
+    exact = Counter()
+    for pattern, n in plan.patterns:
+        exact[len(pattern)] += n * (sum(pattern) == 1024)
+    assert exact[2] > 50 and exact[3] > 300 and exact[4] > 50  # singles, pairs, triples beside a length
+    assert sum(n for _, n in plan.patterns) <= best_fit(lengths, 1024)
 
 
 def packed_well(found, texts, size=1024):
