@@ -30,6 +30,8 @@ TRAIN_PER_LANG = 2000
 HELD_OUT = 0
 UNKNOWN = "und"
 ROWS = 512  # documents bundled at once
+DISTINCT = 8192  # trigrams of a block that are counted in a table
+AT_ONCE = 1 << 14  # trigrams bound at once otherwise
 SCALE = 1 << 24  # unit vectors are summed as whole numbers, in any order
 _SHARES = 1 << 20
 
@@ -64,26 +66,34 @@ class Encoder:
         used, letters = np.unique(letters[keep], return_inverse=True)
         same = doc[:-2] == doc[1:-1]
         side = len(used)
+        letters = letters.astype(np.int64)
         gram = ((letters[:-2] * side + letters[1:-1]) * side + letters[2:])[same]
         doc = doc[:-2][same]
         lettered = np.zeros(n, bool)
         lettered[row[self.folder.fold(points) > 0]] = True
+        vectors = np.stack([self._letter(p) for p in used.tolist()])
+        turned = np.roll(vectors, 2, 1), np.roll(vectors, 1, 1), vectors
+
+        def bound(grams: np.ndarray) -> np.ndarray:
+            return turned[0][grams // side**2] * turned[1][grams // side % side] * turned[2][grams % side]
+
+        distinct = np.zeros(0, np.int64)
         if side**3 <= 1 << 24:
             seen = np.zeros(side**3, bool)
             seen[gram] = True
             distinct = np.flatnonzero(seen)
+        if 0 < len(distinct) <= DISTINCT:
             place = np.zeros(side**3, np.int32)
             place[distinct] = np.arange(len(distinct))
-            gram = place[gram]
+            counts = np.bincount(doc * len(distinct) + place[gram], minlength=n * len(distinct))
+            out = counts.reshape(n, len(distinct)).astype(np.float32) @ bound(distinct).astype(np.float32)
         else:
-            distinct, gram = np.unique(gram, return_inverse=True)
-        vectors = np.stack([self._letter(p) for p in used.tolist()])
-        first, second = np.roll(vectors, 2, 1), np.roll(vectors, 1, 1)
-        bound = (
-            first[distinct // side**2] * second[distinct // side % side] * vectors[distinct % side]
-        ).astype(np.float32)
-        counts = np.bincount(doc * len(distinct) + gram, minlength=n * len(distinct))
-        out = counts.reshape(n, len(distinct)).astype(np.float32) @ bound
+            # Many letters: bound vectors are added in text order, some at a time, whatever their variety.
+            out = np.zeros((n, self.dimensions), np.float32)
+            for lo in range(0, len(gram), AT_ONCE):
+                part = doc[lo : lo + AT_ONCE]
+                starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+                out[part[starts]] += np.add.reduceat(bound(gram[lo : lo + AT_ONCE]), starts, 0, np.int32)
         out[~lettered] = 0
         return out
 
