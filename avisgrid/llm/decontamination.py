@@ -12,9 +12,10 @@ the edits of words (substitution, gap, insertion) from the nearest part of the p
 less than ``ALIGNED`` words are compared whole, since one common word would be half of them.
 
 Items come in index blocks of ``ITEMS`` at most, each broadcast with the task; more items mean
-more passes over the documents, never a larger index. Words are runs of letters and
+more passes over the documents, never a larger index. Document frequencies, number, mean length and longest
+item are those of all items, counted once in Spark, so no score depends on the blocks. Words are runs of letters and
 digits in lower case. Null or wordless texts and items match nothing; repeated
-items count each under its id; a null id is carried. Empty tables give no leaks.
+items are indexed once and count each under its id; a null id is carried. Empty tables give no leaks.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import bisect
 import math
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from avisgrid.llm import textblocks as tb
-from avisgrid.llm.common import map_rows
+from avisgrid.llm.common import checkpointed, map_rows
 
 THRESHOLD = 0.5
 OVERLAP = 0.5
@@ -53,27 +55,55 @@ def _aligned(part: np.ndarray, words: np.ndarray) -> float:
     return 1 - int(edits.min()) / len(part)
 
 
+@dataclass(frozen=True)
+class Statistics:
+    """Numbers of all items: how many, words in the longest and on average, items that hold a word."""
+
+    n_items: int
+    span: int
+    mean: float
+    df: dict[int, int]  # of the words of a block at least
+
+    @classmethod
+    def of(cls, words: list[list[int]]) -> Statistics:
+        total = sum(map(len, words))
+        df = Counter(t for w in words for t in set(w))
+        return cls(len(words), max(map(len, words), default=0), max(1.0, total / max(1, len(words))), df)
+
+
+def _words_of(texts: list[str | None]) -> list[list[int]]:
+    """Word hashes of every text."""
+    raws = [(t or "").encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in raws])]).astype(np.int64)
+    hashes, _, _, row = tb.word_hashes(tb.Folder(str.isalnum), b"".join(raws), offsets)
+    at = np.searchsorted(row, np.arange(len(raws) + 1))
+    return [hashes[a:b].tolist() for a, b in zip(at, at[1:])]
+
+
 class Index:
     """Posting lists with impacts and block maxima, and the runs of every item."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]]) -> None:
-        folder = tb.Folder(str.isalnum)
+    def __init__(
+        self,
+        items: list[tuple[int | None, str | None]],
+        all_items: Statistics | None = None,
+        copies: list[int] | None = None,
+    ) -> None:
+        """``all_items``: by default the items given are all there are, each once."""
+        self.copies = copies or [1] * len(items)
         self.ids = [i for i, _ in items]
-        raws = [(t or "").encode() for _, t in items]
-        offsets = np.concatenate([[0], np.cumsum([len(r) for r in raws])]).astype(np.int64)
-        hashes, _, _, row = tb.word_hashes(folder, b"".join(raws), offsets)
-        words = [hashes[row == i].tolist() for i in range(len(items))]
-        self.span = max(map(len, words), default=0)
+        words = _words_of([t for _, t in items])
+        known = all_items or Statistics.of(words)
+        self.span = known.span
         self.runs = [self._parts(w) for w in words]
         self.parts = [tuple(np.array(p, np.uint64) for p in self._halves(w)) for w in words]
         counts = [Counter(w) for w in words]
-        df = Counter(t for c in counts for t in c)
-        mean = max(1.0, sum(map(len, words)) / max(1, len(items)))
-        postings: dict[int, list[Hit]] = {t: [] for t in df}
+        df, n_items = known.df, known.n_items
+        postings: dict[int, list[Hit]] = {t: [] for c in counts for t in c}
         for i, c in enumerate(counts):
-            norm = K1 * (1 - B + B * len(words[i]) / mean)
+            norm = K1 * (1 - B + B * len(words[i]) / known.mean)
             weight = {
-                t: math.log1p((len(items) - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1) / (n + norm)
+                t: math.log1p((n_items - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1) / (n + norm)
                 for t, n in c.items()
             }
             whole = sum(weight.values())
@@ -197,15 +227,43 @@ class Index:
         return [(i, *v) for i, v in sorted(found.items())]
 
 
+def _spelled(items: DataFrame) -> DataFrame:
+    """``term, copies, n``: a row for each item and distinct word, and one without word that has the item's length."""
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words, copies in zip(_words_of(batch.column(0).to_pylist()), batch.column(1).to_pylist()):
+                terms = np.array(list(set(words)), np.uint64).view(np.int64).tolist()
+                columns = [None, *terms], [copies] * (1 + len(terms)), [len(words), *[1] * len(terms)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["term", "copies", "n"])
+
+    return items.select("text", "copies").mapInArrow(spell, "term long, copies long, n long")
+
+
 def indexes(items: DataFrame) -> Iterator[Index]:
     """The items in index blocks of bounded size; the number of blocks follows the table."""
-    items = items.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
+    items = items.groupBy(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    items = checkpointed(items.agg(F.count(F.lit(1)).alias("copies")))
+    terms = _spelled(items).groupBy("term").agg(
+        F.sum("copies").alias("df"), F.sum(F.col("copies") * F.col("n")).alias("words"), F.max("n").alias("span")
+    )
+    terms = checkpointed(terms)
+    whole = terms.where("term IS NULL").first()
+    if whole is None:
+        return
+    spark, mean = items.sparkSession, max(1.0, whole["words"] / whole["df"])
     blocks = -(-items.count() // (ITEMS // 2))  # half full on average
     for k in range(blocks):
         block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k
         rows = items.filter(block).orderBy("item_id", "text").collect()
-        for part in range(0, len(rows), ITEMS):
-            yield Index([tuple(r) for r in rows[part : part + ITEMS]])
+        for lo in range(0, len(rows), ITEMS):
+            part = rows[lo : lo + ITEMS]
+            own = np.array(sorted({t for w in _words_of([r["text"] for r in part]) for t in w}), np.uint64)
+            # As many rows as the block has words.
+            mine = terms.join(F.broadcast(spark.createDataFrame(pa.table({"term": own.view(np.int64)}))), "term")
+            df = {r["term"] % (1 << 64): r["df"] for r in mine.select("term", "df").collect()}
+            known = Statistics(whole["df"], whole["span"], mean, df)
+            yield Index([(r["item_id"], r["text"]) for r in part], known, [r["copies"] for r in part])
 
 
 def _scan(batch: pa.RecordBatch, index: Index, folder: tb.Folder) -> Iterator[tuple[int, list]]:
@@ -230,7 +288,12 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
         def search(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             folder = tb.Folder(str.isalnum)
             for batch in batches:
-                rows = [(k, *leak) for k, all_ in _scan(batch, index, folder) for leak in all_]
+                rows = [
+                    (k, *leak)
+                    for k, all_ in _scan(batch, index, folder)
+                    for leak in all_
+                    for _ in range(index.copies[leak[0]])
+                ]
                 if rows:
                     at, item, *numbers = zip(*rows)
                     yield pa.RecordBatch.from_arrays(
