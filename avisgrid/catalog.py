@@ -214,6 +214,23 @@ def raw_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read(spark, path, schemas.RAW)
 
 
+@query
+def nan_becomes_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth score is not a number when the raw table is written."""
+    number = F.col("source_review_id").cast("bigint")
+    score = F.when(number % 5 == 0, F.lit(float("nan"))).otherwise(F.col("severity_text_score"))
+    return tables.raw_columns(raw_reviews(spark, sf_dir).withColumn("severity_text_score", score)).select(
+        *KEY, "severity_text_score", "severity_rating_score"
+    )
+
+
+@query
+def stored_verdict_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the second pass from the rows that it wrote."""
+    latest = _latest_raw(spark, sf_dir)
+    return verdicts.stored_stats(verdicts.reclassify(latest, fx.scripted_scorer))
+
+
 @query
 def seeds_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reviews per brand and source with the typed attributes of both seeds."""
@@ -860,3 +877,9 @@ def dq_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dq_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 46 declared checks over all tables."""
     return quality.report(_check_tables(spark, sf_dir))
+
+
+@query
+def dq_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The checks at which the gate stops a day with faulty raw reviews."""
+    return quality.failed_checks(quality.report(_check_tables(spark, sf_dir)))

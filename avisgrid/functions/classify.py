@@ -34,6 +34,9 @@ def any_of(found: Column, keywords: Iterable[str]) -> Column:
 
 
 CATEGORY_WORDS = tuple(k for words in tx.CATEGORY_KEYWORDS.values() for k in words)
+# The words that end a negation: the last group of its pattern.
+NEGATED_WORDS = tuple(tx.NEGATION_PATTERN.rsplit("(?:", 1)[1].rstrip(")").split("|"))
+ALL_WORDS = (*CATEGORY_WORDS, *tx.SEVERITY_KEYWORDS, *tx.OWNER_PATTERNS, *NEGATED_WORDS)
 
 
 def score_column(category: str) -> str:
@@ -104,21 +107,24 @@ def with_quality(df: DataFrame, text: str = "text") -> DataFrame:
 def with_text_classes(df: DataFrame, text: str = "text", rating: str = "rating") -> DataFrame:
     """Quality, category, severity and persona in one narrow chain of projections.
 
-    The folded text is a projection of its own, computed once per row. It is searched once for
-    the words of severity and persona, and once without negations for those of the categories.
+    The folded text is a projection of its own, computed once per row, and searched once for all
+    words; only where it has a word that a negation may take away it is searched again without negations.
     """
     raw = F.col(text)
     staged = df.withColumn("_norm", tt.normalize(raw))
-    # Both searches come out of a lambda, so the optimizer cannot run them again for every list.
+    # What was found comes out of lambdas, so the optimizer cannot search again for every list. Without
+    # one of the words that a negation takes away nothing can be taken away.
     searches = bound(
-        F.struct(
-            tt.keywords_in(F.col("_norm"), (*tx.SEVERITY_KEYWORDS, *tx.OWNER_PATTERNS)).alias("folded"),
-            tt.keywords_in(tt.strip_negation(F.col("_norm")), CATEGORY_WORDS).alias("searched"),
-        ),
-        lambda found: F.struct(
-            *[n_of(found["searched"], words).alias(score_column(c)) for c, words in tx.CATEGORY_KEYWORDS.items()],
-            n_of(found["folded"], tx.SEVERITY_KEYWORDS).alias("n_severity"),
-            F.coalesce(any_of(found["folded"], tx.OWNER_PATTERNS), F.lit(False)).alias("owner"),
+        tt.keywords_in(F.col("_norm"), ALL_WORDS),
+        lambda found: bound(
+            F.when(
+                any_of(found, NEGATED_WORDS), tt.keywords_in(tt.strip_negation(F.col("_norm")), CATEGORY_WORDS)
+            ).otherwise(found),
+            lambda left: F.struct(
+                *[n_of(left, words).alias(score_column(c)) for c, words in tx.CATEGORY_KEYWORDS.items()],
+                n_of(found, tx.SEVERITY_KEYWORDS).alias("n_severity"),
+                F.coalesce(any_of(found, tx.OWNER_PATTERNS), F.lit(False)).alias("owner"),
+            ),
         ),
     )
     staged = staged.withColumn("_scores", searches)

@@ -209,6 +209,15 @@ def verdict_stats(raw: DataFrame, verdicts: DataFrame | None) -> DataFrame:
     )
 
 
+def stored_stats(refined: DataFrame) -> DataFrame:
+    """The same counts of a run that went through ``reclassify``, from what it wrote."""
+    changed = F.col("category_source") == tx.SOURCE_MODEL
+    left = F.coalesce(is_candidate(), F.lit(False)) & ~F.coalesce(changed, F.lit(False))
+    return refined.agg(
+        F.count_if(changed | left).alias("candidates"), F.count_if(changed).alias("updated"), F.count_if(left).alias("skipped")
+    )
+
+
 def classify_candidates(raw: DataFrame, scorer: Scorer, limits: Limits = LIMITS) -> DataFrame:
     """Candidates to verdicts: key, category and confidence."""
     answered = parse_replies(replies(prompts(candidates(raw)), scorer, limits))

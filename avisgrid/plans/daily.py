@@ -95,7 +95,8 @@ def load_run(
     The raw table has a part for each run with the landed version it was made from, so incremental landing keeps
     its history and a load that was left out is made up for. A run that is empty now leaves the
     table and is not refined again. ``run_id`` names a run to load again. With a
-    scorer the unclassified reviews go through the second pass on the way.
+    scorer the unclassified reviews go through the second pass on the way; what came of it is the
+    run's part of ``verdict_stats``.
     """
     landed = tables.runs(house.spark, house.bronze)
     if not landed:
@@ -110,6 +111,10 @@ def load_run(
             if scorer is not None:
                 refined = verdicts.reclassify(refined, scorer)
             added += tables.load_raw_run(refined, raw, run, entry.folder)
+            if scorer is not None:
+                stored = tables.read(house.spark, raw, schemas.RAW_RUNS, [f"run_id={run}"])
+                stats = verdicts.stored_stats(stored).withColumn("run_id", F.lit(run))
+                tables.put(stats, house.path("verdict_stats"), f"run_id={run}")
     return added
 
 
@@ -201,20 +206,44 @@ def run_day(
 ) -> DataFrame:
     """A whole day.  Failed checks stop alerts and tickets.
 
-    Whatever step fails, the recap is written anew: a recap of an earlier day never stays.
+    Whatever step fails, the recap is written anew: a recap of an earlier day never stays. ``run_status``
+    says how far the run came.
     """
     house = Warehouse(prepare(spark), root, incrementally)
     seeds = reference_data.seeds(spark, seeds_folder)
+    steps = (
+        ("land", lambda: land_run(house, payloads, run_id, as_of, cap=cap, seeds_folder=seeds_folder)),
+        ("load", lambda: load_run(house, as_of, run_id, scorer)),
+        ("star", lambda: build_star(house, seeds)),
+        ("marts", lambda: build_marts(house, seeds, as_of)),
+        ("checks", lambda: quality.gate(check(house, seeds))),
+        ("alerts", lambda: find_alerts(house, seeds, as_of)),
+        ("tickets", lambda: route_tickets(house, seeds, run_id)),
+    )
+    found, reached = {}, ""
     try:
-        land_run(house, payloads, run_id, as_of, cap=cap, seeds_folder=seeds_folder)
-        load_run(house, as_of, run_id, scorer)
-        build_star(house, seeds)
-        build_marts(house, seeds, as_of)
-        quality.gate(check(house, seeds))
-        alerts = find_alerts(house, seeds, as_of)
-        tickets = route_tickets(house, seeds, run_id)
-        recap = activation.run_recap(tickets, alerts, read_ledger(house, run_id))
-        return house.write("recap", recap)
-    except Exception:
-        house.write("recap", activation.empty_recap(spark))
+        for reached, step in steps:
+            found[reached] = step()
+        reached = "recap"
+        recap = activation.run_recap(found["tickets"], found["alerts"], read_ledger(house, run_id))
+        written_recap = house.write("recap", recap)
+        _note(house, run_id, reached, None)
+        return written_recap
+    except Exception as error:
+        # A fault while noting the failure must not hide it.
+        for write in (
+            lambda: house.write("recap", activation.empty_recap(spark)),
+            lambda: _note(house, run_id, reached, error),
+        ):
+            try:
+                write()
+            except Exception as other:  # noqa: BLE001
+                error.add_note(f"and the failure could not be noted: {other}")
         raise
+
+
+def _note(house: Warehouse, run_id: str, step: str, error: Exception | None) -> None:
+    """The run's part of ``run_status``: the last step begun and the error that ended it."""
+    text = None if error is None else f"{type(error).__name__}: {error}"[:1000]
+    row = house.spark.createDataFrame([(run_id, step, text)], "run_id string, step string, error string")
+    tables.put(row.coalesce(1), house.path("run_status"), f"run_id={run_id}")

@@ -157,9 +157,14 @@ def report(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).select(*REPORT)
 
 
+def failed_checks(checked: DataFrame) -> DataFrame:
+    """What the gate stops at."""
+    return checked.where(F.col("failures") > 0)
+
+
 def gate(checked: DataFrame) -> None:
     """Stop when a check failed; the report has one row per check."""
-    failed = checked.where(F.col("failures") > 0).collect()
+    failed = failed_checks(checked).collect()
     if failed:
         listed = ", ".join(f"{r.table_name}.{r.column_name} {r.check_name}" for r in failed)
         raise QualityGateError(f"failed checks: {listed}")

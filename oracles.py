@@ -859,6 +859,12 @@ ORACLES: dict[str, str] = {
                   count(*) FILTER (coalesce(verdict_category, 'non_classe') = 'non_classe') AS skipped
            FROM verdicts""",
     ),
+    "stored_verdict_stats": sql(
+        STAGED,
+        """SELECT count(*) AS candidates, count(*) FILTER (known) AS updated, count(*) FILTER (NOT known) AS skipped
+           FROM (SELECT text = 'oui oui' OR text LIKE '%ravi du séjour' AS known
+                 FROM stg WHERE is_exploitable AND category_code = 'non_classe')""",
+    ),
     # staging and star
     "stg_latest_version": sql(
         STAGED,
@@ -1078,4 +1084,10 @@ ORACLES: dict[str, str] = {
     ),
     "dq_unique": sql(RAW, unique_check("raw_reviews", "raw", "source_review_id")),
     "dq_report": sql(FAULTY + star_ctes("faulty") + DAYS, REPORT),
+    "dq_gate": sql(FAULTY + star_ctes("faulty") + DAYS, f"SELECT * FROM ({REPORT}) WHERE failures > 0"),
+    "nan_becomes_null": sql(
+        RAW,
+        f"""SELECT {KEY}, CASE WHEN {NUMBER} % 5 <> 0 THEN severity_text_score END AS severity_text_score,
+                   severity_rating_score FROM raw""",
+    ),
 }

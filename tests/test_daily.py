@@ -45,6 +45,13 @@ def test_two_days(spark, payloads, tmp_path):
     assert again == first
     second = daily.run_day(spark, payloads, root, "20240211T000000Z", as_of(), fx.scripted_scorer).first()
     assert (second.csv_tickets, second.new_tickets) == (n_tickets, 0)
+    status = {r.run_id: (r.step, r.error) for r in house.read("run_status").collect()}
+    assert status == {"20240210T000000Z": ("recap", None), "20240211T000000Z": ("recap", None)}
+    stats = {r.run_id: r for r in house.read("verdict_stats").collect()}
+    assert stats["20240210T000000Z"].updated == raw.where("run_id = '20240210T000000Z' AND category_source = 'llm'").count() > 0
+    assert all(r.candidates == r.updated + r.skipped for r in stats.values())
+    counts = house.read("reading_counts").where("run_id = '20240211T000000Z'")
+    assert {r.source_code for r in counts.collect()} == set(payloads) and counts.where("outcome <> 'kept'").count() > 2
     assert house.read("ticket_payloads/run_id=20240211T000000Z").count() == 0
 
 
@@ -92,6 +99,15 @@ def test_runs_add_up_and_a_broken_step_renews_the_recap(spark, payloads, tmp_pat
             with pytest.raises(ZeroDivisionError):
                 daily.run_day(spark, payloads, str(tmp_path), "r2", as_of())
         assert house.read("recap").isEmpty()
+        status = house.read("run_status").first()
+        assert (status.run_id, status.step) == ("r2", {"land_run": "land", "build_marts": "marts", "route_tickets": "tickets"}[step])
+        assert "ZeroDivisionError" in status.error
+    with monkeypatch.context() as m:  # the first error is the one that is raised
+        m.setattr(daily, "land_run", lambda *a, **k: 1 / 0)
+        m.setattr(daily.activation, "empty_recap", lambda s: [][0])
+        with pytest.raises(ZeroDivisionError) as caught:
+            daily.run_day(spark, payloads, str(tmp_path), "r2", as_of())
+    assert any("could not be noted" in note for note in caught.value.__notes__)
 
 
 def house_recap_schema():

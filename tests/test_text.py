@@ -184,3 +184,30 @@ def test_folding_equals_unicode_decomposition(spark):
 def test_join_title_body(spark, title, body, expected):
     df = spark.createDataFrame([(title, body)], "t string, b string")
     assert df.select(tt.join_title_body(F.col("t"), F.col("b"))).first()[0] == expected
+
+
+def test_keywords_are_found_in_one_pass(spark):
+    """Overlapping, nested and cut keywords, against a test of each one."""
+
+
+    rng, words = random.Random(1), sorted(set(cl.ALL_WORDS))
+    rows = [(None,), ("",), ("$$",), ("annuleeannulation",)]
+    for _ in range(400):
+        parts = [(w := rng.choice(words))[: rng.randrange(1, len(w) + 1)] + rng.choice(["", "", " ", "s"]) for _ in range(rng.randrange(12))]
+        rows.append(("".join(parts),))
+    df = spark.createDataFrame(rows, "t string")
+    for r in df.select("t", tt.keywords_in(F.col("t"), words).alias("found")).collect():
+        expected = None if r.t is None else {w for w in words if w in r.t}
+        assert (None if r.found is None else set(r.found)) == expected, r.t
+
+
+def test_negations_change_the_categories_only(spark):
+
+    rows = [("ce n'est pas une arnaque", 3), ("une arnaque", 3), ("pas complique du tout", 3), (None, 1), ("plus jamais de bug, honteux", 2)]
+    df = spark.createDataFrame(rows, "text string, rating int")
+    searched = tt.strip_negation(tt.normalize(F.col("text")))
+    both = cl.with_text_classes(df.withColumn("s", cl.category_scores(searched))).withColumns(
+        {"expected": cl.best_category({c: F.col("s")[cl.score_column(c)] for c in cl.tx.CATEGORY_KEYWORDS})}
+    )
+    for r in both.collect():
+        assert r.category_code == r.expected, r.text
