@@ -261,3 +261,57 @@ def test_class_probabilities_sum_to_one():
     assert np.exp(logs).sum(1) == pytest.approx(np.ones(5))
     features = maxent._features(np.arange(maxent.CONTEXTS))
     assert features.min() >= 0 and features.max() < maxent.FEATURES
+
+
+def test_words_before_not_only_their_endings(spark):
+    """Words of one class as contexts: which of them came before decides what follows."""
+    held = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5 == 1]
+    train = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5 != 1]
+    texts = ["station opens today", "nation closes early"]  # two before as well
+    rows = [(i, texts[k % 2]) for k, i in enumerate(train[:600])]
+    asked = ["station opens", "nation opens", "x station opens today", "x nation opens today"]
+    rows += list(zip(held, asked))
+    found = {r["doc_id"]: r for r in maxent.scores(frame(spark, rows), size=200).collect()}
+    right, wrong, skip, not_skip = (found[i] for i in held[:4])
+    assert right["base_score"] == wrong["base_score"]
+    assert right["score"] > wrong["score"] + 0.5
+    assert skip["score"] > not_skip["score"] + 0.5
+
+
+def test_scores_against_a_plain_version(spark, monkeypatch):
+    """Every column for given weights, word by word."""
+    weights = np.random.default_rng(5).normal(size=(maxent.FEWEST, maxent.CLASSES)).astype(np.float32)
+    monkeypatch.setattr(maxent, "trained", lambda *_: weights)
+    rng, words = random.Random(3), ["a", "ab", "cab", "dog", "log", "é", "new", "Ab"]
+    rows = [(i, " ".join(rng.choice(words[: 6 + i % 3]) for _ in range(i % 7))) for i in range(90)]
+    found = maxent.scores(frame(spark, rows), size=100).collect()
+    same_base(found, rows)
+    tokens = {i: [*re.findall(r"[^\x20\x09-\x0D]+", text.lower()), None] for i, text in rows}
+    count = Counter(w for i, ws in tokens.items() if zlib.crc32(str(i).encode()) % 5 != 1 for w in ws)
+
+    def code(word):
+        return 0 if word is None else int(maxent._tokens(*joined([word]))[0][0])
+
+    mass = np.zeros(maxent.CLASSES)
+    for w, c in count.items():
+        mass[code(w) % maxent.CLASSES] += c + 0.5
+    whole = sum(count.values()) + 0.5 * (len(count) + 1)
+    expected = {}
+    for i, ws in tokens.items():
+        total, codes = 0.0, [code(w) for w in ws]
+        for k, w in enumerate(ws):
+            one, two = (codes[k - j] if k >= j else 0 for j in (1, 2))
+            at = maxent._features(np.array([one], np.uint64), two, maxent.FEWEST)[0]
+            odds = np.where(mass > 0, mass * np.exp(weights[at].sum(0, dtype=float)), 0)
+            kind = codes[k] % maxent.CLASSES
+            known = odds[kind] / odds.sum() * (count[w] + 0.5) / mass[kind] * (1 - 0.5 / whole) if count[w] else 0.5 / whole
+            total += math.log10(known)
+        expected[i] = total
+    assert {r["doc_id"]: r["score"] for r in found} == pytest.approx(expected, rel=1e-4)
+
+
+def test_table_grows_with_distinct_word_pairs():
+    one = np.arange(1 << 12, dtype=np.uint64) << np.uint64(6)  # one class
+    small, large = (maxent._features(one, 7, rows) for rows in (maxent.FEWEST, maxent.FEATURES))
+    assert len(np.unique(small[:, 0])) < len(np.unique(large[:, 0]))
+    assert len(np.unique(large[:, 0])) > 3500 and len(np.unique(large[:, 3])) == 1
