@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from avisgrid import schemas
 from avisgrid.plans import daily, incremental, marts, star
-from avisgrid.session import written
+from avisgrid.session import spread, written
 from avisgrid.sources import fixture as fx
 from avisgrid.sources import reference_data, tables
 
@@ -163,3 +163,21 @@ def test_an_incremental_day_is_a_day(spark, sf_dir, tmp_path):
     seeds = reference_data.seeds(spark)
     for name in ("fact_reviews", "fact_classifications", "fact_tickets", "dm_direction_synthese", "dm_marketing_voc"):
         assert rows(houses[0].fact(name, seeds)) == rows(houses[1].fact(name, seeds)), name
+
+
+def test_first_merge_writes_one_file_for_each_bucket(spark, tmp_path, seeds):
+    rng = random.Random(4)
+    raw, store = str(tmp_path / "raw"), str(tmp_path / "star")
+    first = frame(spark, [version(rng, f"r{i}", BASE) for i in range(400)]).repartition(6)
+    tables.load_raw_run(first, raw, "r1", "landed-0")
+    incremental.advance(spark, raw, store, seeds, buckets=3)
+    folder = tables.entries(spark, store)["newest"].folder.rsplit("/data/", 1)[1]
+    assert 0 < len(list((tmp_path / "star" / "data" / folder).glob("*.parquet"))) <= 3
+    check(spark, raw, store, seeds)
+
+
+def test_one_file_is_spread_over_all_cores(spark):
+    one = spark.range(5000).coalesce(1)
+    dealt = spread(one, "id")
+    assert dealt.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert rows(dealt) == rows(one)
