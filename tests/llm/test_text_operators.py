@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 from avisgrid.llm import decontamination, language, maxent, transducer
 from avisgrid.llm import textblocks as tb
 from avisgrid.llm.bytepairs import PieceIds
-from avisgrid.llm.common import table
+from avisgrid.llm.common import checkpointed, table
 
 PARTS = ["'", "s", "t", "re", "ll", " ", "  ", "\n", "\t", "a", "B", "é", "ß", "1", "²", "٣", "中", "!", "<|endoftext|>",
          "<|startoftext|>", "<|", " ", " ", "​", "😀", "é", "\r\n", "\x85", "İ", "Σ", "\x1c", "'S", "ing"]
@@ -315,3 +315,29 @@ def test_table_grows_with_distinct_word_pairs():
     small, large = (maxent._features(one, 7, rows) for rows in (maxent.FEWEST, maxent.FEATURES))
     assert len(np.unique(small[:, 0])) < len(np.unique(large[:, 0]))
     assert len(np.unique(large[:, 0])) > 3500 and len(np.unique(large[:, 3])) == 1
+
+
+def test_one_gradient_of_the_tables_size_reaches_the_driver(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{(i * j) % 50}" for j in range(1, 40))) for i in range(300)]
+    stored = checkpointed(maxent.batches(frame(spark, rows).repartition(6), size=1000))
+    assert stored.count() == 6
+    weights = np.random.default_rng(2).normal(size=(2 * maxent.SUMMED, maxent.CLASSES)).astype(np.float32)
+    prior = np.full(maxent.CLASSES, -np.log(maxent.CLASSES), np.float32)
+    texts = stored.select("batch", "held_out", "n_tokens", "word", "hash")
+    whole = np.zeros_like(weights)
+    left = texts.toArrow()
+    for row in range(left.num_rows):
+        held = np.array(left.column("held_out")[row].as_py())
+        maxent._errors(whole, weights, prior, maxent._words(left, row), held)
+    collect, sizes = type(texts).collect, []
+
+    def counted(df):
+        found = collect(df)
+        sizes.append(sum(len(r["g"]) for r in found))
+        return found
+
+    monkeypatch.setattr(type(texts), "collect", counted)
+    found = maxent._gradient(texts, weights, prior)
+    assert sizes == [weights.nbytes]
+    assert np.allclose(found, whole, atol=1e-3) and np.abs(whole).max() > 1
+    assert not maxent._gradient(texts.filter("false"), weights, prior).any()
