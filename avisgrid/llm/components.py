@@ -28,21 +28,27 @@ def _small_star(edges: DataFrame, parts: int) -> DataFrame:
     return hung.union(least.select("a", F.col("m").alias("b"))).coalesce(parts).distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+def _state(edges: DataFrame, parts: int) -> tuple[int, int]:
+    """How many edges there are, and how many nodes keep them from being stars around their smallest nodes.
+
+    In a star every node but the smallest hangs on one node, which hangs on none.
+    """
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.union(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).coalesce(parts)
+    found = nodes.agg(F.sum("up"), F.count_if(F.expr("up > 1 OR up = 1 AND down = 1"))).first()
+    return found[0] or 0, found[1]
 
 
 def components(links: DataFrame) -> DataFrame:
     """``node, label`` for every linked node; the label is the component's smallest node."""
     edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = checkpointed(edges.filter("a > b"))
-    state = _state(edges)
-    while state[0]:
-        parts = max(PARTITIONS, state[0] // EDGES)
+    n, loose = _state(edges, PARTITIONS)
+    while loose:
+        parts = max(PARTITIONS, n // EDGES)
         edges = edges.coalesce(parts)
         edges = checkpointed(_small_star(_large_star(edges, parts), parts).coalesce(parts))
-        before, state = state, _state(edges)
-        if state == before:
-            break
+        n, loose = _state(edges, parts)
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return stars.union(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

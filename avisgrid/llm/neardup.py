@@ -51,6 +51,9 @@ ORDERS = 3  # of hubs, before all classes of a bucket that still lie apart are c
 HUB_ROWS = 64  # pairs of a hub that meet in one place
 CROWD = 16  # classes of a bucket that are still compared pair by pair
 BLOCK = 256
+PARTITIONS = 16  # of keys and pairs at least, and their rows in a partition; short tables take few tasks, whatever
+PART_ROWS = 50_000  # the session's number of partitions is
+LISTED = 1_000  # texts in a partition of word lists
 _AT_ONCE = 1 << 21  # hashes held for one text
 
 
@@ -262,18 +265,17 @@ def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
     return checkpointed(both.mapInArrow(verify, "a binary, b binary, similarity double"))
 
 
-def _placed(shared: DataFrame, labels: DataFrame) -> DataFrame:
+def _placed(shared: DataFrame, labels: DataFrame, parts: int) -> DataFrame:
     """``key, cid, label, n`` of the buckets whose classes lie in several components."""
-    placed = shared.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select(
-        "key", "cid", F.coalesce("label", "cid").alias("label")
-    )
+    placed = shared.join(labels.withColumnRenamed("node", "cid"), "cid", "left").coalesce(parts)
+    placed = placed.select("key", "cid", F.coalesce("label", "cid").alias("label"))
     mixed = placed.groupBy("key").agg(
         F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")
     )
-    return checkpointed(placed.join(mixed.filter("lo <> hi").select("key", "n"), "key"))
+    return checkpointed(placed.join(mixed.filter("lo <> hi").select("key", "n"), "key").coalesce(parts))
 
 
-def _hub_pairs(placed: DataFrame, order: int) -> DataFrame:
+def _hub_pairs(placed: DataFrame, order: int, parts: int) -> DataFrame:
     """``a, b``: classes with hubs of their buckets in other components.
 
     Before the last order that is the hub a class shares the most buckets with, so that it takes one
@@ -281,11 +283,12 @@ def _hub_pairs(placed: DataFrame, order: int) -> DataFrame:
     """
     place = F.struct(F.xxhash64(F.lit(order), "cid").alias("h"), F.col("cid").alias("hub"), F.col("label").alias("at"))
     hub = placed.groupBy("key").agg(F.min(place).alias("m")).select("key", "m.hub", "m.at")
-    met = placed.join(hub, "key").filter("label <> at").groupBy(F.col("cid").alias("a"), F.col("hub").alias("b"))
+    met = placed.join(hub, "key").filter("label <> at").coalesce(parts)
+    met = met.groupBy(F.col("cid").alias("a"), F.col("hub").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     if order == ORDERS - 1:
-        return met.agg(F.count(F.lit(1)).alias("n")).select("a", "b")
+        return met.select("a", "b").coalesce(parts)
     most = F.max(F.struct("n", F.xxhash64("b").alias("h"), "b")).alias("m")
-    return met.agg(F.count(F.lit(1)).alias("n")).groupBy("a").agg(most).select("a", F.col("m.b").alias("b"))
+    return met.coalesce(parts).groupBy("a").agg(most).select("a", F.col("m.b").alias("b")).coalesce(parts)
 
 
 def linked_classes(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame] | None:
@@ -294,20 +297,22 @@ def linked_classes(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFra
     member = classes.select("cid", F.explode("keys").alias("key"))
     several = member.groupBy("key").count().filter("count > 1")
     shared = checkpointed(member.join(several.select("key"), "key"))
-    needed = checkpointed(shared.select("cid").distinct())
+    parts = max(PARTITIONS, shared.count() // PART_ROWS)
+    shared = shared.coalesce(parts)
+    needed = checkpointed(shared.select("cid").distinct().coalesce(parts))
     n_needed = needed.count()
     if not n_needed:
         return None
-    words = _word_lists(docs, needed, n_needed)
+    words = _word_lists(docs, needed, n_needed).coalesce(max(PARTITIONS, n_needed // LISTED))
     placed, links, pairs, labels = shared.withColumn("label", F.col("cid")), None, None, None
     for order in range(ORDERS):
         if labels is not None:
-            placed = _placed(shared, labels)
-        found = _hub_pairs(placed, order)
+            placed = _placed(shared, labels, parts)
+        found = _hub_pairs(placed, order, parts)
         if pairs is not None:
-            found = found.join(pairs, ["a", "b"], "left_anti")
+            found = found.join(pairs, ["a", "b"], "left_anti").coalesce(parts)
         found = checkpointed(found)
-        more = _verified(found, words).select("a", "b")
+        more = _verified(found, words).select("a", "b").coalesce(parts)
         if links is None:
             pairs, links = found, more
         elif more.isEmpty():
@@ -317,15 +322,17 @@ def linked_classes(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFra
             pairs, links = pairs.union(found), links.union(more)
         labels = components(links)
     # Buckets whose members still lie in several components: all pairs between those.
-    placed = _placed(shared, labels)
+    placed = _placed(shared, labels, parts)
     few = placed.filter(F.col("n") <= CROWD)
     other = few.select("key", F.col("cid").alias("cid2"), F.col("label").alias("label2"))
     rest = few.join(other, "key").filter("label <> label2 AND cid < cid2")
     rest = rest.select(F.col("cid").alias("a"), F.col("cid2").alias("b")).distinct()
     either = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = rest.join(either, ["a", "b"], "left_anti")
-    more = _verified(checkpointed(rest), words).select("a", "b")
-    more = more.union(_crowd_links(placed.filter(F.col("n") > CROWD), words))
+    rest = rest.coalesce(parts).join(either.coalesce(parts), ["a", "b"], "left_anti").coalesce(parts)
+    more = _verified(checkpointed(rest), words).select("a", "b").coalesce(parts)
+    many = placed.filter(F.col("n") > CROWD)
+    if not many.isEmpty():
+        more = more.union(_crowd_links(many, words))
     if not more.isEmpty():
         links = links.union(more)
         labels = components(links)

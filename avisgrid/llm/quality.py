@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,12 +111,20 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _single(x: np.ndarray) -> np.ndarray:
+    """Features kept in half precision as those they were made from."""
+    return x.astype(np.float32) if x.dtype == np.float16 else x
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, l2: float, steps: int = 200) -> np.ndarray:
     """Weights and bias by accelerated gradient descent; classes weigh the same."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
+    given, x = x, np.ones((len(x), x.shape[1] + 1), np.float32 if x.dtype == np.float16 else x.dtype)
+    x[:, :-1] = given
+    del given
     share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
     share, y = share.astype(x.dtype), y.astype(x.dtype)
-    rate = 1 / (0.25 * (share @ (x * x).sum(1)) + l2)
+    squares = np.concatenate([(x[lo : lo + ROWS] ** 2).sum(1) for lo in range(0, len(x), ROWS)])
+    rate = 1 / (0.25 * (share @ squares) + l2)
     w = ahead = np.zeros(x.shape[1], x.dtype)
     for k in range(steps):
         slope = x.T @ (share * (_sigmoid(x @ ahead) - y)) + l2 * ahead
@@ -126,6 +135,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float, steps: int = 200) -> np.n
 
 
 def _margin(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    x = _single(x)
     return x @ w[:-1].astype(x.dtype) + w[-1]
 
 
@@ -225,13 +235,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     )
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             for lo, hi, text, page in features(batch):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, hi - lo),
                         batch.column(1).slice(lo, hi - lo),
-                        pa.array([x.tobytes() for x in text.astype(np.float16)], pa.binary()),
+                        pa.array([squeeze(x.tobytes()) for x in text.astype(np.float16)], pa.binary()),
                         pa.array([x.tobytes() for x in page], pa.binary()),
                     ],
                     ["h", "y", "text", "page"],
@@ -240,14 +251,21 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     sample = rows.mapInArrow(extract, "h long, y int, text binary, page binary").toArrow()
     h, y = (sample.column(i).to_numpy() for i in (0, 1))
     text, page = sample.column(2).to_pylist(), sample.column(3).to_pylist()
+    plain = zstandard.ZstdDecompressor().decompress
     # Rows come in any order: sort them, so that every run fits the same model.
-    order = np.array(sorted(range(len(h)), key=lambda i: (h[i], y[i], text[i], page[i])), np.int64)
+    order = np.lexsort((y, h))
     if not len(order):
         return None
-    views = [
-        np.frombuffer(b"".join(text[i] for i in order), np.float16).reshape(-1, TRIGRAMS).astype(np.float32),
-        np.frombuffer(b"".join(page[i] for i in order), np.float32).reshape(-1, PAGE),
-    ]
+    new = (h[order][1:] != h[order][:-1]) | (y[order][1:] != y[order][:-1])
+    first = np.flatnonzero(np.append(True, new))
+    for lo, hi in zip(first, np.append(first[1:], len(order))):
+        if hi > lo + 1:
+            order[lo:hi] = sorted(order[lo:hi], key=lambda i: (plain(text[i]), page[i]))
+    views = [np.empty((len(order), TRIGRAMS), np.float16), np.empty((len(order), PAGE), np.float32)]
+    for row, i in enumerate(order):
+        views[0][row] = np.frombuffer(plain(text[i]), np.float16)
+        views[1][row] = np.frombuffer(page[i], np.float32)
+    del sample, text, page
     return cotrain(views, y[order], h[order])
 
 

@@ -145,3 +145,40 @@ def test_one_document_of_each_group_stays(spark, odd, empty):
     rows = near_group(60)
     docs = frame(spark, rows)
     assert {r["doc_id"] for r in neardup.deduplicated(docs).collect()} == set(groups(rows).values())
+
+
+def test_stars_take_no_rounds(spark, monkeypatch):
+    rounds, step = [], neardup.components.__globals__["_large_star"]
+    monkeypatch.setitem(neardup.components.__globals__, "_large_star", lambda *a: rounds.append(1) or step(*a))
+    stars = [(1, 2), (3, 1), (1, 1), (1, 4), (5, 6)]
+    found = components(spark.createDataFrame(stars, "a int, b int"))
+    assert {tuple(r) for r in found.collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 5), (6, 5)}
+    assert not rounds
+    found = components(spark.createDataFrame([(1, 9), (2, 9), (3, 9)], "a int, b int"))
+    assert {tuple(r) for r in found.collect()} == {(1, 1), (2, 1), (3, 1), (9, 1)}
+    assert len(rounds) == 1
+
+
+def test_crowds_are_compared_only_where_there_are_some(spark, monkeypatch):
+    called, links = [], neardup._crowd_links
+    monkeypatch.setattr(neardup, "_crowd_links", lambda *a: called.append(1) or links(*a))
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (2, text + " end"), (3, "another text of its own with enough words in it")]
+    check(frame(spark, rows), rows)
+    assert not called
+
+
+def test_short_tables_of_pairs_take_few_tasks(spark, monkeypatch):
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    taken, verified = [], neardup._verified
+    monkeypatch.setattr(neardup, "_verified", lambda pairs, w: taken.append(pairs.rdd.getNumPartitions()) or verified(pairs, w))
+    rows = [(i, " ".join(f"w{i % 30}x{j}" for j in range(40)) + f" end{i // 30}") for i in range(60)]
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        check(frame(spark, rows), rows)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert taken and max(taken) <= neardup.PARTITIONS

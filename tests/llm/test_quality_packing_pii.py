@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -283,3 +284,16 @@ def test_pipeline_on_odd_and_no_rows(spark, odd, empty, sf_dir):
             assert left.count() <= docs.count() or k == 4
             if k < 4:
                 docs = left
+
+
+def test_training_holds_one_copy_of_its_rows():
+    rng = np.random.default_rng(3)
+    x = rng.random((4000, quality.TRIGRAMS)).astype(np.float16)
+    y = (x[:, 0] > 0.5).astype(float)
+    tracemalloc.start()
+    w = quality._logistic(x, y, 1e-5, steps=5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.5 * 4 * x.size
+    assert np.array_equal(w, quality._logistic(x.astype(np.float32), y, 1e-5, steps=5))
+    assert np.array_equal(quality._margin(x, w), quality._margin(x.astype(np.float32), w))
