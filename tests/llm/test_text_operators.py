@@ -341,3 +341,67 @@ def test_one_gradient_of_the_tables_size_reaches_the_driver(spark, monkeypatch):
     assert sizes == [weights.nbytes]
     assert np.allclose(found, whole, atol=1e-3) and np.abs(whole).max() > 1
     assert not maxent._gradient(texts.filter("false"), weights, prior).any()
+
+
+def plain_training(texts, rows, prior, steps):
+    """Weights after some steps, each over all texts, token by token."""
+    contexts = []
+    for text in texts:
+        codes = maxent._tokens(*joined([text]))[0].tolist()
+        for k, code in enumerate(codes):
+            one, two = (codes[k - j] if k >= j else 0 for j in (1, 2))
+            contexts.append((maxent._features(np.array([one], np.uint64), np.uint64(two), rows)[0], code % maxent.CLASSES))
+    weights = np.zeros((rows, maxent.CLASSES))
+    squares = np.full_like(weights, maxent.DAMPING)
+    for _ in range(steps):
+        g = np.zeros_like(weights)
+        for at, kind in contexts:
+            odds = np.exp(weights[at].sum(0) + prior)
+            for row in at:
+                g[row] -= odds / odds.sum()
+                g[row, kind] += 1
+        squares += g * g
+        weights += maxent.RATE * g / np.sqrt(squares)
+    return weights
+
+
+def test_every_step_takes_every_training_text(spark):
+    """However many batches there are, in tables of few rows and with texts that are held out, empty or repeated."""
+    rng, words = random.Random(8), [f"w{k}" for k in range(40)] + ["é", "a", "The"]
+    rows = [(i, " ".join(rng.choice(words[: 4 + i % 40]) for _ in range(i % 17))) for i in range(150)]
+    rows += rows[:20] + [(None, "a null id w1"), (200, None)]
+    train = [text or "" for i, text in rows if i is None or zlib.crc32(str(i).encode()) % 5 != 1]
+    prior = np.log(np.random.default_rng(4).dirichlet(np.ones(maxent.CLASSES))).astype(np.float32)
+    expected = plain_training(train, maxent.FEWEST, prior, 4)
+    assert np.abs(expected).max() > 0.5
+    for n in (1, 40):
+        stored = checkpointed(maxent.batches(frame(spark, rows).repartition(n), size=50))
+        assert stored.count() == n
+        assert np.allclose(maxent.trained(stored, maxent.FEWEST, prior, 4), expected, atol=1e-4)
+
+
+def test_gradients_of_many_contexts_in_few_rows():
+    """More contexts than are held at once, rows of many contexts and of one, classes that never occur."""
+    rng = np.random.default_rng(6)
+    known = np.concatenate([np.zeros(1, np.uint64), rng.integers(1, 1 << 63, 3000).astype(np.uint64)])
+    n = rng.integers(1, 60, 900)
+    word = np.minimum(rng.pareto(0.3, n.sum()).astype(np.int64), 2999) + 1
+    held = rng.random(len(n)) < 0.2
+    weights = rng.normal(size=(maxent.FEWEST, maxent.CLASSES)).astype(np.float32)
+    prior = np.log(rng.dirichlet(np.ones(maxent.CLASSES))).astype(np.float32)
+    prior[[5, 9]] = -np.inf
+    one, two = maxent._contexts(word, n)
+    assert len(np.unique(one * len(known) + two)) > maxent.AT_ONCE
+    rows = maxent._features(known[one], known[two], len(weights))[~np.repeat(held, n)]
+    kind = (known[word] % np.uint64(maxent.CLASSES)).astype(int)[~np.repeat(held, n)]
+    error = -np.exp(maxent._class_logs(weights.astype(float), rows, prior))
+    error[np.arange(len(kind)), kind] += 1
+    expected = np.zeros(weights.shape)
+    for k in range(rows.shape[1]):
+        np.add.at(expected, rows[:, k], error)
+    found = np.zeros_like(weights)
+    maxent._errors(found, weights, prior, (n, word, known), held)
+    assert np.allclose(found, expected, atol=2e-2, rtol=1e-4) and np.abs(expected).max() > 100
+    none = np.zeros_like(weights)
+    maxent._errors(none, weights, prior, (n, word, known), np.ones(len(n), bool))
+    assert not none.any()
